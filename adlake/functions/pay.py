@@ -1,45 +1,57 @@
 """Pay text to numbers."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake import fixed_values as fv
 from adlake.functions.text import any_of
 
 
-def pay_columns(text: Column, b2b_words: list[str] = fv.B2B_WORDS) -> dict[str, Column]:
-    """N1-N4 as flat columns; all null when the text has no digits.
+def _packed(text: Column) -> Column:
+    return F.translate(text, "  ", "")
 
-    Only the first two digit runs count, so each is cut out by its own anchored search. The b2b word list is
-    a parameter because 'net' also hits 'netto' in ads for employment contracts.
-    """
-    packed = F.regexp_replace(text, r"[ \x{00A0}]", "")
-    lowered = F.lower(packed)
-    first = F.regexp_extract(packed, "([0-9]+)", 1)
-    second = F.regexp_extract(packed, "[0-9]+[^0-9]+([0-9]+)", 1)
-    a = F.nullif(first, F.lit("")).cast("double")
-    b = F.coalesce(F.nullif(second, F.lit("")).cast("double"), a)
-    present = a.isNotNull()
+
+def _numbers(packed: Column) -> tuple[Column, Column]:
+    """The first two digit runs; a single run counts twice. Each is cut out by its own short search."""
+    first = F.nullif(F.regexp_extract(packed, "([0-9]+)", 1), F.lit("")).cast("double")
+    second = F.nullif(F.regexp_extract(packed, "[0-9]+[^0-9]+([0-9]+)", 1), F.lit("")).cast("double")
+    return first, F.coalesce(second, first)
+
+
+def _fields(packed: Column, a: Column, b: Column, b2b_words: list[str]) -> dict[str, Column]:
+    lowered, given = F.lower(packed), a.isNotNull()
     currency = (
-        F.when(packed.contains("EUR") | packed.contains("€"), "EUR")
-        .when(packed.contains("USD") | packed.contains("$"), "USD")
-        .otherwise(fv.DEFAULT_CURRENCY)
-    )
+        F.when(any_of(packed, ["EUR", "€"]), "EUR").when(any_of(packed, ["USD", "$"]), "USD").otherwise(fv.DEFAULT_CURRENCY))
     period = (
-        F.when(packed.contains("/h") | lowered.contains("godz") | lowered.contains("hour"), "hourly")
-        .when(packed.contains("/rok") | lowered.contains("annual") | lowered.contains("yearly"), "annual")
-        .otherwise("monthly")
-    )
+        F.when(packed.contains("/h") | any_of(lowered, ["godz", "hour"]), "hourly")
+        .when(packed.contains("/rok") | any_of(lowered, ["annual", "yearly"]), "annual").otherwise("monthly"))
     return {
-        "currency": F.when(present, currency),
+        "currency": F.when(given, currency),
         "salary_min": F.least(a, b),
         "salary_max": F.greatest(a, b),
         "salary_avg": (a + b) / F.lit(2.0).cast("double"),
-        "period": F.when(present, period),
-        "is_b2b": F.when(present, any_of(lowered, b2b_words) if b2b_words else F.lit(False)),
+        "period": F.when(given, period),
+        "is_b2b": F.when(given, any_of(lowered, b2b_words)),
     }
 
 
 def parse_pay(text: Column, b2b_words: list[str] = fv.B2B_WORDS) -> Column:
-    """N1-N4 as one nullable struct."""
-    cols = pay_columns(text, b2b_words)
-    return F.when(cols["salary_min"].isNotNull(), F.struct(*[c.alias(n) for n, c in cols.items()]))
+    """N1-N4 as one struct, null when the text has no digits.
+
+    The b2b word list is a parameter because 'net' also hits 'netto' in ads for employment contracts.
+    """
+    packed = _packed(text)
+    a, b = _numbers(packed)
+    return F.when(a.isNotNull(), F.struct(*[c.alias(n) for n, c in _fields(packed, a, b, b2b_words).items()]))
+
+
+def with_pay(df: DataFrame, text: str, b2b_words: list[str] = fv.B2B_WORDS) -> DataFrame:
+    """N1-N4 as columns of a frame, all null when the text has no digits.
+
+    The fields leave through ``inline``, so that a later filter on one of them is not pushed below the parsing
+    and does not parse the text again.
+    """
+    packed, a, b = F.col("_packed"), F.col("_a"), F.col("_b")
+    first, second = _numbers(packed)
+    step = df.withColumn("_packed", _packed(F.col(text))).withColumns({"_a": first, "_b": second})
+    fields = F.struct(*[c.alias(n) for n, c in _fields(packed, a, b, b2b_words).items()])
+    return step.select(*df.columns, F.inline(F.array(fields)))

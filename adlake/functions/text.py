@@ -1,6 +1,7 @@
 """Text cleaning, keyword search and display formats."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -13,7 +14,7 @@ _WORD = r"[\p{L}\p{N}_]"
 
 def any_of(text: Column, words: list[str]) -> Column:
     """True when the text contains one of the words; null text is null."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(lambda x, y: x | y, [text.contains(w) for w in words], F.lit(False))
 
 
 def clean_text(text: Column) -> Column:
@@ -34,56 +35,40 @@ def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def _boundary(inside: str, ahead: bool) -> str:
-    """Word boundary next to a known keyword character, spelled out so that it is Unicode-exact."""
-    look = "(?=" if ahead else "(?<="
-    negative = "(?!" if ahead else "(?<!"
-    return (negative if _is_word(inside) else look) + _WORD + ")"
+def _whole_word(keyword: str) -> str:
+    """Regex for a lower-cased keyword between word boundaries, spelled out so that they are Unicode-exact.
 
-
-def _bounded(keyword: str) -> str:
-    return _boundary(keyword[0], False) + re.escape(keyword) + _boundary(keyword[-1], True)
-
-
-def _same_start(a: str, b: str) -> bool:
-    """Can both keywords match at the same position? Then one regex pass would report only one of them."""
-    short, long = sorted((a.lower(), b.lower()), key=len)
-    if not long.startswith(short):
-        return False
-    return len(short) == len(long) or _is_word(short[-1]) != _is_word(long[len(short)])
+    The literal comes first and the look-behind runs back over it: the engine then searches for plain text.
+    """
+    literal = re.escape(keyword)
+    ahead = "(?!" if _is_word(keyword[-1]) else "(?="
+    behind = "(?<!" if _is_word(keyword[0]) else "(?<="
+    return f"{literal}{ahead}{_WORD}){behind}{_WORD}{literal})"
 
 
-def _passes(keywords: list[str]) -> list[list[str]]:
-    """Split the list into as few groups as needed so that one pass per group finds every keyword."""
-    groups: list[list[str]] = []
-    for keyword in keywords:
-        for group in groups:
-            if not any(_same_start(keyword, other) for other in group):
-                group.append(keyword)
-                break
-        else:
-            groups.append([keyword])
-    return groups
+def _folded(text: Column) -> Column:
+    """Lower case, with the four letters that ignore-case search equates with i, s and k."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
 def find_keywords(text: Column, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS) -> Column:
     """Listed keywords that occur as whole words, ignoring case, in list order.
 
-    The text is scanned once per group of keywords (once in all for the standard list), not once per
-    keyword; a zero-width lookahead lets hits overlap, as '.NET' does inside 'ASP.NET'.
+    The text is folded once; a keyword's regex runs only where the plain substring search has found it.
     """
     keywords = list(dict.fromkeys(keywords))
     if not keywords:
         return F.array().cast("array<string>")
-    found = [
-        F.regexp_extract_all(text, F.lit("(?iu)(?=(" + "|".join(_bounded(k) for k in group) + "))"), F.lit(1))
-        for group in _passes(keywords)
-    ]
-    hits = F.array_distinct(F.concat(*found))
-    # Case-insensitive equality of the hit and the keyword, by the same rule as the scan above.
-    listed = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f"(?iu)^{re.escape(k)}$").alias("rx")) for k in keywords])
-    kept = F.filter(listed, lambda k: F.exists(hits, lambda hit: F.rlike(hit, k["rx"])))
-    return F.transform(kept, lambda k: k["name"])
+    listed = F.array(*[
+        F.struct(F.lit(k).alias("name"), F.lit(k.lower()).alias("key"), F.lit(_whole_word(k.lower())).alias("rx"))
+        for k in keywords])
+
+    def hits(folded: Column) -> Column:
+        kept = F.filter(listed, lambda k: folded.contains(k["key"]) & F.rlike(folded, k["rx"]))
+        return F.transform(kept, lambda k: k["name"])
+
+    # The one-element array binds the folded text to a name, so that it is not folded again per keyword.
+    return F.get(F.transform(F.array(_folded(text)), hits), F.lit(0))
 
 
 def employment_type(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake.functions.labels import seniority_level, technology_category
-from adlake.functions.pay import pay_columns
+from adlake.functions.pay import with_pay
 from adlake.functions.place import with_place
 
 
@@ -15,9 +15,8 @@ def normalise(records: DataFrame, cities: Column | None = None) -> DataFrame:
     carried = [c for c in ("seq",) if c in records.columns]
     flat = records.select(*carried, "job_posting.*", "snapshot.*", "salary.salary_text", "technologies")
     placed = with_place(flat, "location", cities)
-    return placed.withColumns({
-        "seniority_level": seniority_level(F.col("seniority")), **pay_columns(F.col("salary_text")),
-    }).drop("location", "seniority", "salary_text")
+    levelled = placed.withColumn("seniority_level", seniority_level(F.col("seniority")))
+    return with_pay(levelled, "salary_text").drop("location", "seniority", "salary_text")
 
 
 def technology_rows(rows: DataFrame) -> DataFrame:

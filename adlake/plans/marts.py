@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from adlake import fixed_values as fv
 from adlake.functions.text import pln, title_case
-from adlake.operators.ranks import attach, summary
+from adlake.operators.ranks import summary
 from adlake.plans import queries
 from adlake.plans.filters import top
 
@@ -30,15 +30,15 @@ def _share(sums: DataFrame) -> DataFrame:
 def salary_histogram(t, bins: int = fv.HISTOGRAM_BINS, date_from=None, date_to=None) -> DataFrame:
     """A1: equal-width bins over mean pay with the exact median beside them; empty bins are left out."""
     pay = queries.pln_salaries(t, date_from, date_to).filter("salary_avg IS NOT NULL")
-    stats = summary(pay, [], "salary_avg", _MEDIAN).select("low", "high", "median")
+    stats = summary(pay, [], "salary_avg", _MEDIAN).select(F.struct("low", "high", "median")).scalar()
     # Equal amounts fall in one bin: bin their counts instead of the rows.
-    amounts = attach(pay.groupBy("salary_avg").agg(F.count(F.lit(1)).alias("_n")), stats, [])
-    width = (F.col("high") - F.col("low")) / bins
-    place = F.coalesce(F.floor(F.try_divide(F.col("salary_avg") - F.col("low"), width)), F.lit(0))
+    amounts = pay.groupBy("salary_avg").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", stats)
+    width = (F.col("_s.high") - F.col("_s.low")) / bins
+    place = F.coalesce(F.floor(F.try_divide(F.col("salary_avg") - F.col("_s.low"), width)), F.lit(0))
     binned = amounts.withColumn("bin", F.least(place, F.lit(bins - 1)))
     return binned.groupBy("bin").agg(
-        F.first(F.col("low") + F.col("bin") * width).alias("bin_start"), F.sum("_n").alias("jobs"),
-        F.first("median").alias("median_salary"))
+        F.first(F.col("_s.low") + F.col("bin") * width).alias("bin_start"), F.sum("_n").alias("jobs"),
+        F.first("_s.median").alias("median_salary"))
 
 
 def salary_by_top_technology(t, top_n: int = 15) -> DataFrame:
@@ -81,7 +81,7 @@ def salary_by_location_type(t, date_from=None, date_to=None) -> DataFrame:
 
 def salary_summary(t, date_from=None, date_to=None) -> DataFrame:
     """Six labelled figures, formatted; no rows without pay."""
-    stats = summary(queries.pln_salaries(t, date_from, date_to), [], "salary_avg", {**_QUARTILES}).filter("n > 0")
+    stats = summary(queries.pln_salaries(t, date_from, date_to), [], "salary_avg", _QUARTILES)
     figures = [("Mean", "mean"), ("Median", "median"), ("Min", "low"), ("Max", "high"),
                ("25th Percentile", "q1"), ("75th Percentile", "q3")]
     rows = F.array(*[

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from adlake import fixed_values as fv, schema
 from adlake.functions.keys import technology_key
 from adlake.functions.labels import seniority_level
-from adlake.functions.pay import pay_columns
+from adlake.functions.pay import with_pay
 from adlake.functions.place import city_list_from, with_place
 
+# Schemas found in the file footers; naming them saves a footer job per later read.
+_SCHEMAS: dict = {}
+
 _LEVEL_WORDS = {"F": "Senior", "O": "Regular", "P": "Junior"}
 
 
@@ -24,22 +27,30 @@ class StarHistory:
         self.spark, self.folder = spark, folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    @cached_property
+    def _last_months(self) -> list:
+        """The two newest months, newest first: two dates that every query needs as plain filter values."""
+        months = self.read("orders").select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("m")).distinct()
+        return [row.m for row in months.orderBy(F.desc("m")).limit(2).collect()]
+
     @cached_property
     def monthly_orders(self) -> DataFrame:
-        """Every order of a full month, copies per ad and month included."""
-        orders = self.read("orders").withColumn("snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
-        # The last month is not complete and is left out.
-        end = self.read("orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar()
-        return orders.filter(F.col("snapshot_date") < end)
+        """Every order of a full month, copies per ad and month included. The newest month is not complete."""
+        end = F.lit(self._last_months[0]).cast("timestamp_ntz")
+        return self.read("orders").filter(F.col("o_orderdate") < end).withColumn(
+            "snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
 
     @cached_property
     def latest(self) -> Column:
-        return self.monthly_orders.agg(F.max("snapshot_date")).scalar()
+        return F.lit(self._last_months[1])
 
     @cached_property
     def kept_orders(self) -> DataFrame:
@@ -115,9 +126,7 @@ class StarHistory:
 
     @cached_property
     def salaries(self) -> DataFrame:
-        pay = pay_columns(F.col("salary_text"))
-        return self.salary_texts.select("job_id", "snapshot_date", *[c.alias(n) for n, c in pay.items()]).filter(
-            "salary_min IS NOT NULL")
+        return with_pay(self.salary_texts, "salary_text").drop("salary_text").filter("salary_min IS NOT NULL")
 
     @cached_property
     def technologies(self) -> DataFrame:
@@ -125,19 +134,17 @@ class StarHistory:
             F.min_by("p_type", "p_partkey").alias("category")).select(
             technology_key(F.col("name")).alias("technology_id"), "name", "category")
 
-    def named_links_of(self, orders: DataFrame) -> DataFrame:
-        """(job_id, snapshot_date, name, first_line): copies of a part in an order combine early."""
+    def links_of(self, orders: DataFrame) -> DataFrame:
+        """Distinct technologies per ad and day; the orders come last, so that the lines are shuffled to their
+        order once and the copies of a part within an ad and day combine there."""
         lines = self.read("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-        part = self.read("part").select("p_partkey", F.col("p_name").alias("name"))
+        part = self.read("part").select("p_partkey", technology_key(F.col("p_name")).alias("technology_id"))
+        named = lines.join(part, lines.l_partkey == part.p_partkey).select("l_orderkey", "technology_id", "l_linenumber")
         return (
-            orders.select("job_id", "snapshot_date", "o_orderkey")
-            .join(lines, F.col("o_orderkey") == lines.l_orderkey).join(part, lines.l_partkey == part.p_partkey)
-            .groupBy("job_id", "snapshot_date", "name").agg(F.min("l_linenumber").alias("first_line")))
-
-    def links_of(self, orders: DataFrame) -> DataFrame:
-        return self.named_links_of(orders).select(
-            "job_id", technology_key(F.col("name")).alias("technology_id"),
-            F.when(F.col("first_line") == 1, "required").alias("proficiency_level"), "snapshot_date")
+            named.join(orders.select("o_orderkey", "o_custkey", "snapshot_date"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_custkey", "snapshot_date", "technology_id").agg(F.min("l_linenumber").alias("first_line"))
+            .select(_job_id().alias("job_id"), "technology_id",
+                    F.when(F.col("first_line") == 1, "required").alias("proficiency_level"), "snapshot_date"))
 
     @cached_property
     def job_technologies(self) -> DataFrame:

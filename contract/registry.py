@@ -149,15 +149,13 @@ def upper_median_by_date(t):
 
 @_register
 def parse_salary(t):
-    parsed = pay.pay_columns(F.col("salary_text"))
-    return t.salary_texts.select("job_id", "snapshot_date", "salary_text", *[c.alias(n) for n, c in parsed.items()])
+    return pay.with_pay(t.salary_texts, "salary_text")
 
 
 @_register
 def parse_salary_prose(t):
     """N1-N4 on texts that were never meant as pay."""
-    parsed = pay.pay_columns(F.col("text"))
-    return t.read("documents").select("doc_id", *[c.alias(n) for n, c in parsed.items()]).filter("salary_min IS NOT NULL")
+    return pay.with_pay(t.read("documents").select("doc_id", "text"), "text").drop("text").filter("salary_min IS NOT NULL")
 
 
 @_register

@@ -55,7 +55,7 @@ def compare(spark, con, name, folder):
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(contract.queries())
-    spark, con = local_session("8"), connect(folder)
+    spark, con = local_session("8", **{"spark.ui.showConsoleProgress":"false"}), connect(folder)
     bad = 0
     for name in names:
         try:
