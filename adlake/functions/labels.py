@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from adlake import fixed_values as fv
-from adlake.functions.text import any_of
+from adlake.functions.text import any_of, literal_rows
 
 
 def technology_category(name: Column, categories=None) -> Column:
@@ -13,7 +13,7 @@ def technology_category(name: Column, categories=None) -> Column:
     """
     pairs = [(n.lower(), c) for c, names in (categories or fv.TECHNOLOGY_CATEGORIES) for n in names]
     low = F.lower(name)
-    listed = F.array(*[F.struct(F.lit(n).alias("key"), F.lit(c).alias("category")) for n, c in pairs])
+    listed = literal_rows([{"key": n, "category": c} for n, c in pairs])
     exact = F.get(F.filter(listed, lambda p: p["key"] == low), F.lit(0))["category"]
     inside = F.get(F.filter(listed, lambda p: low.contains(p["key"])), F.lit(0))["category"]
     return F.when(name.isNotNull(), F.coalesce(exact, inside, F.lit(fv.OTHER_CATEGORY)))

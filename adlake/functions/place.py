@@ -3,15 +3,12 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake import fixed_values as fv
-from adlake.functions.text import any_of
+from adlake.functions.text import any_of, literal_rows
 
 
 def city_list(pairs: list[tuple[str, str]] = fv.CITY_REGIONS) -> Column:
     """The ordered city lookup as an array literal."""
-    return F.array(*[
-        F.struct(F.lit(city.lower()).alias("key"), F.lit(city).alias("city"), F.lit(region).alias("region"))
-        for city, region in pairs
-    ])
+    return literal_rows([{"key": city.lower(), "city": city, "region": region} for city, region in pairs])
 
 
 def city_list_from(lookup: DataFrame, order: str, city: str, region: str) -> Column:

@@ -1,5 +1,6 @@
 """Text cleaning, keyword search and display formats."""
 
+import json
 import re
 from functools import reduce
 
@@ -12,6 +13,12 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def literal_rows(rows: list[dict[str, str]]) -> Column:
+    """A short list of text records as one constant array; folded to a literal when the query is planned."""
+    fields = ", ".join(f"{name}: string" for name in rows[0])
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     """True when the text contains one of the words; null text is null."""
     return reduce(lambda x, y: x | y, [text.contains(w) for w in words], F.lit(False))
@@ -59,9 +66,7 @@ def find_keywords(text: Column, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS) ->
     keywords = list(dict.fromkeys(keywords))
     if not keywords:
         return F.array().cast("array<string>")
-    listed = F.array(*[
-        F.struct(F.lit(k).alias("name"), F.lit(k.lower()).alias("key"), F.lit(_whole_word(k.lower())).alias("rx"))
-        for k in keywords])
+    listed = literal_rows([{"name": k, "key": k.lower(), "rx": _whole_word(k.lower())} for k in keywords])
 
     def hits(folded: Column) -> Column:
         kept = F.filter(listed, lambda k: folded.contains(k["key"]) & F.rlike(folded, k["rx"]))

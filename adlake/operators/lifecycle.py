@@ -10,10 +10,11 @@ def active_spans(snapshots: DataFrame) -> DataFrame:
     day at most, so its window is bounded by the calendar.
     """
     seen = snapshots.select("job_id", "snapshot_date").distinct()
-    days = seen.select("snapshot_date").distinct()  # one row per captured day
+    # One row per captured day: bounded by the calendar, whatever the history holds.
+    days = snapshots.select("snapshot_date").distinct()
     previous = days.withColumn("_previous_day", F.lag("snapshot_date").over(W.orderBy("snapshot_date")))
     per_job = W.partitionBy("job_id").orderBy("snapshot_date")
-    starts = seen.join(previous, "snapshot_date").withColumn(
+    starts = seen.join(F.broadcast(previous), "snapshot_date").withColumn(
         "_start", ~F.lag("snapshot_date").over(per_job).eqNullSafe(F.col("_previous_day"))
         | F.col("_previous_day").isNull())
     numbered = starts.withColumn("_span", F.sum(F.col("_start").cast("int")).over(per_job))

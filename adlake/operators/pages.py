@@ -149,9 +149,10 @@ def listing_prefix(listing: DataFrame, run: str, page: str, stop: Column, max_pa
 
     The first stop per run is a plain minimum, so a run with very many pages is never sorted in one task.
     """
+    listing = listing.filter(F.col(page) <= max_pages)
     first_stop = listing.groupBy(run).agg(F.min(F.when(stop, F.col(page))).alias("_stop"))
     return (
-        listing.filter(F.col(page) <= max_pages).join(first_stop, run)
+        listing.join(first_stop, run)
         .filter(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))).drop("_stop")
     )
 

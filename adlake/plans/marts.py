@@ -128,7 +128,8 @@ def co_occurrence(t, technology: str, top_n: int = 10) -> DataFrame:
     The given technology's ads are the one side, so pairs among the others are never formed.
     """
     links = t["job_technologies"].select("job_id", "snapshot_date", "technology_id")
-    given = t["technologies"].filter(F.col("name") == technology).select("technology_id")
+    # One row, as names are unique: no shuffle on the technology, however frequent it is.
+    given = F.broadcast(t["technologies"].filter(F.col("name") == technology).select("technology_id").limit(1))
     ads = links.join(given, "technology_id", "left_semi").select("job_id", "snapshot_date")
     counted = links.join(ads, ["job_id", "snapshot_date"], "left_semi").join(given, "technology_id", "left_anti").groupBy(
         "technology_id").agg(F.count_distinct("job_id").alias("job_count"))

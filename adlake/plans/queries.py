@@ -137,8 +137,9 @@ def kpi_metrics(t) -> DataFrame:
 
 def technology_trends(t, technologies: list[str], as_of, days: int = 30) -> DataFrame:
     """Distinct active jobs per listed technology and day."""
-    names = t["technologies"].filter(F.col("name").isin(list(technologies))).select(
-        "technology_id", F.col("name").alias("technology"))
+    # At most one row per listed name.
+    names = F.broadcast(t["technologies"].filter(F.col("name").isin(list(technologies))).select(
+        "technology_id", F.col("name").alias("technology")))
     return _active_links(t, date_from=F.date_sub(_date(as_of), days)).join(names, "technology_id").groupBy(
         "technology", "snapshot_date").agg(F.count_distinct("job_id").alias("job_count")).orderBy("snapshot_date", "technology")
 

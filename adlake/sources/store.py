@@ -58,10 +58,10 @@ class JobStore:
             if not self._exists(self.path(name)):
                 return schema.empty(self.spark, name)
             stored = StructType(schema.TABLES[name].fields + [StructField("load_key", StringType())])
-            # The log has one row per load and day; the join prunes folders at run time.
+            # One row per day, so it is broadcast and prunes folders at run time.
             keys = self.visible().filter(F.col("table_name") == name).select("snapshot_date", "load_key")
             rows = self.spark.read.schema(stored).parquet(self.path(name))
-            return rows.join(keys, ["snapshot_date", "load_key"], "left_semi").select(*columns)
+            return rows.join(F.broadcast(keys), ["snapshot_date", "load_key"], "left_semi").select(*columns)
         version = self._version(name)
         return version.select(*columns) if version is not None else schema.empty(self.spark, name)
 
@@ -69,7 +69,7 @@ class JobStore:
         row = self.visible().filter(F.col("table_name") == name).first()
         if row is None:
             return None
-        return self.spark.read.parquet(self.path(name, f"load_key={row.load_key}"))
+        return self.spark.read.schema(schema.TABLES[name]).parquet(self.path(name, f"load_key={row.load_key}"))
 
     def day(self, name: str, day) -> DataFrame:
         return self.table(name).filter(F.col("snapshot_date") == F.lit(day).cast("date"))

@@ -28,7 +28,8 @@ def _plain(df: DataFrame) -> DataFrame:
         if kind in ("date", "timestamp", "timestamp_ntz"):
             column = column.cast("string") if kind == "date" else F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         elif kind == "double":
-            column = F.round(column, 4)
+            # Doubles beyond 2^40 or so have no room left for four decimals.
+            column = F.when(F.abs(column) < 1e11, F.round(column, 4)).otherwise(column)
         elif kind == "array<string>":
             column = F.array_join(column, ",")
         out.append(column.alias(field.name))

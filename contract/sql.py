@@ -456,7 +456,7 @@ judged AS (
 
 _OTHER = {
     "null_counts": _null_counts(),
-    "parse_salary_prose": f"""SELECT doc_id, {_ROUND_PAY}, currency, period, is_b2b
+    "parse_salary_prose": f"""SELECT doc_id, salary_min, salary_max, salary_avg, currency, period, is_b2b
       FROM (SELECT doc_id, {_pay('text')} FROM documents) WHERE salary_min IS NOT NULL""",
     "categorize_technology": f"""WITH listed(pos, key, category) AS (VALUES {_LISTED}),
       names AS (SELECT DISTINCT name FROM (
