@@ -1,11 +1,14 @@
 """One day's load, from raw ads to a published store."""
 
+import time
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake.operators import load, metrics
 from adlake.operators.extract import records
 from adlake.operators.transform import categorised, normalise, technology_rows
 from adlake.session import staged
+from adlake.sources.raw import scrape_run
 from adlake.sources.store import JobStore
 
 _KEY = ["job_id", "snapshot_date"]
@@ -61,6 +64,23 @@ def write_metrics(store: JobStore, snapshot_date, postings: DataFrame) -> None:
         change.write_version("daily_metrics", metrics.upsert_metrics(store.table("daily_metrics"), row))
 
 
+def run_day(store: JobStore, raw: DataFrame, snapshot_date) -> DataFrame:
+    """The daily run: load and log it (S9), as partial when the capture was empty, as failed when the load was."""
+    started = time.monotonic()
+    now = F.current_timestamp()
+    try:
+        found = raw.count()
+        statistics = load_day(store, raw, snapshot_date).first()
+    except Exception as error:
+        store.append_run(scrape_run(store.spark, now, status="failed", error_message=str(error)[:1000],
+                                    duration_seconds=time.monotonic() - started))
+        raise
+    run = scrape_run(store.spark, now, found, statistics.jobs_new, statistics.jobs_updated, statistics.jobs_expired,
+                     duration_seconds=time.monotonic() - started)
+    store.append_run(run)
+    return run
+
+
 def close_day(store: JobStore, snapshot_date) -> None:
     """L8 for a day that came in pieces: postings last seen before it expire; then its metrics.
 

@@ -6,19 +6,30 @@ Spark partitions the pages; this helper sees one page at a time inside mapInPand
 from html.parser import HTMLParser
 
 # --- fixed values: element tests per field, tried in order ------------------
-# (tag or None, attribute or None, text the attribute must contain)
-TITLE = [("h1", None, None), ("h1", "class", "posting-title"), (None, "class", "title")]
-COMPANY = [(None, "class", "company"), ("a", "href", "/company/")]
-DESCRIPTION = [(None, "class", "description"), (None, "class", "about")]
-REQUIREMENTS = [(None, "class", "requirement"), (None, "class", "must-have")]
-SALARY = [(None, "class", "salary"), (None, "class", "money")]
-LOCATION = [(None, "class", "location"), (None, "class", "city")]
-TAGS = [(None, "class", "technology"), (None, "class", "skill"), (None, "class", "tech-")]
+# (tag or any, attribute, text the attribute contains); "word" asks for a whole class name instead
+TITLE = [("h1",), ("h1", "word", "posting-title"), ("", "class", "title")]
+COMPANY = [("", "class", "company"), ("a", "href", "/company/"), ("div", "word", "company-name"), ("span", "word", "company")]
+DESCRIPTION = [("", "class", "description"), ("", "class", "about"), ("section", "word", "job-description"),
+               ("div", "word", "description")]
+REQUIREMENTS = [("", "class", "requirement"), ("", "class", "must-have"), ("section", "word", "requirements")]
+SALARY = [("", "class", "salary"), ("", "class", "money"), ("span", "word", "salary"), ("div", "word", "salary-range")]
+LOCATION = [("", "class", "location"), ("", "class", "city"), ("span", "word", "location"), ("div", "word", "location")]
+TAGS = [("", "class", "technology"), ("", "class", "skill"), ("", "class", "tech-"), ("span", "word", "tag")]
+TAG_BOX = ("div", "word", "tags")  # all spans inside count, after the tests above
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
 # --- end of fixed values ----------------------------------------------------
 
 
+def _passes(element, test):
+    tag, kind, part = (*test, "", "")[:3]
+    if tag and element["tag"] != tag:
+        return False
+    if kind == "word":
+        return part in element["attrs"].get("class", "").split()
+    return not kind or part in element["attrs"].get(kind, "")
+
+
 class _Outline(HTMLParser):
     """Elements in document order, each with the range of text pieces it covers."""
 
@@ -27,18 +38,14 @@ class _Outline(HTMLParser):
         self.pieces, self.elements, self.open, self.hidden = [], [], [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and any(e["tag"] == tag for e in self.open[-1:]):
+        if tag in ("p", "li") and self.open and self.open[-1]["tag"] == tag:
             self.handle_endtag(tag)
-        inside_tags = any("tags" in e["classes"] and e["tag"] == "div" for e in self.open)
-        attrs = {k: v or "" for k, v in attrs}
-        element = {"tag": tag, "attrs": attrs, "classes": attrs.get("class", "").split(), "from": len(self.pieces),
-                   "to": None, "in_tags": inside_tags}
+        element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": len(self.pieces), "to": len(self.pieces),
+                   "boxed": bool(self.open) and (self.open[-1]["boxed"] or _passes(self.open[-1], TAG_BOX))}
         self.elements.append(element)
-        if tag in VOID:
-            element["to"] = element["from"]
-            return
-        self.open.append(element)
-        self.hidden += tag in HIDDEN
+        if tag not in VOID:
+            self.open.append(element)
+            self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -57,10 +64,13 @@ class _Outline(HTMLParser):
         if not self.hidden:
             self.pieces.append(data)
 
+    def close(self):
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[-1]["tag"])
+
     def matching(self, test):
-        tag, attribute, part = test
-        return [e for e in self.elements
-                if (tag is None or e["tag"] == tag) and (attribute is None or part in e["attrs"].get(attribute, ""))]
+        return [e for e in self.elements if _passes(e, test)]
 
     def text(self, element, joiner=""):
         pieces = (p.strip() for p in self.pieces[element["from"]:element["to"]])
@@ -85,9 +95,9 @@ def read_fields(html):
     page = _Outline()
     page.feed(html or "")
     page.close()
-    headings = page.matching(("h1", None, None))
+    headings = page.matching(("h1",))
     tag_elements = [e for test in TAGS for e in page.matching(test)]
-    tag_elements += [e for e in page.elements if e["tag"] == "span" and ("tag" in e["classes"] or e["in_tags"])]
+    tag_elements += [e for e in page.elements if e["tag"] == "span" and e["boxed"]]
     tags = list(dict.fromkeys(t for t in map(page.text, tag_elements) if len(t) > 1))
     return (
         "".join(page.pieces),

@@ -44,9 +44,10 @@ def absolute(href: Column, base: Column) -> Column:
 def page_links(pages: DataFrame, marker: str = fv.LINK_MARKER, base: Column | None = None) -> DataFrame:
     """(page_id, position, url) of ad links in page order, each once per page.
 
-    Every selector of the contract asks for an anchor whose href holds the marker, so one pass suffices.
+    Every selector of the contract asks for an anchor whose href holds the marker, so one pass suffices. Links
+    are resolved against ``base``, by default the site the page came from.
     """
-    base = F.lit(fv.BASE_URL) if base is None else base
+    base = site_of(F.col("url")) if base is None else base
     raw = F.regexp_extract_all(visible(F.col("html")), F.lit(_HREF), F.lit(1))
     hrefs = F.transform(raw, lambda h: F.replace(F.regexp_replace(h, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&")))
     wanted = F.filter(hrefs, lambda h: h.contains(marker))

@@ -33,7 +33,7 @@ def sample_ads(spark: SparkSession, num_jobs: int = 50, num_days: int = 7, as_of
                  .otherwise(F.col("id").cast("string"))).alias("job_id"),
         F.concat_ws(" ", F.initcap("band.level"), F.col("technologies")[0], F.lit("Developer")).alias("title"),
         "company_name",
-        F.concat(F.lit("https://nofluffjobs.com/job/sample-"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit("https://jobs.example/job/sample-"), F.col("id").cast("string")).alias("url"),
         F.concat(F.lit("Exciting opportunity to work with "), F.array_join(F.slice("technologies", 1, 3), ", ")).alias("description"),
         F.concat(F.lit("Required: "), F.array_join("technologies", ", ")).alias("requirements"),
         F.concat_ws(" ", "low", F.lit("-"), "high", F.lit("PLN")).alias("salary"),

@@ -252,7 +252,7 @@ def job_key(t):
 @_register
 def page_links(t):
     """X1; these pages have no /job/ links, so every rooted link counts."""
-    return pages.page_links(t.read("pages"), "/", pages.site_of(F.col("url")))
+    return pages.page_links(t.read("pages"), "/")
 
 
 @_register

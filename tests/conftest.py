@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
 def ad(job_id, title="Senior Python Developer", company="Tech Corp", salary=None, location=None, technologies=(),
        seniority="mid", url=None, employment_type=None, description=None):
     return {
-        "url": url or f"https://nofluffjobs.com/pl/job/{job_id}", "job_id": job_id, "title": title,
+        "url": url or f"https://jobs.example/pl/job/{job_id}", "job_id": job_id, "title": title,
         "company_name": company, "description": description, "requirements": None, "salary": salary, "location": location,
         "technologies": list(technologies), "seniority": seniority, "employment_type": employment_type,
     }

@@ -125,6 +125,15 @@ def test_failed_load_is_not_seen(store, monkeypatch):
     assert load(store, D2, [ad("z", technologies=["Go"])])["jobs_expired"] == 3
 
 
+def test_daily_run_is_logged(spark, store, monkeypatch):
+    run = daily.run_day(store, raw_frame(spark, THREE_ADS), D1).first()
+    assert (run.jobs_found, run.jobs_new, run.status) == (3, 3, "success")
+    monkeypatch.setattr(daily, "load_day", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        daily.run_day(store, raw_frame(spark, THREE_ADS), D2)
+    assert sorted(r.status for r in store["scrape_runs"].collect()) == ["failed", "success"]
+
+
 def test_backfill_in_date_order(spark, store):
     ads = sample_ads(spark, 40, 3)
     statistics = daily.backfill(store, ads)

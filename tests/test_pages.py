@@ -23,15 +23,15 @@ DETAIL = """
 BARE = "<html><body><h1>Dev</h1><p class='subtitle'>Data person</p><p>Pay: 10 000 - 12 000 PLN. Go and Java, C# junior</p></body></html>"
 
 
-def frame(spark, *htmls, url="https://nofluffjobs.com/job/test-123"):
+def frame(spark, *htmls, url="https://jobs.example/job/test-123"):
     return spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], "page_id bigint, url string, html string")
 
 
 def test_links_in_page_order(spark):
     rows = pages.page_links(frame(spark, LISTING)).orderBy("position").collect()
     assert [r.url for r in rows] == [
-        "https://nofluffjobs.com/pl/job/python-developer-123", "https://other.example/job/java-engineer-456?a=1&b=2",
-        "https://nofluffjobs.com/pl/job/devops-specialist-789", "https://cdn.example/job/rel"]
+        "https://jobs.example/pl/job/python-developer-123", "https://other.example/job/java-engineer-456?a=1&b=2",
+        "https://jobs.example/pl/job/devops-specialist-789", "https://cdn.example/job/rel"]
 
 
 def test_unique_and_capped(spark):
@@ -60,6 +60,15 @@ def test_fallbacks(spark):
     assert (row.seniority, row.employment_type) == ("junior", None)
 
 
+def test_later_tests_count_when_the_first_element_is_empty(spark):
+    html = """<h1>Developer</h1><div class="company-logo"></div><span class="company">Firm</span>
+      <p class="salary-note">none</p><span class="salary">9 000 PLN</span><i class="skill">Go</i>
+      <span class="tag">SQL</span><div class="tags"><span>Rust</span><b><span>Zig</span></b></div><span>not</span>"""
+    row = pages.parse_details(frame(spark, html)).first()
+    assert (row.company_name, row.salary) == ("Firm", "9 000 PLN")
+    assert row.technologies == ["Go", "SQL", "Rust", "Zig"]
+
+
 def test_pages_without_markup_give_no_ad(spark):
     assert pages.parse_details(frame(spark, "", None)).count() == 0
 
