@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from adlake import fixed_values as fv
-from adlake.functions.text import any_of, literal_rows
+from adlake.functions.text import any_of, bound, literal_rows
 
 
 def technology_category(name: Column, categories=None) -> Column:
@@ -12,11 +12,14 @@ def technology_category(name: Column, categories=None) -> Column:
     Apply to distinct names: the technology dimension does.
     """
     pairs = [(n.lower(), c) for c, names in (categories or fv.TECHNOLOGY_CATEGORIES) for n in names]
-    low = F.lower(name)
     listed = literal_rows([{"key": n, "category": c} for n, c in pairs])
-    exact = F.get(F.filter(listed, lambda p: p["key"] == low), F.lit(0))["category"]
-    inside = F.get(F.filter(listed, lambda p: low.contains(p["key"])), F.lit(0))["category"]
-    return F.when(name.isNotNull(), F.coalesce(exact, inside, F.lit(fv.OTHER_CATEGORY)))
+
+    def decide(low: Column) -> Column:
+        # An exact name is also contained, so it is looked for among the few names that are.
+        return bound(F.filter(listed, lambda p: low.contains(p["key"])), lambda hits: F.coalesce(
+            F.get(F.filter(hits, lambda p: p["key"] == low), F.lit(0))["category"], F.get(hits, F.lit(0))["category"]))
+
+    return F.when(name.isNotNull(), F.coalesce(bound(F.lower(name), decide), F.lit(fv.OTHER_CATEGORY)))
 
 
 def seniority_level(text: Column) -> Column:

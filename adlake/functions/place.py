@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake import fixed_values as fv
-from adlake.functions.text import any_of, literal_rows
+from adlake.functions.text import any_of, first_inside, literal_rows
 
 
 def city_list(pairs: list[tuple[str, str]] = fv.CITY_REGIONS) -> Column:
@@ -23,7 +23,7 @@ def city_list_from(lookup: DataFrame, order: str, city: str, region: str) -> Col
 def with_place(df: DataFrame, text: str, cities: Column | None = None) -> DataFrame:
     """Add location_type, city, region, country. First city in lookup order wins, not first in the text."""
     low = F.lower(F.col(text))
-    hit = F.get(F.filter("_cities", lambda c: low.contains(c["key"])), F.lit(0))
+    hit = first_inside(low, F.col("_cities"))
     # In steps, so that the lookup runs once per row and not once per derived column.
     step = df.withColumn("_cities", city_list() if cities is None else cities).withColumns(
         {"_place": hit, "_remote": F.coalesce(any_of(low, fv.REMOTE_WORDS), F.lit(False))})

@@ -19,6 +19,16 @@ def literal_rows(rows: list[dict[str, str]]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once per row; inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_inside(low: Column, listed: Column) -> Column:
+    """The first record of a lookup whose ``key`` occurs in the lower-cased text."""
+    return bound(low, lambda text: F.get(F.filter(listed, lambda r: text.contains(r["key"])), F.lit(0)))
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     """True when the text contains one of the words; null text is null."""
     return reduce(lambda x, y: x | y, [text.contains(w) for w in words], F.lit(False))
@@ -72,8 +82,7 @@ def find_keywords(text: Column, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS) ->
         kept = F.filter(listed, lambda k: folded.contains(k["key"]) & F.rlike(folded, k["rx"]))
         return F.transform(kept, lambda k: k["name"])
 
-    # The one-element array binds the folded text to a name, so that it is not folded again per keyword.
-    return F.get(F.transform(F.array(_folded(text)), hits), F.lit(0))
+    return bound(_folded(text), hits)
 
 
 def employment_type(text: Column) -> Column:
