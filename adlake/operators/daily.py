@@ -100,7 +100,7 @@ def close_day(store: JobStore, snapshot_date) -> None:
 
 def backfill(store: JobStore, dated_ads: DataFrame) -> dict:
     """Load the days of a frame with a snapshot_date column, oldest first. Statistics rows by day."""
-    with staged(dated_ads) as ads:
+    with staged(dated_ads, "snapshot_date") as ads:
         days = [r.snapshot_date for r in ads.select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
         return {
             day: load_day(store, ads.filter(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date"), day).first()

@@ -47,14 +47,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def staged(df: DataFrame):
+def staged(df: DataFrame, *by: str):
     """Write a frame that several jobs read to the shared folder, and drop it when they are done.
 
-    Unlike a cache on the executors it survives their loss, and later reads still prune columns.
+    Unlike a cache on the executors it survives their loss, and later reads still prune columns; with ``by``
+    they also prune folders.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_root(spark), f"adlake-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

@@ -7,6 +7,7 @@ never seen and a repeated day replaces the earlier one. Only the touched days ar
 
 import os
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
@@ -23,61 +24,67 @@ _FILE_ROWS = 5_000_000
 
 
 class JobStore:
+    """One view of the store: what the log said when it was last read. Own writes are seen at once, those of other
+    sessions after refresh()."""
+
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self._keys = spark, root, None
 
     def path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
 
+    def folder(self, name: str, day, key: str) -> str:
+        return self.path(name, *([] if day is None else [f"snapshot_date={day}"]), f"load_key={key}")
+
     # --- reading ---------------------------------------------------------------
 
-    def _exists(self, path: str) -> bool:
+    def exists(self, path: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def log(self) -> DataFrame:
         path = self.path("_log")
-        return self.spark.read.schema(_LOG).parquet(path) if self._exists(path) else self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).parquet(path) if self.exists(path) else self.spark.createDataFrame([], _LOG)
+
+    def refresh(self) -> None:
+        self._keys = None
 
-    def visible(self) -> DataFrame:
-        """Newest log row per table and day; a day dropped by retention has a null key."""
-        newest = self.log().groupBy("table_name", "snapshot_date").agg(
-            F.max(F.struct("load_id", "load_key")).alias("_newest"))
-        return newest.select("table_name", "snapshot_date", "_newest.load_id", "_newest.load_key").filter("load_key IS NOT NULL")
+    def keys(self, name: str) -> dict:
+        """Day -> newest load key of a table, under None for a table without days.
+
+        One small row per table and captured day, so the list is bounded by the calendar and read as a whole;
+        tables are then read from exactly the folders in force, without joins or a listing of older ones.
+        """
+        if self._keys is None:
+            newest = self.log().groupBy("table_name", "snapshot_date").agg(F.max_by("load_key", "load_id").alias("key"))
+            self._keys = newest.filter("key IS NOT NULL").collect()
+        return {row.snapshot_date: row.key for row in self._keys if row.table_name == name}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
-        columns = schema.TABLES[name].names
         if name == _APPEND_ONLY:
-            path = self.path(name)
-            return (self.spark.read.schema(schema.TABLES[name]).parquet(path) if self._exists(path)
-                    else schema.empty(self.spark, name))
+            paths = [self.path(name)] if self.exists(self.path(name)) else []
+        else:
+            paths = [self.folder(name, day, key) for day, key in self.keys(name).items()]
+        return self._read(name, paths)
+
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
+        if not paths:
+            return schema.empty(self.spark, name)
+        reader = self.spark.read.schema(schema.TABLES[name])
         if name in schema.DATED:
-            if not self._exists(self.path(name)):
-                return schema.empty(self.spark, name)
-            stored = StructType(schema.TABLES[name].fields + [StructField("load_key", StringType())])
-            # One row per day, so it is broadcast and prunes folders at run time.
-            keys = self.visible().filter(F.col("table_name") == name).select("snapshot_date", "load_key")
-            rows = self.spark.read.schema(stored).parquet(self.path(name))
-            return rows.join(F.broadcast(keys), ["snapshot_date", "load_key"], "left_semi").select(*columns)
-        version = self._version(name)
-        return version.select(*columns) if version is not None else schema.empty(self.spark, name)
-
-    def _version(self, name: str) -> DataFrame | None:
-        row = self.visible().filter(F.col("table_name") == name).first()
-        if row is None:
-            return None
-        return self.spark.read.schema(schema.TABLES[name]).parquet(self.path(name, f"load_key={row.load_key}"))
+            reader = reader.option("basePath", self.path(name))
+        return reader.parquet(*paths).select(*schema.TABLES[name].names)
 
     def day(self, name: str, day) -> DataFrame:
-        return self.table(name).filter(F.col("snapshot_date") == F.lit(day).cast("date"))
+        day = date.fromisoformat(str(day))
+        return self._read(name, [self.folder(name, d, key) for d, key in self.keys(name).items() if d == day])
 
     def days(self, name: str = "job_snapshots") -> list:
-        """Days held by a dated table, ascending: one log row each."""
-        rows = self.visible().filter(F.col("table_name") == name).orderBy("snapshot_date").collect()
-        return [row.snapshot_date for row in rows]
+        """Days held by a dated table, ascending."""
+        return sorted(self.keys(name))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in schema.TABLES}
@@ -107,7 +114,8 @@ class JobStore:
     def compact(self, name: str) -> None:
         """Rewrite a dated table into few files per day; a large day is spread by job over several."""
         with self.transaction() as change:
-            change.write_dated(name, self.table(name).repartitionByRange(F.col("snapshot_date"), F.col("job_id")))
+            rows = self.table(name).repartitionByRange(F.col("snapshot_date"), F.col("job_id"))
+            change.write_dated(name, rows, self.days(name))
 
     def delete_jobs(self, keys: DataFrame) -> None:
         """Rewrite the days that hold one of the jobs, and the postings."""
@@ -136,18 +144,17 @@ class Transaction:
     def __enter__(self):
         return self
 
-    def write_dated(self, name: str, rows: DataFrame, days: list | None = None) -> None:
-        """Replace the given days, or the days that occur in the rows."""
-        path = self.store.path(name)
+    def write_dated(self, name: str, rows: DataFrame, days: list) -> None:
+        """Replace the given days; a day left without rows is empty from then on."""
         rows.withColumn("load_key", F.lit(self.key)).write.mode("append").partitionBy("snapshot_date", "load_key").option(
-            "maxRecordsPerFile", _FILE_ROWS).parquet(path)
-        if days is None:
-            written = self.store.spark.read.schema(_DATED_KEYS).parquet(path)
-            days = [r.snapshot_date for r in written.filter(F.col("load_key") == self.key).select("snapshot_date").distinct().collect()]
-        self.entries += [(name, day, self.key) for day in days]
+            "maxRecordsPerFile", _FILE_ROWS).parquet(self.store.path(name))
+        for day in days:
+            day = date.fromisoformat(str(day))
+            written = self.store.exists(self.store.folder(name, day, self.key))
+            self.entries.append((name, day, self.key if written else None))
 
     def write_version(self, name: str, rows: DataFrame) -> DataFrame:
-        path = self.store.path(name, f"load_key={self.key}")
+        path = self.store.folder(name, None, self.key)
         rows.write.parquet(path)
         self.entries.append((name, None, self.key))
         return self.store.spark.read.schema(rows.schema).parquet(path)
@@ -161,12 +168,10 @@ class Transaction:
             last = self.store.log().agg(F.coalesce(F.max("load_id"), F.lit(0)).alias("n")).first().n
             rows = spark.createDataFrame([(last + 1, *entry) for entry in self.entries], _LOG)
             rows.coalesce(1).write.mode("append").parquet(self.store.path("_log"))
+            self.store.refresh()
         return False
 
 
-_DATED_KEYS = StructType([StructField("snapshot_date", DateType()), StructField("load_key", StringType())])
-
-
 def create_tables(spark: SparkSession, database: str) -> None:
     """The seven tables in the session catalog, dated ones partitioned by day."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")

@@ -9,6 +9,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from adlake import schema
 from adlake.operators.daily import close_day, load_day
+from adlake.session import staged
 from adlake.sources.store import JobStore
 
 _DATED_RAW = StructType(schema.RAW.fields + [StructField("run_date", DateType())])
@@ -23,9 +24,10 @@ def capture_stream(spark: SparkSession, folder: str, multi_line: bool = False, f
 
 def _load_batch(store: JobStore, ads: DataFrame) -> None:
     ordered = ads.withColumn("seq", F.struct("file", F.monotonically_increasing_id().alias("place"))).drop("file")
-    days = [r.run_date for r in ordered.select("run_date").distinct().orderBy("run_date").collect()]
-    for day in days:
-        load_day(store, ordered.filter(F.col("run_date") == F.lit(day)).drop("run_date"), day, expire=False)
+    with staged(ordered, "run_date") as captured:
+        for row in captured.select("run_date").distinct().orderBy("run_date").collect():
+            day = row.run_date
+            load_day(store, captured.filter(F.col("run_date") == F.lit(day)).drop("run_date"), day, expire=False)
 
 
 def ingest(store: JobStore, ads: DataFrame, checkpoint: str) -> StreamingQuery:
