@@ -20,10 +20,10 @@ def visible(html: Column) -> Column:
 
 
 def plain(markup: Column) -> Column:
-    """Markup without tags; the five predefined entities decoded."""
+    """Markup without tags; the predefined entities decoded, which in text may lack their semicolon."""
     out = F.regexp_replace(markup, "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    for entity, char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'"), ("&amp;?", "&")):
+        out = F.regexp_replace(out, entity, char)
     return out
 
 

@@ -433,8 +433,9 @@ links AS (
   WHERE contains(href, '/') GROUP BY ALL
 ),
 read AS (
-  SELECT page_id, url, replace(replace(heading, '&quot;', '"'), '&amp;', '&') AS heading,
-    replace(replace(replace(replace(body, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS body
+  SELECT page_id, url, regexp_replace(regexp_replace(heading, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS heading,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'),
+      '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS body
   FROM (SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS heading,
           regexp_replace(html, '<[^>]*>', '', 'g') AS body FROM shown)
 )
