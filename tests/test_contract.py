@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check_oracle import compare, connect
+from contract.registry import queries_by_name
+from contract.sql import sql_by_name
 
 FOLDER = os.environ.get("ADLAKE_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -17,10 +19,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries_by_name()) == set(sql_by_name())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(queries_by_name()))
 def test_query(spark, con, name):
     state, rows, _, detail = compare(spark, con, name, FOLDER)
     assert state == "ok", detail
