@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from adlake.llm.line_dedup import dedup_lines
+from adlake.llm.quality import held_out_fold, score, train
 from adlake.llm.tables import read
 
 QUERIES = {}
@@ -34,3 +35,11 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM common)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM common)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id"""
+
+
+@_query
+def op10_quality(spark, folder):
+    docs = read(spark, folder, "documents")
+    out = score(docs, train(docs, read(spark, folder, "labels")))
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(held_out_fold("row.doc_id"), F.lit(False)).alias("held_out"),
+                      "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
