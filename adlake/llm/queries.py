@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from adlake.llm.line_dedup import dedup_lines
+from adlake.llm.minhash_dedup import near_duplicates
 from adlake.llm.quality import held_out_fold, score, train
 from adlake.llm.tables import read
 
@@ -43,3 +44,9 @@ def op10_quality(spark, folder):
     out = score(docs, train(docs, read(spark, folder, "labels")))
     return out.select(F.col("row.doc_id").alias("doc_id"), F.coalesce(held_out_fold("row.doc_id"), F.lit(False)).alias("held_out"),
                       "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op1_near_dedup(spark, folder):
+    out = near_duplicates(read(spark, folder, "documents"), words_per_shingle=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
