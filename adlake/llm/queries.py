@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from adlake.llm.decontaminate import contaminated
 from adlake.llm.line_dedup import dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
 from adlake.llm.quality import held_out_fold, score, train
@@ -50,3 +51,26 @@ def op10_quality(spark, folder):
 def op1_near_dedup(spark, folder):
     out = near_duplicates(read(spark, folder, "documents"), words_per_shingle=4, percent=80)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op3_decontamination(spark, folder):
+    out = contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return out.select("doc_id", "item_id", "n_item", "n_shared", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
+
+
+def _shingles_sql(table, key, size):
+    """Distinct runs of ``size`` words of a table's texts, as text."""
+    return f"""
+  SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + {size - 1}), ' ') AS s FROM (
+    SELECT {key}, w, unnest(generate_series(1, greatest(len(w) - {size - 1}, least(len(w), 1)))) AS i FROM (
+      SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x20\\x09-\\x0D]+') AS w FROM {table}))"""
+
+
+SQL["op3_decontamination"] = f"""
+WITH i AS ({_shingles_sql('benchmark', 'item_id', 5)}), d AS ({_shingles_sql('documents', 'doc_id', 5)}),
+sizes AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
+FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
