@@ -78,9 +78,12 @@ def _first_marked(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("h1", "h2", "slot").orderBy(F.col("doc_id").asc_nulls_first(), "row_key", "pos")
     streamed = written(ranged.withColumn("nth", F.row_number().over(order)))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row_key", "pos"))
-    firsts = streamed.where("nth = 1").groupBy("h1", "h2").agg(first.alias("first"))
+    # Only the first of a slot can be the first of all, so a line found everywhere brings SLOTS rows to the comparison.
+    leading = streamed.where("nth = 1").drop("nth")
+    firsts = leading.groupBy("h1", "h2").agg(first.alias("first"))
     is_first = (F.col("row_key") == F.col("first.row_key")) & (F.col("pos") == F.col("first.pos"))
-    return streamed.join(firsts, ["h1", "h2"]).select("doc_id", "row_key", "pos", is_first.alias("is_first"))
+    led = leading.join(firsts, ["h1", "h2"]).select("doc_id", "row_key", "pos", is_first.alias("is_first"))
+    return led.union(streamed.where("nth > 1").select("doc_id", "row_key", "pos", F.lit(False)))
 
 
 def _kept_runs(gone: Column, n_lines: Column) -> Column:
