@@ -1,10 +1,12 @@
 """The registered corpus queries: thin digests of the operators, each over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from adlake.llm.decontaminate import contaminated
 from adlake.llm.line_dedup import dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
+from adlake.llm.packing import pack
 from adlake.llm.quality import held_out_fold, score, train
 from adlake.llm.tables import read
 
@@ -74,3 +76,9 @@ sizes AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
 FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
+
+
+@_query
+def op6_packing(spark, folder):
+    out = pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
