@@ -262,5 +262,5 @@ def place(cut: DataFrame, capacity: int, groupings: tuple = GROUPINGS) -> DataFr
     ranked = cut.withColumn("nth", F.row_number().over(order)).join(slots, ["length", "slot"])
     rows = ranked.select(F.struct("doc_id", "row_key", "piece", "start", "length", "ids_crc32", "ids").alias("row"), "length",
                          (F.col("before") + F.col("nth") - 1).alias("rank"))
-    schema = rows.select("row").schema.add("sequence_id", "bigint").add("offset", "bigint")
+    schema = rows.select("row").schema.add("sequence_id", "long").add("offset", "long")
     return rows.mapInArrow(_placed(sent), schema).select("row.*", "sequence_id", "offset")
