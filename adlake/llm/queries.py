@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from adlake.llm.decontaminate import contaminated
 from adlake.llm.line_dedup import dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
+from adlake.llm.order_minhash import edited_likeness
 from adlake.llm.packing import pack
 from adlake.llm.quality import held_out_fold, score, train
+from adlake.llm.sharding import shuffle_into_shards
 from adlake.llm.tables import read
 
 QUERIES = {}
@@ -82,3 +84,16 @@ FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
 def op6_packing(spark, folder):
     out = pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op8_sharding(spark, folder):
+    text = F.coalesce("row.text", F.lit(""))
+    return shuffle_into_shards(read(spark, folder, "documents"), shards=8).select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op9_order_minhash(spark, folder):
+    return edited_likeness(read(spark, folder, "documents")).drop("row_key")
