@@ -11,6 +11,7 @@ from adlake.llm.packing import pack
 from adlake.llm.quality import held_out_fold, score, train
 from adlake.llm.sharding import shuffle_into_shards
 from adlake.llm.tables import read
+from adlake.llm.url_filter import judge
 
 QUERIES = {}
 SQL = {}
@@ -97,3 +98,11 @@ def op8_sharding(spark, folder):
 @_query
 def op9_order_minhash(spark, folder):
     return edited_likeness(read(spark, folder, "documents")).drop("row_key")
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@_query
+def op4_url_filter(spark, folder):
+    return judge(read(spark, folder, "pages"), URL_RULES)
