@@ -3,6 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from adlake.llm import bloom_lm
 from adlake.llm.decontaminate import contaminated
 from adlake.llm.line_dedup import dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
@@ -106,3 +107,10 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 @_query
 def op4_url_filter(spark, folder):
     return judge(read(spark, folder, "pages"), URL_RULES)
+
+
+@_query
+def op5_lm_scoring(spark, folder):
+    docs = read(spark, folder, "documents")
+    out = bloom_lm.score(docs, bloom_lm.train(docs.where(~bloom_lm.held_out_fold())))
+    return out.select("doc_id", bloom_lm.held_out_fold().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
