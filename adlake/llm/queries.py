@@ -11,6 +11,7 @@ from adlake.llm.order_minhash import edited_likeness
 from adlake.llm.packing import pack
 from adlake.llm.quality import held_out_fold, score, train
 from adlake.llm.sharding import shuffle_into_shards
+from adlake.llm.substring_dedup import repeated_passages
 from adlake.llm.tables import read
 from adlake.llm.url_filter import judge
 
@@ -114,3 +115,10 @@ def op5_lm_scoring(spark, folder):
     docs = read(spark, folder, "documents")
     out = bloom_lm.score(docs, bloom_lm.train(docs.where(~bloom_lm.held_out_fold())))
     return out.select("doc_id", bloom_lm.held_out_fold().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op2_substring_dedup(spark, folder):
+    out = repeated_passages(read(spark, folder, "documents"))
+    return out.select("doc_id", F.col("start").alias("start_word"), F.col("size").alias("n_words"), "source_id",
+                      F.col("source_start").alias("source_start_word"), F.col("source_size").alias("source_n_words"), "similarity")
