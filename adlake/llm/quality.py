@@ -73,8 +73,11 @@ def raw_scores(model: dict, index: np.ndarray, value: np.ndarray, at: np.ndarray
     return model["w0"] + np.add.reduceat(model["w"][index] * value, at[:-1]) + pair
 
 
-def fit(texts: list, labels: list, epochs: int = 12, rate: float = 0.08, seed: int = 7) -> dict:
-    """AdaGrad on the logistic loss over mini-batches. With no rows of one class the model is the plain share."""
+def fit(texts: list, labels: list, epochs: int = 12, steps: int = 800, rate: float = 0.08, seed: int = 7) -> dict:
+    """AdaGrad on the logistic loss over mini-batches, for ``epochs`` passes and ``steps`` batches at least.
+
+    With no rows of one class the model is the plain share.
+    """
     y = np.asarray(labels, dtype=np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
     rng = np.random.default_rng(seed)
@@ -86,7 +89,7 @@ def fit(texts: list, labels: list, epochs: int = 12, rate: float = 0.08, seed: i
     parts = [features(pa.array(texts[i:i + 64], pa.large_string())) for i in range(0, len(texts), 64)]
     labelled = [(p, y[i * 64:(i + 1) * 64]) for i, p in enumerate(parts)]
     gw, gv, g0 = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, RANK), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // len(labelled)))):
         for j in rng.permutation(len(labelled)):
             (index, value, at), want = labelled[j]
             n = np.diff(at)
