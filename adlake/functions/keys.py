@@ -2,11 +2,11 @@
 
 from pyspark.sql import Column, functions as F
 
-_SLUG = "/job/([^/?]+)"
+from adlake import fixed_values as fv
 
 
 def _slug(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, _SLUG, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, fv.SLUG_IN_URL, 1), F.lit(""))
 
 
 def _short_md5(text: Column) -> Column:

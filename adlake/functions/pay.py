@@ -20,10 +20,10 @@ def _numbers(packed: Column) -> tuple[Column, Column]:
 def _fields(packed: Column, a: Column, b: Column, b2b_words: list[str]) -> dict[str, Column]:
     lowered, given = F.lower(packed), a.isNotNull()
     currency = (
-        F.when(any_of(packed, ["EUR", "€"]), "EUR").when(any_of(packed, ["USD", "$"]), "USD").otherwise(fv.DEFAULT_CURRENCY))
+        F.when(any_of(packed, fv.EURO_MARKS), "EUR").when(any_of(packed, fv.DOLLAR_MARKS), "USD").otherwise(fv.DEFAULT_CURRENCY))
     period = (
-        F.when(packed.contains("/h") | any_of(lowered, ["godz", "hour"]), "hourly")
-        .when(packed.contains("/rok") | any_of(lowered, ["annual", "yearly"]), "annual").otherwise("monthly"))
+        F.when(packed.contains(fv.HOURLY_MARK) | any_of(lowered, fv.HOURLY_WORDS), "hourly")
+        .when(packed.contains(fv.ANNUAL_MARK) | any_of(lowered, fv.ANNUAL_WORDS), "annual").otherwise("monthly"))
     return {
         "currency": F.when(given, currency),
         "salary_min": F.least(a, b),

@@ -40,9 +40,11 @@ def clean_text(text: Column) -> Column:
     return F.nullif(F.replace(collapsed, F.lit("\x00"), F.lit("")), F.lit(""))
 
 
-def truncate_description(text: Column, max_length: int = fv.MAX_TEXT) -> Column:
-    """Collapse white space, cut to max_length and mark the cut with '...'."""
+def truncate_description(text: Column, max_length: int | None = None) -> Column:
+    """Collapse white space; where the caller gives a length, cut to it and mark the cut with '...'."""
     collapsed = F.regexp_replace(F.nullif(text, F.lit("")), WHITESPACE, " ")
+    if max_length is None:
+        return collapsed
     return F.when(
         F.length(collapsed) > max_length, F.concat(F.substring(collapsed, 1, max_length), F.lit("..."))
     ).otherwise(collapsed)

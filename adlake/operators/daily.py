@@ -1,67 +1,85 @@
-"""One day's load, from raw ads to a published store."""
+"""Loads, from raw ads of one day or many to the store."""
 
 import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlake.operators import load, metrics
-from adlake.operators.extract import records
+from adlake.operators.extract import only_listed, records, with_reason, without_fields
 from adlake.operators.transform import categorised, normalise, technology_rows
 from adlake.session import staged
 from adlake.sources.raw import scrape_run
-from adlake.sources.store import JobStore
+from adlake.sources.store import JobStore, bucket_of
 
 _KEY = ["job_id", "snapshot_date"]
 _SNAPSHOT = ["description", "requirements", "location_type", "city", "region", "country", "seniority_level", "employment_type"]
 _PAY = ["currency", "salary_min", "salary_max", "salary_avg", "period", "is_b2b"]
 
 
-def prepare(raw: DataFrame, snapshot_date: Column, cities: Column | None = None) -> DataFrame:
-    """Accepted ads as flat normalised rows, with ``seq`` for their order."""
+def prepare(raw: DataFrame, snapshot_date: Column, cities: Column | None = None, lists: dict | None = None, **fields: bool) -> DataFrame:
+    """Accepted ads as flat normalised rows, with ``seq`` for their order and their day.
+
+    ``lists`` keeps ads whose column has one of the listed values; ``fields`` switches fields off (salary=False).
+    """
     ordered = raw if "seq" in raw.columns else raw.withColumn("seq", F.monotonically_increasing_id())
-    return normalise(records(ordered, snapshot_date), cities)
+    wanted = without_fields(only_listed(ordered, **(lists or {})), **fields)
+    return normalise(records(wanted, snapshot_date), cities).withColumn("snapshot_date", F.col("first_seen_date"))
 
 
-def load_day(store: JobStore, raw: DataFrame, snapshot_date, now: Column | None = None, expire: bool = True) -> DataFrame:
-    """L1: merge one day's ads into the store and publish all tables together. Returns the statistics row.
+def load_days(store: JobStore, raw: DataFrame, day: Column, now: Column | None = None, complete: bool = True, **options) -> DataFrame:
+    """Merge ads of any number of days into the store in one pass. Returns the statistics row.
 
-    Repeating a day with the same ads changes nothing but the timestamps. ``expire=False`` leaves expiry and
-    metrics to close_day, for days that arrive in several pieces.
+    ``day`` is the ads' day, a column or a literal. All tables change together when everything has been computed:
+    postings, snapshots, pay, technologies, links, the metrics of the touched days, and the refused ads with their
+    reasons in ``rejects``; ``errors`` counts those. ``complete=False`` is for days that arrive in pieces. Repeating
+    a load changes nothing but the timestamps.
     """
-    day = F.lit(snapshot_date).cast("date")
     now = F.current_timestamp() if now is None else now
-    with staged(prepare(raw, day)) as batch, store.transaction() as change:
-        postings = change.write_version("job_postings", load.merge_postings(
-            store.table("job_postings"), batch.select("job_id", "title", "company_name", "url", "seq"), day, now, expire))
-
-        last = load.last_per_key(batch.withColumn("snapshot_date", day).select(*_KEY, "seq", *_SNAPSHOT), _KEY, "seq").drop("seq")
-        change.write_dated("job_snapshots", load.replace_by_key(store.day("job_snapshots", snapshot_date), last, _KEY), [snapshot_date])
-
-        paid = batch.filter("salary_min IS NOT NULL").withColumn("snapshot_date", day).select(*_KEY, "seq", *_PAY)
-        pay = load.last_per_key(paid, _KEY, "seq").drop("seq")
-        change.write_dated("salaries", load.replace_by_key(store.day("salaries", snapshot_date), pay, _KEY), [snapshot_date])
-
-        dimension = store.table("technologies")
-        named = technology_rows(batch)
-        fresh = load.new_technologies(dimension, categorised(named.select("name").distinct()), "name")
-        technologies = change.write_version(
-            "technologies", dimension.withColumn("is_new", F.lit(False)).unionByName(fresh.withColumn("is_new", F.lit(True))))
-        links = load.technology_links(named, technologies, day)
-        change.write_dated("job_technologies", load.insert_or_ignore(
-            store.day("job_technologies", snapshot_date), links, ["job_id", "technology_id", "snapshot_date"]), [snapshot_date])
-
-        statistics = load.load_statistics(
-            postings, technologies.agg(F.count_if("is_new")).scalar(), F.lit(0).cast("bigint"))
-    if expire:
-        write_metrics(store, snapshot_date, store.table("job_postings"))
-    return statistics
-
-
-def write_metrics(store: JobStore, snapshot_date, postings: DataFrame) -> None:
-    """M1-M3: the day's metric row replaces an earlier one."""
-    row = metrics.daily_metrics(postings, store.table("job_snapshots"), store.table("salaries"), F.lit(snapshot_date))
-    with store.transaction() as change:
-        change.write_version("daily_metrics", metrics.upsert_metrics(store.table("daily_metrics"), row))
+    judged = with_reason(raw if "seq" in raw.columns else raw.withColumn("seq", F.monotonically_increasing_id()))
+    judged = judged.withColumn("snapshot_date", day.cast("date"))
+    with staged(judged) as ads, store.change() as change:
+        days = ads.select("snapshot_date").distinct()
+        refused = ads.filter("reason IS NOT NULL")
+        change.replace("rejects", refused.select(*store.table("rejects").columns), days)
+        with staged(prepare(ads.filter("reason IS NULL").drop("reason"), F.col("snapshot_date"), **options)) as batch:
+            statistics = _merge(store, change, batch, days, now, complete)
+            statistics = statistics.withColumn("errors", refused.agg(F.count(F.lit(1))).scalar())
+            out = store.spark.createDataFrame([statistics.first()], statistics.schema)
+    return out
+
+
+def _merge(store: JobStore, change, batch: DataFrame, days: DataFrame, now: Column, complete: bool):
+    postings = load.merge_postings(store.table("job_postings"), batch.select(*_KEY, "title", "company_name", "url", "seq"), now, complete)
+    with staged(postings) as merged:
+        # Buckets in which nothing happened stay as they are.
+        hit = merged.filter("change <> 'kept'").select(bucket_of().alias("bucket")).distinct()
+        fresh = merged.withColumn("bucket", bucket_of()).join(F.broadcast(hit), "bucket", "left_semi")
+        change.replace("job_postings", fresh.select(*store.table("job_postings").columns))
+        active = merged.filter("is_active").select("job_id")
+
+        last = load.last_per_key(batch.select(*_KEY, "seq", *_SNAPSHOT), _KEY, "seq").drop("seq")
+        snapshots = change.replace("job_snapshots", load.replace_by_key(store.days_of("job_snapshots", days), last, _KEY))
+        pay = load.last_per_key(batch.filter("salary_min IS NOT NULL").select(*_KEY, "seq", *_PAY), _KEY, "seq").drop("seq")
+        salaries = change.replace("salaries", load.replace_by_key(store.days_of("salaries", days), pay, _KEY))
+
+        dimension, named = store.table("technologies"), technology_rows(batch)
+        new = change.append("technologies", load.new_technologies(dimension, categorised(named.select("name").distinct()), "name"))
+        links = load.technology_links(named, dimension.unionByName(new))
+        change.replace("job_technologies", load.insert_or_ignore(
+            store.days_of("job_technologies", days), links, ["job_id", "technology_id", "snapshot_date"]))
+
+        # On the newest day the postings tell who is active; an earlier day is closed with all ads it saw.
+        newest = merged.agg(F.max("last_seen_date")).scalar()
+        still = active.withColumn("_active", F.lit(True))
+        seen = snapshots.join(still, "job_id", "left").filter((F.col("snapshot_date") < newest) | F.col("_active"))
+        change.replace("daily_metrics", metrics.metrics_of_days(seen, salaries))
+        statistics = load.load_statistics(merged, new.agg(F.count(F.lit(1))).scalar(), F.lit(0).cast("bigint"))
+        return store.spark.createDataFrame([statistics.first()], statistics.schema)
+
+
+def load_day(store: JobStore, raw: DataFrame, snapshot_date, now: Column | None = None, **options) -> DataFrame:
+    """L1 for one complete capture."""
+    return load_days(store, raw, F.lit(snapshot_date), now, **options)
 
 
 def run_day(store: JobStore, raw: DataFrame, snapshot_date) -> DataFrame:
@@ -72,7 +90,7 @@ def run_day(store: JobStore, raw: DataFrame, snapshot_date) -> DataFrame:
         found = raw.count()
         statistics = load_day(store, raw, snapshot_date).first()
     except Exception as error:
-        store.append_run(scrape_run(store.spark, now, status="failed", error_message=str(error)[:1000],
+        store.append_run(scrape_run(store.spark, now, status="failed", error_message=str(error),
                                     duration_seconds=time.monotonic() - started))
         raise
     run = scrape_run(store.spark, now, found, statistics.jobs_new, statistics.jobs_updated, statistics.jobs_expired,
@@ -81,27 +99,6 @@ def run_day(store: JobStore, raw: DataFrame, snapshot_date) -> DataFrame:
     return run
 
 
-def close_day(store: JobStore, snapshot_date) -> None:
-    """L8 for a day that came in pieces: postings last seen before it expire; then its metrics.
-
-    A day without any ad expires nothing.
-    """
-    day = F.lit(snapshot_date).cast("date")
-    if store.day("job_snapshots", snapshot_date).isEmpty():
-        return
-    old = store.table("job_postings")
-    with store.transaction() as change:
-        change.write_version("job_postings", old.withColumn(
-            "is_active", F.col("is_active") & (F.col("last_seen_date") >= day)))
-    # At the end of a day the active ads are those it saw; the postings may already know later days.
-    seen = store.day("job_snapshots", snapshot_date).select("job_id", F.lit(True).alias("is_active"))
-    write_metrics(store, snapshot_date, seen)
-
-
-def backfill(store: JobStore, dated_ads: DataFrame) -> dict:
-    """Load the days of a frame with a snapshot_date column, oldest first. Statistics rows by day."""
-    with staged(dated_ads, "snapshot_date") as ads:
-        days = [r.snapshot_date for r in ads.select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
-        return {
-            day: load_day(store, ads.filter(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date"), day).first()
-            for day in days}
+def backfill(store: JobStore, dated_ads: DataFrame) -> DataFrame:
+    """Load a frame with a snapshot_date column; the number of jobs does not depend on the number of days."""
+    return load_days(store, dated_ads.withColumnRenamed("snapshot_date", "_day"), F.col("_day"))

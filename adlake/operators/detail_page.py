@@ -18,6 +18,19 @@ TAGS = [("", "class", "technology"), ("", "class", "skill"), ("", "class", "tech
 TAG_BOX = ("div", "word", "tags")  # all spans inside count, after the tests above
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
+# A start tag ends an open element of these, looked for up to the nearest of the fences.
+_BLOCKS = ("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main "
+           "nav ol p pre section table ul").split()
+_P_FENCE = {"button", "caption", "table", "td", "th"}
+ENDS = {
+    **{block: [({"p"}, _P_FENCE)] for block in _BLOCKS},
+    "li": [({"p"}, _P_FENCE), ({"li"}, {"ul", "ol"})],
+    **{tag: [({"p"}, _P_FENCE), ({"dt", "dd"}, {"dl"})] for tag in ("dt", "dd")},
+    **{tag: [({"td", "th"}, {"tr", "table"})] for tag in ("td", "th")},
+    "tr": [({"tr"}, {"table"})],
+    **{tag: [({"thead", "tbody", "tfoot"}, {"table"})] for tag in ("thead", "tbody", "tfoot")},
+    "option": [({"option"}, {"select"})],
+}
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -36,13 +49,22 @@ class _Outline(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.pieces, self.elements, self.open, self.hidden = [], [], [], 0
+        self.by_tag, self.with_class = {}, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li") and self.open and self.open[-1]["tag"] == tag:
-            self.handle_endtag(tag)
+        for ended, fences in ENDS.get(tag, ()):
+            for element in reversed(self.open):
+                if element["tag"] in ended:
+                    self.handle_endtag(element["tag"])
+                    break
+                if element["tag"] in fences:
+                    break
         element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "from": len(self.pieces), "to": len(self.pieces),
                    "boxed": bool(self.open) and (self.open[-1]["boxed"] or _passes(self.open[-1], TAG_BOX))}
         self.elements.append(element)
+        self.by_tag.setdefault(tag, []).append(element)
+        if element["attrs"].get("class"):
+            self.with_class.append(element)
         if tag not in VOID:
             self.open.append(element)
             self.hidden += tag in HIDDEN
@@ -70,7 +92,8 @@ class _Outline(HTMLParser):
             self.handle_endtag(self.open[-1]["tag"])
 
     def matching(self, test):
-        return [e for e in self.elements if _passes(e, test)]
+        among = self.by_tag.get(test[0], []) if test[0] else self.with_class if test[1] == "class" else self.elements
+        return [e for e in among if _passes(e, test)]
 
     def text(self, element, joiner=""):
         pieces = (p.strip() for p in self.pieces[element["from"]:element["to"]])
@@ -106,7 +129,7 @@ def read_fields(html):
         page.first(COMPANY, bool),
         page.first(DESCRIPTION, bool, "\n"),
         page.first(REQUIREMENTS, bool, "\n"),
-        page.first(SALARY, lambda t: any(c.isdecimal() for c in t)),
+        page.first(SALARY, lambda t: any("0" <= c <= "9" for c in t)),
         page.first(LOCATION, bool),
         tags,
     )

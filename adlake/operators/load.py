@@ -18,37 +18,39 @@ def first_per_key(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return best.select(*keys, *[F.col("_first")[c].alias(c) for c in rest])
 
 
-def merge_postings(old: DataFrame, batch: DataFrame, snapshot_date: Column, now: Column, expire: bool = True) -> DataFrame:
-    """The new posting state, with ``change`` and ``copies`` per posting.
-
-    ``batch`` holds job_id, title, company_name, url and seq, copies included. Known postings keep their text;
-    a new one takes that of its first copy. A posting not in the batch expires. An empty batch expires nothing.
-
-    The batch is the build side of every join, so when it is small enough the stored postings are not shuffled.
+def merge_postings(old: DataFrame, batch: DataFrame, now: Column, complete: bool = True) -> DataFrame:
+    """L2, L3, L8, L9 for one day or many: the new posting state, with ``change`` and ``copies`` per posting.
+
+    ``batch`` holds job_id, title, company_name, url, snapshot_date and seq, copies included. Known postings keep
+    their text, a new one takes that of its first copy; first and last day stretch in both directions, so days may
+    come late. A ``complete`` batch holds all ads of its newest day: a posting without an ad there expires, unless
+    the store already knows a later day. Otherwise what was last seen before the newest day expires. An empty batch
+    expires nothing.
     """
-    day = snapshot_date.cast("date")
-    copies = batch.groupBy("job_id").agg(
-        F.min_by(F.struct("title", "company_name", "url"), "seq").alias("_ad"), F.count(F.lit(1)).alias("copies"))
-    is_empty = copies.agg(F.count(F.lit(1)) == 0).scalar()
-    hit = F.col("copies").isNotNull()
-    gone = ~hit & F.col("is_active") & (F.lit(expire) & ~is_empty)
-    known = old.join(copies.select("job_id", "copies"), "job_id", "left").withColumn("_gone", gone).select(
-        "job_id", "title", "company_name", "url",
-        "first_seen_date",
-        F.when(hit, F.greatest("last_seen_date", day)).otherwise(F.col("last_seen_date")).alias("last_seen_date"),
-        (hit | (F.col("is_active") & ~F.col("_gone"))).alias("is_active"),
-        "created_at",
+    seen = batch.groupBy("job_id").agg(
+        F.min_by(F.struct("title", "company_name", "url"), F.struct("snapshot_date", "seq")).alias("_ad"),
+        F.count(F.lit(1)).alias("copies"), F.min("snapshot_date").alias("_from"), F.max("snapshot_date").alias("_to"))
+    stored = old.withColumn("_was_active", F.col("is_active"))
+    newest_old, newest_batch = old.agg(F.max("last_seen_date")).scalar(), batch.agg(F.max("snapshot_date")).scalar()
+    known, hit = F.col("_was_active").isNotNull(), F.col("copies").isNotNull()
+    last_seen = F.greatest("last_seen_date", "_to")
+    if complete:
+        late = newest_batch.isNull() | F.coalesce(newest_old > newest_batch, F.lit(False))
+        is_active = F.when(late, F.coalesce("_was_active", F.lit(False))).otherwise(F.coalesce(F.col("_to") == newest_batch, F.lit(False)))
+    else:
+        is_active = last_seen == F.greatest(newest_old, newest_batch)
+    merged = stored.join(seen, "job_id", "full_outer").withColumns({"_last": last_seen, "_now": is_active})
+    return merged.select(
+        "job_id",
+        *[F.coalesce(c, F.col("_ad")[c]).alias(c) for c in ("title", "company_name", "url")],
+        F.least("first_seen_date", "_from").alias("first_seen_date"),
+        F.col("_last").alias("last_seen_date"),
+        F.col("_now").alias("is_active"),
+        F.when(known, F.col("created_at")).otherwise(now).alias("created_at"),
         F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(hit, "updated").when(F.col("_gone"), "expired").otherwise("kept").alias("change"),
+        F.when(~known, "new").when(hit, "updated").when(F.col("_was_active") & ~F.col("_now"), "expired").otherwise("kept").alias("change"),
         F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"),
     )
-    seen = old.select("job_id").join(copies.select("job_id"), "job_id", "left_semi")
-    fresh = copies.join(seen, "job_id", "left_anti").select(
-        "job_id", "_ad.title", "_ad.company_name", "_ad.url",
-        day.alias("first_seen_date"), day.alias("last_seen_date"), F.lit(True).alias("is_active"),
-        now.alias("created_at"), now.alias("updated_at"), F.lit("new").alias("change"), "copies",
-    )
-    return known.unionByName(fresh)
 
 
 def expired(old: DataFrame, batch_keys: DataFrame) -> DataFrame:
@@ -73,11 +75,10 @@ def new_technologies(dimension: DataFrame, named: DataFrame, seq: str) -> DataFr
         technology_key(F.col("name")).alias("technology_id"), "name", "category")
 
 
-def technology_links(named: DataFrame, dimension: DataFrame, snapshot_date: Column) -> DataFrame:
+def technology_links(named: DataFrame, dimension: DataFrame) -> DataFrame:
     """Distinct (job, technology, day) links; the key comes from the dimension."""
-    return named.select("job_id", "name").distinct().join(dimension.select("technology_id", "name"), "name").select(
-        "job_id", "technology_id", F.lit(None).cast("string").alias("proficiency_level"),
-        snapshot_date.cast("date").alias("snapshot_date"))
+    return named.select("job_id", "name", "snapshot_date").distinct().join(dimension.select("technology_id", "name"), "name").select(
+        "job_id", "technology_id", F.lit(None).cast("string").alias("proficiency_level"), "snapshot_date")
 
 
 def load_statistics(postings: DataFrame, technologies_new: Column, errors: Column) -> DataFrame:

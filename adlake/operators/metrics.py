@@ -53,6 +53,18 @@ def metrics_by_date(postings: DataFrame, snapshots: DataFrame, salaries: DataFra
     )
 
 
+def metrics_of_days(seen: DataFrame, salaries: DataFrame) -> DataFrame:
+    """M1 + M2 for each day as it was at its end: the ads of the day are the active ones."""
+    counts = seen.groupBy("snapshot_date").agg(
+        F.count_distinct("job_id").alias("total_jobs"), _type_count("remote"), _type_count("office"), _type_count("hybrid"))
+    pay = salaries.join(seen.select("job_id", "snapshot_date"), ["job_id", "snapshot_date"], "left_semi").groupBy("snapshot_date").agg(
+        F.avg("salary_avg").alias("avg_salary_pln"))
+    median = upper_median(salaries.select("snapshot_date", "salary_avg"), ["snapshot_date"], "salary_avg", "median_salary_pln")
+    return counts.join(pay, "snapshot_date", "left").join(median, "snapshot_date", "left").select(
+        F.col("snapshot_date").alias("metric_date"), "total_jobs", "remote_jobs", "office_jobs", "hybrid_jobs",
+        "avg_salary_pln", "median_salary_pln", F.col("total_jobs").alias("jobs_scraped"))
+
+
 def upsert_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
     """M3: new rows replace old ones of the same date."""
     return old.join(new.select("metric_date"), "metric_date", "left_anti").unionByName(new)

@@ -12,7 +12,7 @@ cloudpickle.register_pickle_by_value(detail_page)
 
 _NOT_SHOWN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
-_PAY_IN_TEXT = r"(?U)(\d[\d\s]*-[\d\s]*\d)\s*(PLN|zł|EUR)"
+_PAY_IN_TEXT = "(?U)" + fv.PAY_IN_TEXT
 
 
 def visible(html: Column) -> Column:
@@ -63,9 +63,9 @@ def unique_urls(links: DataFrame) -> DataFrame:
     return links.select("url").distinct()
 
 
-def capped(urls: DataFrame, max_jobs: int = fv.MAX_JOBS_PER_RUN) -> DataFrame:
-    """The run's cap on ads, made repeatable by taking them in URL order."""
-    return urls.orderBy("url").limit(max_jobs)
+def capped(urls: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    """The caller's cap on a run's ads, made repeatable by taking them in URL order; none without a number."""
+    return urls if max_jobs is None else urls.orderBy("url").limit(max_jobs)
 
 
 def has_next_page(html: Column) -> Column:
@@ -122,11 +122,20 @@ def field_texts(pages: DataFrame) -> DataFrame:
             yield pd.concat([batch[["page_id", "url"]], out], axis=1)
 
     kinds = ", ".join(f"{n} {'array<string>' if n == 'tags' else 'string'}" for n in names)
-    return pages.select("page_id", "url", "html").mapInPandas(parse, f"page_id bigint, url string, {kinds}")
+    # A small file is one partition; the walk is worth a shuffle of the pages.
+    spread = pages.select("page_id", "url", "html").repartition("page_id")
+    return spread.mapInPandas(parse, f"page_id bigint, url string, {kinds}")
 
 
-def parse_details(pages: DataFrame, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS) -> DataFrame:
-    """One raw ad per page. Only the markup walk is Python; rules on the texts are columns."""
+def parse_details(pages: DataFrame, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS, max_text: int | None = None,
+                  max_technologies: int | None = None) -> DataFrame:
+    """One raw ad per page. Only the markup walk is Python; rules on the texts are columns.
+
+    Texts and technologies are whole unless the caller gives a limit.
+    """
+    def text_of(name: str) -> Column:
+        return F.col(name) if max_text is None else F.substring(name, 1, max_text).alias(name)
+
     found = F.regexp_extract(F.col("page_text"), _PAY_IN_TEXT, 0)
     tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(text.find_keywords(F.col("page_text"), keywords))
     return field_texts(pages.filter("html <> ''")).select(
@@ -135,22 +144,23 @@ def parse_details(pages: DataFrame, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS
         keys.job_key_from_url(F.col("url")).alias("job_id"),
         F.coalesce("title", F.lit(fv.DEFAULT_TITLE)).alias("title"),
         F.coalesce("company_name", F.lit(fv.DEFAULT_COMPANY)).alias("company_name"),
-        F.substring("description", 1, fv.MAX_TEXT).alias("description"),
-        F.substring("requirements", 1, fv.MAX_TEXT).alias("requirements"),
+        text_of("description"),
+        text_of("requirements"),
         F.coalesce("salary", F.nullif(found, F.lit(""))).alias("salary"),
         "location",
-        F.slice(tags, 1, fv.MAX_TECHNOLOGIES).alias("technologies"),
+        (tags if max_technologies is None else F.slice(tags, 1, max_technologies)).alias("technologies"),
         labels.detect_seniority(F.col("heading"), F.col("page_text")).alias("seniority"),
         text.employment_type(F.col("page_text")).alias("employment_type"),
     )
 
 
-def listing_prefix(listing: DataFrame, run: str, page: str, stop: Column, max_pages: int = fv.MAX_PAGES) -> DataFrame:
-    """A run's pages up to and including its first stop page, never beyond max_pages.
+def listing_prefix(listing: DataFrame, run: str, page: str, stop: Column, max_pages: int | None = None) -> DataFrame:
+    """A run's pages up to and including its first stop page, and not beyond the caller's max_pages.
 
-    The first stop per run is a plain minimum, so a run with very many pages is never sorted in one task.
+    ``page`` is any column that orders a run's pages. The first stop per run is a plain minimum, so a run with very
+    many pages is never sorted in one task.
     """
-    listing = listing.filter(F.col(page) <= max_pages)
+    listing = listing if max_pages is None else listing.filter(F.col(page) <= max_pages)
     first_stop = listing.groupBy(run).agg(F.min(F.when(stop, F.col(page))).alias("_stop"))
     return (
         listing.join(first_stop, run)
@@ -158,7 +168,7 @@ def listing_prefix(listing: DataFrame, run: str, page: str, stop: Column, max_pa
     )
 
 
-def harvested_pages(listing: DataFrame, max_pages: int = fv.MAX_PAGES) -> DataFrame:
+def harvested_pages(listing: DataFrame, max_pages: int | None = None) -> DataFrame:
     """X15 on (run_id, page, n_links, has_next): a page without links ends the run and is itself left out."""
     stop = (F.col("n_links") == 0) | ~F.col("has_next")
     return listing_prefix(listing, "run_id", "page", stop, max_pages).filter("n_links > 0")

@@ -21,7 +21,7 @@ def normalise(records: DataFrame, cities: Column | None = None) -> DataFrame:
 
 def technology_rows(rows: DataFrame) -> DataFrame:
     """(.., name, pos) per technology of each ad; categories are added on distinct names only."""
-    carried = [c for c in ("job_id", "seq") if c in rows.columns]
+    carried = [c for c in ("job_id", "snapshot_date", "seq") if c in rows.columns]
     return rows.select(*carried, F.posexplode("technologies").alias("pos", "name")).filter("name IS NOT NULL")
 
 

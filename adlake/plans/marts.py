@@ -21,7 +21,8 @@ def _sums(counts: DataFrame, *keys: str) -> DataFrame:
 
 
 def _share(sums: DataFrame) -> DataFrame:
-    total = sums.agg(F.sum("job_count")).scalar()
+    """A share per group; the sums are few rows, one per category or type."""
+    total = F.sum("job_count").over(W.partitionBy(F.lit(1)))
     return sums.withColumn("share", F.try_divide(F.col("job_count").cast("double"), total))
 
 
@@ -69,9 +70,10 @@ def salary_by_seniority(t, date_from=None, date_to=None) -> DataFrame:
     """A4: in order junior, mid, senior; other levels only when none of these exists."""
     boxes = _boxes(t, "seniority_level", date_from, date_to)
     place = F.array_position(F.array(*map(F.lit, fv.SENIORITY_ORDER)), F.col("seniority_level"))
-    known = boxes.agg(F.coalesce(F.max(place), F.lit(0)) > 0).scalar()
-    return boxes.withColumn("level_order", place).filter((F.col("level_order") > 0) | ~known).orderBy(
-        "level_order", "seniority_level")
+    # One row per level, so a window over all of them is small.
+    known = F.coalesce(F.max("level_order").over(W.partitionBy(F.lit(1))), F.lit(0)) > 0
+    return boxes.withColumn("level_order", place).withColumn("_known", known).filter(
+        (F.col("level_order") > 0) | ~F.col("_known")).drop("_known").orderBy("level_order", "seniority_level")
 
 
 def salary_by_location_type(t, date_from=None, date_to=None) -> DataFrame:
@@ -128,8 +130,7 @@ def co_occurrence(t, technology: str, top_n: int = 10) -> DataFrame:
     The given technology's ads are the one side, so pairs among the others are never formed.
     """
     links = t["job_technologies"].select("job_id", "snapshot_date", "technology_id")
-    # One row, as names are unique: no shuffle on the technology, however frequent it is.
-    given = F.broadcast(t["technologies"].filter(F.col("name") == technology).select("technology_id").limit(1))
+    given = t["technologies"].filter(F.col("name") == technology).select("technology_id")
     ads = links.join(given, "technology_id", "left_semi").select("job_id", "snapshot_date")
     counted = links.join(ads, ["job_id", "snapshot_date"], "left_semi").join(given, "technology_id", "left_anti").groupBy(
         "technology_id").agg(F.count_distinct("job_id").alias("job_count"))

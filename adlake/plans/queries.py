@@ -1,6 +1,6 @@
 """Product and ad-hoc queries."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from adlake import schema
 from adlake.functions.text import percent
@@ -200,9 +200,9 @@ def average_salary_by_technology(t, top_n: int = 10) -> DataFrame:
 
 def location_share(t) -> DataFrame:
     """Share of snapshots per location type, the null type included."""
-    snaps = t["job_snapshots"]
-    return snaps.groupBy("location_type").agg(_one().alias("_n")).select(
-        "location_type", percent(F.col("_n"), snaps.agg(_one()).scalar()).alias("percentage"))
+    counted = t["job_snapshots"].groupBy("location_type").agg(_one().alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(F.lit(1)))  # over one row per type
+    return counted.select("location_type", percent(F.col("_n"), total).alias("percentage"))
 
 
 def technology_trend_recent(t, as_of, days: int = 7) -> DataFrame:

@@ -43,6 +43,9 @@ TABLES = {
     ),
 }
 
+# Refused ads with their reason, beside the history.
+REJECTS = StructType([*RAW.fields, StructField("reason", _S), StructField("snapshot_date", _D)])
+
 # Tables with one row per key and day: written and pruned by snapshot_date.
 DATED = ("job_snapshots", "salaries", "job_technologies")
 

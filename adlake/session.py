@@ -1,7 +1,6 @@
 """Session defaults and shared scratch space."""
 
 import os
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -30,14 +29,11 @@ def local_session(cores: str = "*", partitions: int = 8, **conf) -> SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only on a local master."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="adlake-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    if not root:
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 

@@ -2,7 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adlake import fixed_values as fv
+# Invented for trials; nothing depends on them.
+COMPANIES = ["Heron and Sons", "Marsh Atlas", "Tadpole Lab", "Otter Works", "Reedbed Systems", "Kingfisher Data", "Lockgate"]
+TECHNOLOGIES = ["Rust", "Kotlin", "Scala", "Julia", "Swift", "Svelte", "Rails", "Laravel", "Neo4j", "SQLite", "Cassandra", "Heroku",
+                "Linode", "Vagrant", "Jira", "Confluence", "Kafka", "Airflow"]
+CITIES = ["Gdynia", "Sopot", "Lublin", "Toruń", "Rzeszów", "Bydgoszcz", "Łódź"]
+PAY_BANDS = [("junior", 5200, 9400), ("mid", 9800, 16600), ("senior", 17000, 30500)]
+
 
 
 def _pick(values: list, seed: int) -> Column:
@@ -14,30 +20,30 @@ def sample_ads(spark: SparkSession, num_jobs: int = 50, num_days: int = 7, as_of
     """Raw ads with a snapshot_date spread over the days before as_of; made where the tasks run."""
     bands = F.array(*[
         F.struct(F.lit(level).alias("level"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-        for level, low, high in fv.SAMPLE_PAY_BANDS])
-    names = F.array(*[F.lit(t) for t in fv.SAMPLE_TECHNOLOGIES])
+        for level, low, high in PAY_BANDS])
+    names = F.array(*[F.lit(t) for t in TECHNOLOGIES])
     drawn = spark.range(num_jobs).select(
         "id",
         F.date_sub(F.lit(as_of).cast("date"), F.floor(F.rand(seed) * (num_days + 1)).cast("int")).alias("snapshot_date"),
-        F.get(bands, F.floor(F.rand(seed + 1) * len(fv.SAMPLE_PAY_BANDS)).cast("int")).alias("band"),
-        _pick(fv.SAMPLE_CITIES, seed + 2).alias("city"),
+        F.get(bands, F.floor(F.rand(seed + 1) * len(PAY_BANDS)).cast("int")).alias("band"),
+        _pick(CITIES, seed + 2).alias("city"),
         (F.floor(F.rand(seed + 3) * 3) == 0).alias("remote"),
-        _pick(fv.SAMPLE_COMPANIES, seed + 4).alias("company_name"),
+        _pick(COMPANIES, seed + 4).alias("company_name"),
         F.slice(F.shuffle(names, seed + 5), F.lit(1), (F.floor(F.rand(seed + 6) * 4) + 3).cast("int")).alias("technologies"),
         F.rand(seed + 7).alias("r_low"), F.rand(seed + 8).alias("r_span"), F.rand(seed + 9).alias("r_type"),
     ).withColumn(
         "low", (F.col("band.low") + F.floor(F.col("r_low") * (F.col("band.high") - 2000 - F.col("band.low") + 1))).cast("bigint")
     ).withColumn("high", F.col("low") + 2000 + F.floor(F.col("r_span") * 4001).cast("bigint"))
     return drawn.select(
-        F.concat(F.lit("sample-job-"), F.when(F.col("id") < 1000, F.lpad(F.col("id").cast("string"), 3, "0"))
+        F.concat(F.lit("trial-"), F.when(F.col("id") < 1000, F.lpad(F.col("id").cast("string"), 3, "0"))
                  .otherwise(F.col("id").cast("string"))).alias("job_id"),
         F.concat_ws(" ", F.initcap("band.level"), F.col("technologies")[0], F.lit("Developer")).alias("title"),
         "company_name",
-        F.concat(F.lit("https://jobs.example/job/sample-"), F.col("id").cast("string")).alias("url"),
-        F.concat(F.lit("Exciting opportunity to work with "), F.array_join(F.slice("technologies", 1, 3), ", ")).alias("description"),
-        F.concat(F.lit("Required: "), F.array_join("technologies", ", ")).alias("requirements"),
+        F.concat(F.lit("https://jobs.example/job/trial-"), F.col("id").cast("string")).alias("url"),
+        F.concat(F.lit("Days at the water with "), F.array_join(F.slice("technologies", 1, 3), ", ")).alias("description"),
+        F.concat(F.lit("You have used "), F.array_join("technologies", ", ")).alias("requirements"),
         F.concat_ws(" ", "low", F.lit("-"), "high", F.lit("PLN")).alias("salary"),
-        F.concat(F.col("city"), F.lit(" / "), F.when(F.col("remote"), "Zdalnie").otherwise("")).alias("location"),
+        F.concat(F.col("city"), F.lit(" / "), F.when(F.col("remote"), "remote").otherwise("")).alias("location"),
         "technologies",
         F.col("band.level").alias("seniority"),
         F.when(F.col("r_type") > 0.5, "B2B").otherwise("full-time").alias("employment_type"),

@@ -6,9 +6,9 @@ location and level are first written as free text and then parsed like captured
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adlake import fixed_values as fv, schema
+from adlake import schema
 from adlake.functions.keys import technology_key
 from adlake.functions.labels import seniority_level
 from adlake.functions.pay import with_pay
@@ -24,7 +24,7 @@ class StarHistory:
     """The seven tables, each derived when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._start = spark, folder, None
 
     def read(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
@@ -35,22 +35,30 @@ class StarHistory:
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    @cached_property
-    def _last_months(self) -> list:
-        """The two newest months, newest first: two dates that every query needs as plain filter values."""
-        months = self.read("orders").select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("m")).distinct()
-        return [row.m for row in months.orderBy(F.desc("m")).limit(2).collect()]
+    def _newest(self, what) -> Column:
+        """A value made of the newest order date, found by a subquery over that one column when the query runs."""
+        return self.read("orders").agg(what(F.trunc(F.max("o_orderdate").cast("date"), "MM"))).scalar()
 
     @cached_property
-    def monthly_orders(self) -> DataFrame:
-        """Every order of a full month, copies per ad and month included. The newest month is not complete."""
-        end = F.lit(self._last_months[0]).cast("timestamp_ntz")
-        return self.read("orders").filter(F.col("o_orderdate") < end).withColumn(
-            "snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
+    def latest(self) -> Column:
+        """The newest month."""
+        return self._newest(lambda month: month)
+
+    def recent(self, days: int) -> "StarHistory":
+        """The same postings, with the dated tables cut to months from ``days`` before the newest one on.
+
+        The cut is a range on the order date itself, so that the scan skips what is older.
+        """
+        out = StarHistory(self.spark, self.folder)
+        out._start = self._newest(lambda month: F.trunc(F.date_sub(month, days), "MM").cast("timestamp_ntz"))
+        out.__dict__.update(latest=self.latest, job_postings=self.job_postings)
+        return out
 
     @cached_property
-    def latest(self) -> Column:
-        return F.lit(self._last_months[1])
+    def monthly_orders(self) -> DataFrame:
+        """Every order with its month, copies per ad and month included."""
+        orders = self.read("orders") if self._start is None else self.read("orders").filter(F.col("o_orderdate") >= self._start)
+        return orders.withColumn("snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "MM"))
 
     @cached_property
     def kept_orders(self) -> DataFrame:
@@ -115,7 +123,10 @@ class StarHistory:
     @cached_property
     def salary_texts(self) -> DataFrame:
         """Pay text of the kept orders that have lines."""
-        lines = self.read("lineitem").groupBy("l_orderkey").agg(
+        lines = self.read("lineitem")
+        if self._start is not None:  # few orders: their lines only
+            lines = lines.join(self.kept_orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        lines = lines.groupBy("l_orderkey").agg(
             F.floor(F.min("l_extendedprice")).alias("low"), F.floor(F.max("l_extendedprice")).alias("high"))
         currency = F.when(F.col("o_orderpriority").startswith("5"), "EUR").otherwise("PLN")
         amount = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(
@@ -170,14 +181,9 @@ class StarHistory:
 
     @cached_property
     def listing(self) -> DataFrame:
-        """Events as listing pages: run = user, page = place in time order, stop = an error event.
-
-        Pages beyond the run's page limit are never looked at, so each task keeps only a run's first pages.
-        """
-        order = W.partitionBy("user_id").orderBy("ts", "event_id")
-        return self.read("events").select("user_id", "ts", "event_id", "event_type").withColumn(
-            "page", F.row_number().over(order)).filter(F.col("page") <= fv.MAX_PAGES).select(
-            F.col("user_id").alias("run_id"), "page", "event_id", (F.col("event_type") == "error").alias("stop"))
+        """Events as listing pages: run = user, place = time order, stop = an error event."""
+        return self.read("events").select(
+            F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("place"), (F.col("event_type") == "error").alias("stop"))
 
     def all(self) -> dict[str, DataFrame]:
         return {name: self[name] for name in schema.TABLES}

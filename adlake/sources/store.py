@@ -1,174 +1,133 @@
-"""The history store: Parquet folders plus a small commit log.
+"""The history store: Parquet folders that Spark's own overwrite replaces by day or by bucket.
 
-A load writes its rows under a fresh ``load_key`` and makes them visible by one appended log row per touched
-table and day, in a single file. Readers take, per table and day, the newest logged key, so a failed load is
-never seen and a repeated day replaces the earlier one. Only the touched days are written again.
+A load first writes everything it will change to the shared scratch folder, and then replaces the touched days,
+buckets and rows. An error before that leaves the store as it was; one in between is mended by repeating the load,
+since all merges are keyed.
 """
 
 import os
 import uuid
-from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adlake import schema
-from adlake.session import delete_path
+from adlake.session import delete_path, scratch_root
 
-_LOG = StructType([
-    StructField("load_id", LongType()), StructField("table_name", StringType()),
-    StructField("snapshot_date", DateType()), StructField("load_key", StringType()),
-])
-_APPEND_ONLY = "scrape_runs"
-_FILE_ROWS = 5_000_000
+_BUCKETS = 64
 
 
-class JobStore:
-    """One view of the store: what the log said when it was last read. Own writes are seen at once, those of other
-    sessions after refresh()."""
+def bucket_of(job_id: str = "job_id") -> Column:
+    """The part of the postings that a job is in."""
+    return F.pmod(F.xxhash64(job_id), F.lit(_BUCKETS)).cast("int")
+
+
+# The column whose values are folders, for the tables that are replaced in parts.
+_PARTS = {**dict.fromkeys(schema.DATED, "snapshot_date"), "rejects": "snapshot_date", "daily_metrics": "metric_date", "job_postings": "bucket"}
+
 
+class JobStore:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._keys = spark, root, None
+        self.spark, self.root = spark, root
 
     def path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
 
-    def folder(self, name: str, day, key: str) -> str:
-        return self.path(name, *([] if day is None else [f"snapshot_date={day}"]), f"load_key={key}")
-
-    # --- reading ---------------------------------------------------------------
-
     def exists(self, path: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
-    def log(self) -> DataFrame:
-        path = self.path("_log")
-        return self.spark.read.schema(_LOG).parquet(path) if self.exists(path) else self.spark.createDataFrame([], _LOG)
-
-    def refresh(self) -> None:
-        self._keys = None
-
-    def keys(self, name: str) -> dict:
-        """Day -> newest load key of a table, under None for a table without days.
-
-        One small row per table and captured day, so the list is bounded by the calendar and read as a whole;
-        tables are then read from exactly the folders in force, without joins or a listing of older ones.
-        """
-        if self._keys is None:
-            newest = self.log().groupBy("table_name", "snapshot_date").agg(F.max_by("load_key", "load_id").alias("key"))
-            self._keys = newest.filter("key IS NOT NULL").collect()
-        return {row.snapshot_date: row.key for row in self._keys if row.table_name == name}
-
     def __getitem__(self, name: str) -> DataFrame:
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
-        if name == _APPEND_ONLY:
-            paths = [self.path(name)] if self.exists(self.path(name)) else []
-        else:
-            paths = [self.folder(name, day, key) for day, key in self.keys(name).items()]
-        return self._read(name, paths)
-
-    def _read(self, name: str, paths: list[str]) -> DataFrame:
-        if not paths:
-            return schema.empty(self.spark, name)
-        reader = self.spark.read.schema(schema.TABLES[name])
-        if name in schema.DATED:
-            reader = reader.option("basePath", self.path(name))
-        return reader.parquet(*paths).select(*schema.TABLES[name].names)
-
-    def day(self, name: str, day) -> DataFrame:
-        day = date.fromisoformat(str(day))
-        return self._read(name, [self.folder(name, d, key) for d, key in self.keys(name).items() if d == day])
+        fields = schema.REJECTS if name == "rejects" else schema.TABLES[name]
+        if not self.exists(self.path(name)):
+            return self.spark.createDataFrame([], fields)
+        return self.spark.read.schema(fields).parquet(self.path(name)).select(*fields.names)
+
+    def days_of(self, name: str, days: DataFrame) -> DataFrame:
+        """Rows of the days in a one-column frame; a filter on the folders."""
+        return self.table(name).join(F.broadcast(days.select("snapshot_date").distinct()), "snapshot_date", "left_semi")
 
     def days(self, name: str = "job_snapshots") -> list:
-        """Days held by a dated table, ascending."""
-        return sorted(self.keys(name))
+        """Days held by a dated table, ascending: one value per folder."""
+        return [r.snapshot_date for r in self.table(name).select("snapshot_date").distinct().orderBy("snapshot_date").collect()]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in schema.TABLES}
 
-    # --- writing ---------------------------------------------------------------
-
-    def transaction(self) -> "Transaction":
-        return Transaction(self)
+    def change(self) -> "Change":
+        return Change(self)
 
     def append_run(self, run: DataFrame) -> None:
         """The run log only grows."""
-        run.coalesce(1).write.mode("append").parquet(self.path(_APPEND_ONLY))
+        run.coalesce(1).write.mode("append").parquet(self.path("scrape_runs"))
 
     def retain(self, as_of, keep_days: int) -> list:
-        """Take days before the cutoff out of the log, then drop their folders. Returns the days."""
+        """Drop the folders of days before the cutoff. Returns the days."""
         cutoff = self.spark.range(1).select(F.date_sub(F.lit(as_of).cast("date"), keep_days).alias("d")).first().d
-        dropped = {name: [d for d in self.days(name) if d < cutoff] for name in schema.DATED}
-        with self.transaction() as change:
-            for name, days in dropped.items():
-                for day in days:
-                    change.forget(name, day)
-        for name, days in dropped.items():
+        gone = {name: [d for d in self.days(name) if d < cutoff] for name in schema.DATED}
+        for name, days in gone.items():
             for day in days:
                 delete_path(self.spark, self.path(name, f"snapshot_date={day}"))
-        return sorted({d for days in dropped.values() for d in days})
-
-    def compact(self, name: str) -> None:
-        """Rewrite a dated table into few files per day; a large day is spread by job over several."""
-        with self.transaction() as change:
-            rows = self.table(name).repartitionByRange(F.col("snapshot_date"), F.col("job_id"))
-            change.write_dated(name, rows, self.days(name))
+        return sorted({d for days in gone.values() for d in days})
 
     def delete_jobs(self, keys: DataFrame) -> None:
-        """Rewrite the days that hold one of the jobs, and the postings."""
-        from adlake.operators.load import without_keys
-
-        with self.transaction() as change:
-            for name in schema.DATED:
-                rows = self.table(name)
-                hit = rows.join(keys.select("job_id"), "job_id", "left_semi").select("snapshot_date").distinct()
-                days = [row.snapshot_date for row in hit.collect()]
-                if days:
-                    change.write_dated(name, without_keys(rows.filter(F.col("snapshot_date").isin(days)), keys), days)
-            change.write_version("job_postings", without_keys(self.table("job_postings"), keys))
+        """Rewrite the days and buckets that hold one of the jobs."""
+        keys = keys.select("job_id")
+        with self.change() as change:
+            for name in (*schema.DATED, "job_postings"):
+                part = F.col("snapshot_date") if name in schema.DATED else bucket_of()
+                rows = self.table(name).withColumn("_part", part)
+                hit = rows.join(keys, "job_id", "left_semi").select("_part").distinct()
+                touched = rows.join(F.broadcast(hit), "_part", "left_semi")
+                change.replace(name, touched.join(keys, "job_id", "left_anti").drop("_part"), hit)
 
     def drop(self) -> None:
         """Remove the store."""
         delete_path(self.spark, self.root)
 
 
-class Transaction:
-    """Rows are written as they come and become visible together when the block ends without an error."""
+class Change:
+    """Rows are written aside as they come and replace what they touch when the block ends without an error."""
 
     def __init__(self, store: JobStore):
-        self.store, self.key, self.entries = store, f"k{uuid.uuid4().hex}", []
+        self.store, self.aside, self.steps = store, os.path.join(scratch_root(store.spark), f"adlake-{uuid.uuid4().hex}"), []
 
     def __enter__(self):
         return self
 
-    def write_dated(self, name: str, rows: DataFrame, days: list) -> None:
-        """Replace the given days; a day left without rows is empty from then on."""
-        rows.withColumn("load_key", F.lit(self.key)).write.mode("append").partitionBy("snapshot_date", "load_key").option(
-            "maxRecordsPerFile", _FILE_ROWS).parquet(self.store.path(name))
-        for day in days:
-            day = date.fromisoformat(str(day))
-            written = self.store.exists(self.store.folder(name, day, self.key))
-            self.entries.append((name, day, self.key if written else None))
-
-    def write_version(self, name: str, rows: DataFrame) -> DataFrame:
-        path = self.store.folder(name, None, self.key)
+    def replace(self, name: str, rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """Replace the parts (days or buckets) that rows has; those of ``parts`` without rows become empty."""
+        column = _PARTS[name]
+        rows = rows.withColumn("bucket", bucket_of()) if column == "bucket" else rows
+        path = os.path.join(self.aside, name)
+        # One writer per part, or several where AQE finds a part too large: few files per folder.
+        rows.hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
+        written = self.store.spark.read.schema(rows.schema).parquet(path)
+        emptied = [] if parts is None else [r[0] for r in parts.join(
+            written.select(F.col(column).alias("_has")).distinct(), parts[parts.columns[0]] == F.col("_has"), "left_anti").collect()]
+        self.steps.append((name, written, column, emptied))
+        return written
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        path = os.path.join(self.aside, name)
         rows.write.parquet(path)
-        self.entries.append((name, None, self.key))
-        return self.store.spark.read.schema(rows.schema).parquet(path)
-
-    def forget(self, name: str, day) -> None:
-        self.entries.append((name, day, None))
+        written = self.store.spark.read.schema(rows.schema).parquet(path)
+        self.steps.append((name, written, None, []))
+        return written
 
     def __exit__(self, kind, error, trace):
-        if kind is None and self.entries:
-            spark = self.store.spark
-            last = self.store.log().agg(F.coalesce(F.max("load_id"), F.lit(0)).alias("n")).first().n
-            rows = spark.createDataFrame([(last + 1, *entry) for entry in self.entries], _LOG)
-            rows.coalesce(1).write.mode("append").parquet(self.store.path("_log"))
-            self.store.refresh()
+        if kind is None:
+            for name, rows, column, emptied in self.steps:
+                path = self.store.path(name)
+                if column is None:
+                    rows.write.mode("append").parquet(path)
+                else:
+                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+                for value in emptied:
+                    delete_path(self.store.spark, os.path.join(path, f"{column}={value}"))
+        delete_path(self.store.spark, self.aside)
         return False
 
 
@@ -190,4 +149,3 @@ def insert_rows(rows: DataFrame, table: str) -> None:
     """Bulk append by column name to a catalog table."""
     spark = rows.sparkSession
     rows.select(*spark.table(table).columns).write.mode("append").insertInto(table)
-

@@ -1,6 +1,7 @@
 """Raw captures as a stream of files, loaded by the same keyed merges as a batch.
 
-The tables are the only state. Merges are keyed, so a micro-batch that runs again changes nothing.
+The tables are the only state. Merges are keyed and cover all days of a micro-batch at once, late days included;
+a micro-batch that runs again changes nothing.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -8,8 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, StructField, StructType
 
 from adlake import schema
-from adlake.operators.daily import close_day, load_day
-from adlake.session import staged
+from adlake.operators.daily import load_days
 from adlake.sources.store import JobStore
 
 _DATED_RAW = StructType(schema.RAW.fields + [StructField("run_date", DateType())])
@@ -24,23 +24,11 @@ def capture_stream(spark: SparkSession, folder: str, multi_line: bool = False, f
 
 def _load_batch(store: JobStore, ads: DataFrame) -> None:
     ordered = ads.withColumn("seq", F.struct("file", F.monotonically_increasing_id().alias("place"))).drop("file")
-    with staged(ordered, "run_date") as captured:
-        for row in captured.select("run_date").distinct().orderBy("run_date").collect():
-            day = row.run_date
-            load_day(store, captured.filter(F.col("run_date") == F.lit(day)).drop("run_date"), day, expire=False)
+    load_days(store, ordered, F.col("run_date"), complete=False)
 
 
-def ingest(store: JobStore, ads: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Start loading all files that are there; ends by itself."""
+def ingest(store: JobStore, folder: str, checkpoint: str, multi_line: bool = False) -> StreamingQuery:
+    """Start loading all files that are there; ends by itself. Every touched day gets its metrics anew."""
+    ads = capture_stream(store.spark, folder, multi_line)
     return ads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         lambda frame, _: _load_batch(store, frame)).start()
-
-
-def ingest_and_close(store: JobStore, folder: str, checkpoint: str, multi_line: bool = False) -> None:
-    """Load what has arrived, then expire and measure each day that is new since the last close, oldest first."""
-    ingest(store, capture_stream(store.spark, folder, multi_line), checkpoint).awaitTermination()
-    closed = {r.metric_date for r in store.table("daily_metrics").select("metric_date").collect()}
-    newest = max(closed, default=None)
-    for day in store.days():
-        if day not in closed or day == newest:
-            close_day(store, day)

@@ -2,8 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from adlake import fixed_values as fv
 from adlake.functions import keys, labels, pay, place, text
 from adlake.operators import extract, lifecycle, load, maintain, metrics, pages
 from adlake.operators.ranks import upper_median
@@ -28,8 +29,7 @@ def _plain(df: DataFrame) -> DataFrame:
         if kind in ("date", "timestamp", "timestamp_ntz"):
             column = column.cast("string") if kind == "date" else F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         elif kind == "double":
-            # Doubles beyond 2^40 or so have no room left for four decimals.
-            column = F.when(F.abs(column) < 1e11, F.round(column, 4)).otherwise(column)
+            column = F.round(column, 4)
         elif kind == "array<string>":
             column = F.array_join(column, ",")
         out.append(column.alias(field.name))
@@ -68,7 +68,6 @@ _ask("technology_data", queries.technology_data)
 _ask("location_data", queries.location_data)
 _ask("kpi_total", queries.kpi_total)
 _ask("kpi_average_salary", queries.kpi_average_salary)
-_ask("kpi_remote_share", queries.kpi_remote_share)
 _ask("kpi_top_technology", queries.kpi_top_technology)
 _ask("kpi_metrics", queries.kpi_metrics)
 _ask("last_run", queries.last_run)
@@ -110,17 +109,17 @@ _ask("recent_postings", marts.recent_postings)
 @_register
 def active_jobs_in_range(t):
     """M4 + F8/F9: the last 90 days of the history."""
-    return queries.active_jobs(t, F.date_sub(t.latest, 90), t.latest)
+    return queries.active_jobs(t.recent(90), F.date_sub(t.latest, 90), t.latest)
 
 
 @_register
 def technology_trends(t):
-    return queries.technology_trends(t, TREND_NAMES, t.latest, TREND_DAYS)
+    return queries.technology_trends(t.recent(TREND_DAYS), TREND_NAMES, t.latest, TREND_DAYS)
 
 
 @_register
 def tech_trend_7d(t):
-    return queries.technology_trend_recent(t, t.latest)
+    return queries.technology_trend_recent(t.recent(7), t.latest)
 
 
 @_register
@@ -131,13 +130,14 @@ def daily_metrics(t):
 @_register
 def daily_metrics_latest(t):
     """M1 + M2 as the loader computes them, for the newest day."""
-    return metrics.daily_metrics(t.job_postings, t.job_snapshots, t.salaries, t.latest)
+    newest = t.recent(0)
+    return metrics.daily_metrics(t.job_postings, newest.job_snapshots, newest.salaries, t.latest)
 
 
 @_register
 def recent_daily_metrics(t):
     """M9."""
-    return queries.recent_daily_metrics(t, t.latest, TREND_DAYS)
+    return queries.recent_daily_metrics(t.recent(TREND_DAYS), t.latest, TREND_DAYS)
 
 
 @_register
@@ -146,6 +146,12 @@ def upper_median_by_date(t):
     return upper_median(t.salaries, ["snapshot_date"], "salary_avg", "median_salary")
 
 
+@_register
+def kpi_remote_share(t):
+    """Every order gives a snapshot, so the newest day of the table is the newest month."""
+    return queries.kpi_remote_share(t.recent(0))
+
+
 # --- normalisation -----------------------------------------------------------
 
 @_register
@@ -197,7 +203,7 @@ def clean_text(t):
 
 @_register
 def truncate_description(t):
-    return t.read("documents").select("doc_id", text.truncate_description(F.col("text")).alias("description"))
+    return t.read("documents").select("doc_id", text.truncate_description(F.col("text"), fv.MAX_TEXT).alias("description"))
 
 
 @_register
@@ -283,7 +289,10 @@ def page_records(t):
 
 @_register
 def listing_prefix(t):
-    return pages.listing_prefix(t.listing, "run_id", "page", F.col("stop"))
+    """X15 on events as listing pages: run = user, order = time, stop = an error event; numbers only for what is kept."""
+    kept = pages.listing_prefix(t.listing, "run_id", "place", F.col("stop"))
+    order = Window.partitionBy("run_id").orderBy("place")
+    return kept.select("run_id", F.row_number().over(order).alias("page"), "place.event_id", "stop")
 
 
 @_register
@@ -309,11 +318,19 @@ def _old_postings(t) -> DataFrame:
 
 def _batch_ads(t) -> DataFrame:
     _, batch = _months(t)
-    return t.with_ad_text(batch).select("job_id", "title", "company_name", "url", F.col("o_orderkey").alias("seq"))
+    return _ads_of(t, batch)
+
+
+def _ads_of(t, orders: DataFrame) -> DataFrame:
+    return t.with_ad_text(orders).select("job_id", "title", "company_name", "url", "snapshot_date", F.col("o_orderkey").alias("seq"))
+
+
+def _merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+    return load.merge_postings(old, batch, F.lit(None).cast("timestamp"))
 
 
 def _merged_postings(t) -> DataFrame:
-    return load.merge_postings(_old_postings(t), _batch_ads(t), t.latest, F.lit(None).cast("timestamp"))
+    return _merged(_old_postings(t), _batch_ads(t))
 
 
 @_register
@@ -323,8 +340,53 @@ def posting_upsert(t):
 
 @_register
 def load_statistics(t):
-    zero = F.lit(0).cast("bigint")
-    return load.load_statistics(_merged_postings(t), zero, zero)
+    """Technologies that a dimension without the ECONOMY parts lacks, refused documents as errors."""
+    refused = extract.quarantined(raw_ads(t)).agg(F.count(F.lit(1))).scalar()
+    return load.load_statistics(_merged_postings(t), technology_dimension(t).agg(F.count(F.lit(1))).scalar(), refused)
+
+
+@_register
+def load_with_rejects(t):
+    """Documents as one capture; those with a clean label are known already, refused ones are counted."""
+    day = F.to_date(F.lit("2026-01-05"))
+    judged = extract.with_reason(raw_ads(t).withColumn("seq", F.col("job_id").cast("bigint")))
+    ads = judged.filter("reason IS NULL").withColumn("snapshot_date", day)
+    clean = t.read("labels").filter("toxic = 0").select(F.col("doc_id").cast("string").alias("job_id"))
+    known = raw_ads(t).join(clean, "job_id", "left_semi").select(
+        "job_id", "title", "company_name", "url", F.date_sub(day, 1).alias("first_seen_date"), F.date_sub(day, 1).alias("last_seen_date"),
+        F.lit(True).alias("is_active"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    refused = judged.filter("reason IS NOT NULL").agg(F.count(F.lit(1))).scalar()
+    return load.load_statistics(_merged(known, ads), F.lit(0).cast("bigint"), refused).drop("technologies_new")
+
+
+@_register
+def late_day(t):
+    """The month before the newest one arrives last; the state is that of a load in order."""
+    late = F.add_months(t.latest, -1)
+    before = t.kept_orders.filter(F.col("snapshot_date") != late)
+    arrives = t.monthly_orders.filter(F.col("snapshot_date") == late)
+    return _merged(t.postings_of(before, t.latest), _ads_of(t, arrives)).select("job_id", "first_seen_date", "last_seen_date", "is_active")
+
+
+@_register
+def backfill_state(t):
+    """All months loaded at once into an empty store."""
+    nothing = t.job_postings.limit(0)
+    return _merged(nothing, _ads_of(t, t.monthly_orders)).drop("created_at", "updated_at", "change", "copies")
+
+
+@_register
+def metrics_of_days(t):
+    """M1-M3 for every month as it was at its end, as a backfill writes them."""
+    return metrics.metrics_of_days(t.job_snapshots.select("job_id", "snapshot_date", "location_type"), t.salaries)
+
+
+@_register
+def metrics_upsert(t):
+    """M3: the newest month's row, measured anew, replaces the one that is there."""
+    old = metrics_of_days(t)
+    again = old.filter(F.col("metric_date") == t.latest).withColumn("total_jobs", F.col("total_jobs") + 1)
+    return metrics.upsert_metrics(old, again)
 
 
 @_register
@@ -386,7 +448,7 @@ def delete_jobs(t):
 
 @_register
 def retention(t):
-    return maintain.retained(t.job_snapshots, t.latest).select("job_id", "snapshot_date", "city")
+    return maintain.retained(t.recent(fv.RETENTION_DAYS).job_snapshots, t.latest).select("job_id", "snapshot_date", "city")
 
 
 @_register

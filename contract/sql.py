@@ -43,7 +43,7 @@ _SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
 _HISTORY = f"""
 WITH monthly AS (
   SELECT o.*, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date, 'job-' || o_custkey AS job_id
-  FROM orders o WHERE date_trunc('month', o_orderdate) < (SELECT date_trunc('month', max(o_orderdate)) FROM orders)
+  FROM orders o
 ),
 last_day AS (SELECT max(snapshot_date) AS d FROM monthly),
 kept AS (
@@ -167,6 +167,25 @@ merged AS (
     coalesce(b.copies, 0) AS copies
   FROM old_postings o FULL JOIN batch_first b ON b.job_id = o.job_id, last_day
 ),
+backfilled AS (
+  SELECT 'job-' || o_custkey AS job_id, arg_min(o_orderstatus, (snapshot_date, o_orderkey)) AS status, max(c_mktsegment) AS segment,
+    max(c_name) AS company_name, min(snapshot_date) AS first_seen_date, max(snapshot_date) AS last_seen_date
+  FROM monthly JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey
+),
+day_metrics AS (
+  SELECT n.snapshot_date AS metric_date, count(DISTINCT n.job_id) AS total_jobs,
+    count(*) FILTER (location_type = 'remote') AS remote_jobs, count(*) FILTER (location_type = 'office') AS office_jobs,
+    count(*) FILTER (location_type = 'hybrid') AS hybrid_jobs, avg(s.salary_avg) AS avg_salary_pln,
+    (SELECT list_sort(list(x.salary_avg))[count(*) // 2 + 1] FROM salaries x WHERE x.snapshot_date = n.snapshot_date) AS median_salary_pln
+  FROM job_snapshots n LEFT JOIN salaries s ON s.job_id = n.job_id AND s.snapshot_date = n.snapshot_date GROUP BY n.snapshot_date
+),
+judged AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS job_id, CASE WHEN coalesce(d.text, '') = '' THEN 'missing title'
+    WHEN coalesce(d.source, '') = '' AND coalesce(l.toxic, 0) <> 1 THEN 'missing company_name' WHEN l.quality IS NULL THEN 'missing url'
+    WHEN length(trim(d.text)) < 3 THEN 'title too short' WHEN l.toxic = 1 THEN 'company too short'
+    WHEN l.quality = 0 THEN 'bad url' ELSE 'accepted' END AS reason
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+),
 islands AS (
   SELECT job_id, snapshot_date, n - row_number() OVER (PARTITION BY job_id ORDER BY snapshot_date) AS island
   FROM job_snapshots JOIN (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS n
@@ -345,8 +364,22 @@ _BY_HISTORY = {
     "posting_upsert": f"SELECT {_POSTING}, change, copies FROM merged",
     "load_statistics": """SELECT count(*) FILTER (change = 'new') AS jobs_new,
       CAST((SELECT count(*) FROM batch) - count(*) FILTER (change = 'new') AS BIGINT) AS jobs_updated,
-      count(*) FILTER (change = 'expired') AS jobs_expired, CAST(0 AS BIGINT) AS technologies_new, CAST(0 AS BIGINT) AS errors
-      FROM merged""",
+      count(*) FILTER (change = 'expired') AS jobs_expired, (SELECT count(*) FROM technologies WHERE category = 'ECONOMY') AS technologies_new,
+      (SELECT count(*) FROM judged WHERE reason <> 'accepted') AS errors FROM merged""",
+    "load_with_rejects": """SELECT count(*) FILTER (a.job_id IS NOT NULL AND l.doc_id IS NULL) AS jobs_new,
+      count(*) FILTER (a.job_id IS NOT NULL AND l.doc_id IS NOT NULL) AS jobs_updated,
+      count(*) FILTER (a.job_id IS NULL AND l.doc_id IS NOT NULL) AS jobs_expired,
+      (SELECT count(*) FROM judged WHERE reason <> 'accepted') AS errors
+      FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 0) l ON l.doc_id = d.doc_id
+      LEFT JOIN (SELECT job_id FROM judged WHERE reason = 'accepted') a ON a.job_id = CAST(d.doc_id AS VARCHAR)""",
+    "late_day": """SELECT job_id, CAST(min(span_start) AS VARCHAR) AS first_seen_date, CAST(max(span_end) AS VARCHAR) AS last_seen_date,
+      max(span_end) = (SELECT d FROM last_day) AS is_active FROM spans GROUP BY job_id""",
+    "backfill_state": f"""SELECT job_id, {_WORD.format('status')} || ' ' || segment || ' Developer' AS title, company_name,
+      'https://jobs.example/job/' || job_id AS url, CAST(first_seen_date AS VARCHAR) AS first_seen_date,
+      CAST(last_seen_date AS VARCHAR) AS last_seen_date, last_seen_date = d AS is_active FROM backfilled, last_day""",
+    "metrics_of_days": f"SELECT {_METRICS}, total_jobs AS jobs_scraped FROM day_metrics",
+    "metrics_upsert": f"""SELECT {_METRICS.replace("total_jobs,", "total_jobs + CAST(metric_date = d AS BIGINT) AS total_jobs,")},
+      total_jobs AS jobs_scraped FROM day_metrics, last_day""",
     "expire_jobs": """SELECT job_id, CAST(last_seen_date AS VARCHAR) AS last_seen_date FROM old_postings
       WHERE is_active AND job_id NOT IN (SELECT job_id FROM batch)""",
     "snapshot_upsert": f"""SELECT job_id, {_DAY}, location_type, city, region, country, seniority_level FROM job_snapshots""",
@@ -477,7 +510,7 @@ _OTHER = {
     "page_links": _PAGES + """SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position,
       url FROM links""",
     "page_unique_urls": _PAGES + "SELECT DISTINCT url FROM links",
-    "capped_urls": _PAGES + f"SELECT DISTINCT url FROM links ORDER BY url LIMIT {fv.MAX_JOBS_PER_RUN}",
+    "capped_urls": _PAGES + "SELECT DISTINCT url FROM links",
     "page_title": _PAGES + f"""SELECT page_id, CASE WHEN length(trim(heading)) > 5 THEN trim(heading)
       ELSE '{fv.DEFAULT_TITLE}' END AS title FROM read""",
     "next_page": _PAGES + r"""SELECT page_id, regexp_matches(html, 'rel="next"|class="next"|aria-label="[^"]*next|>(Next|Następna)</a>')
@@ -488,13 +521,13 @@ _OTHER = {
       nullif(regexp_extract(body, '([0-9][0-9\\s]*-[0-9\\s]*[0-9])\\s*(PLN|zł|EUR)'), '') AS salary,
       CAST(NULL AS VARCHAR) AS location, {_keywords('body', PROSE_WORDS)} AS technologies,
       {_detect('heading', 'body')} AS seniority, {_employment('body')} AS employment_type FROM read""",
-    "listing_prefix": f"""WITH listing AS (
+    "listing_prefix": """WITH listing AS (
         SELECT user_id AS run_id, event_id, event_type = 'error' AS stop,
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page FROM events)
       SELECT run_id, CAST(page AS INTEGER) AS page, event_id, stop FROM (
         SELECT *, coalesce(max(CAST(stop AS INTEGER)) OVER (PARTITION BY run_id ORDER BY page
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM listing)
-      WHERE stopped = 0 AND page <= {fv.MAX_PAGES}""",
+      WHERE stopped = 0""",
     "capture_statistics": _PAGES + """SELECT (SELECT count(*) FROM pages) AS pages_scraped,
       (SELECT count(*) FROM links) AS jobs_found, (SELECT count(*) FROM pages) AS jobs_scraped, CAST(0 AS BIGINT) AS errors""",
 }

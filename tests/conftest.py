@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
                 "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.sql.shuffle.partitions": "4"})
 
 
-def ad(job_id, title="Senior Python Developer", company="Tech Corp", salary=None, location=None, technologies=(),
+def ad(job_id, title="Keeper of Otters", company="Otter Works", salary=None, location=None, technologies=(),
        seniority="mid", url=None, employment_type=None, description=None):
     return {
         "url": url or f"https://jobs.example/pl/job/{job_id}", "job_id": job_id, "title": title,
@@ -27,12 +27,10 @@ def ad(job_id, title="Senior Python Developer", company="Tech Corp", salary=None
 
 
 THREE_ADS = [
-    ad("python-developer-warszawa-123", "Senior Python Developer", "Tech Corp", "15000 - 20000 PLN", "Warszawa / Zdalnie",
-       ["Python", "Django", "PostgreSQL", "Docker", "AWS"], "senior"),
-    ad("java-engineer-krakow-456", "Java Backend Engineer", "Software House", "18 000 - 25 000 PLN", "Kraków",
-       ["Java", "Spring", "Kubernetes", "MySQL"], "mid"),
-    ad("frontend-dev-remote-789", "Junior Frontend Developer", "Startup", "8000 - 12000 PLN", "Praca zdalna",
-       ["React", "TypeScript", "JavaScript", "Git"], "junior"),
+    ad("otter-keeper-4411", "Lead Otter Engineer", "Heron and Sons", "21000 - 26500 PLN", "Gdynia, remote",
+       ["Rust", "Kafka", "Redis", "Terraform"], "senior"),
+    ad("pond-mapper-87", "Pond Mapping Analyst", "Marsh Atlas", "9 400 - 11 800 PLN", "Łódź", ["SQL Server", "R", "Git"], "mid"),
+    ad("frog-counter-5", "Frog Counting Trainee", "Tadpole Lab", "5100 - 5900 PLN", "remotely", ["Swift", "Kotlin"], "junior"),
 ]
 
 

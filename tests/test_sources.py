@@ -8,7 +8,7 @@ from adlake.operators.daily import load_day
 from adlake.plans import queries
 from adlake.sources import raw
 from adlake.sources.store import JobStore
-from adlake.streaming.ingest import ingest_and_close
+from adlake.streaming.ingest import ingest
 from conftest import D1, D2, D3, THREE_ADS, ad, raw_frame
 
 
@@ -22,7 +22,7 @@ def test_array_capture(spark, tmp_path):
     write_array(tmp_path, D1, "raw_1", [{**THREE_ADS[0], "extra": 1}, {**THREE_ADS[1], "salary": None}])
     ads = raw.read_capture(spark, str(tmp_path / f"run_date={D1}")).orderBy("seq").collect()
     assert [a.job_id for a in ads] == [a["job_id"] for a in THREE_ADS[:2]]
-    assert ads[1].location == "Kraków" and ads[1].salary is None
+    assert ads[1].location == "Łódź" and ads[1].salary is None
 
 
 def test_capture_round_trip(spark, tmp_path):
@@ -31,7 +31,7 @@ def test_capture_round_trip(spark, tmp_path):
     back = raw.read_capture(spark, str(tmp_path / "bronze"), multi_line=False)
     assert {r.location for r in back.collect()} == {a["location"] for a in THREE_ADS}
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "bronze").rglob("*.json"))
-    assert "Kraków" in text
+    assert "Łódź" in text
 
 
 def test_queries_with_parameters(spark):
@@ -78,15 +78,25 @@ def test_stream_equals_batch(spark, tmp_path):
     for day in (D1, D2):
         for i, one in enumerate(days[day]):
             write_array(folder, day, f"raw_{i}", [one])
-    ingest_and_close(stream, str(folder), checkpoint, multi_line=True)
+    ingest(stream, str(folder), checkpoint, multi_line=True).awaitTermination()
     for i, one in enumerate(days[D3]):
         write_array(folder, D3, f"raw_{i}", [one])
-    ingest_and_close(stream, str(folder), checkpoint, multi_line=True)
+    ingest(stream, str(folder), checkpoint, multi_line=True).awaitTermination()
     assert snapshot(stream) == snapshot(batch)
-    ingest_and_close(stream, str(folder), checkpoint, multi_line=True)
+    ingest(stream, str(folder), checkpoint, multi_line=True).awaitTermination()
     assert snapshot(stream) == snapshot(batch)
 
 
+def test_late_file_closes_its_day_again(spark, tmp_path):
+    folder, checkpoint, store = tmp_path / "in", str(tmp_path / "check"), JobStore(spark, str(tmp_path / "store"))
+    for day, i, ads in ((D1, 0, [ad("a")]), (D2, 0, [ad("b")]), (D1, 1, [ad("c"), ad("bad", title="x")])):
+        write_array(folder, day, f"raw_{i}", ads)
+        ingest(store, str(folder), checkpoint, multi_line=True).awaitTermination()
+    assert {r.metric_date: r.total_jobs for r in store["daily_metrics"].collect()} == {D1: 2, D2: 1}
+    assert {r.job_id: r.is_active for r in store["job_postings"].collect()} == {"a": False, "b": True, "c": False}
+    assert [r.job_id for r in store["rejects"].collect()] == ["bad"]
+
+
 def test_filters(spark):
     frame = raw_frame(spark, THREE_ADS)
     assert extract.only_listed(frame, seniority=["mid"], employment_type=[]).count() == 1
