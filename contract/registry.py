@@ -9,7 +9,10 @@ from adlake.functions import keys, labels, pay, place, text
 from adlake.operators import extract, lifecycle, load, maintain, metrics, pages
 from adlake.operators.ranks import upper_median
 from adlake.plans import marts, queries
+from adlake.operators import daily, transform
+from adlake.plans.filters import preset_range
 from adlake.sources.star import StarHistory, _level_word
+from contract.job_pages import job_pages
 
 TREND_NAMES = ["cold widget", "red bolt", "small ring", "no such part"]
 TREND_DAYS = 180
@@ -287,6 +290,65 @@ def page_records(t):
     return pages.parse_details(t.read("pages"), PROSE_WORDS)
 
 
+@_register
+def job_page_records(t):
+    """X2-X13 on pages whose fields come from customers; the default keyword list."""
+    return pages.parse_details(job_pages(t))
+
+
+@_register
+def job_next_page(t):
+    """X14."""
+    return job_pages(t).select("page_id", pages.has_next_page(F.col("html")).alias("has_next"))
+
+
+@_register
+def normalised_ads(t):
+    """F1-F5, N1-N8, N12 on the ads of those pages; the default city list."""
+    ads = daily.prepare(pages.parse_details(job_pages(t)), F.to_date(F.lit("2026-01-05")))
+    return ads.select("job_id", "title", "company_name", "first_seen_date", "snapshot_date", "is_active", "description", "location_type",
+                      "city", "region", "country", "seniority_level", "employment_type", "currency", "salary_min", "salary_max", "period")
+
+
+@_register
+def listed_ads(t):
+    """Ads of listed levels, with pay and technologies switched off."""
+    ads = extract.only_listed(pages.parse_details(job_pages(t)), seniority=["senior", "junior"], location=[])
+    return extract.without_fields(ads, skills=False, salary=False).select("job_id", "salary", "technologies", "description")
+
+
+@_register
+def extracted_records(t):
+    """F4 on the documents as ads."""
+    rows = extract.records(raw_ads(t), F.to_date(F.lit("2026-01-05")))
+    return rows.select("job_posting.job_id", "job_posting.company_name", "job_posting.first_seen_date", "job_posting.is_active",
+                       F.col("snapshot.location").alias("location"), F.size("technologies").alias("n_technologies"))
+
+
+@_register
+def technology_rows(t):
+    """N11 on part names taken apart."""
+    ads = t.read("part").select(F.col("p_partkey").cast("string").alias("job_id"), F.split("p_name", " ").alias("technologies"))
+    return transform.categorised(transform.technology_rows(ads))
+
+
+@_register
+def preset_jobs(t):
+    """the last 30 days as the named range gives them."""
+    start, end = preset_range("Last 30 days", t.latest)
+    return queries.active_jobs(t.recent(30), start, end).select("job_id", "snapshot_date", "city", "salary_avg")
+
+
+@_register
+def dashboard_rows(t):
+    """Rows of each frame of the dashboard."""
+    out = None
+    for name, frame in marts.dashboard(t).items():
+        one = frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("frame"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @_register
 def listing_prefix(t):
     """X15 on events as listing pages: run = user, order = time, stop = an error event; numbers only for what is kept."""
@@ -472,7 +534,11 @@ def duplicate_keys(t):
 
 @_register
 def null_counts(t):
-    return maintain.null_counts(t.all())
+    """R4 where inactive postings have lost their URL and snapshots without a city their day."""
+    tables = t.all()
+    tables["job_postings"] = tables["job_postings"].withColumn("url", F.when(F.col("is_active"), F.col("url")))
+    tables["job_snapshots"] = tables["job_snapshots"].withColumn("snapshot_date", F.when(F.col("city").isNotNull(), F.col("snapshot_date")))
+    return maintain.null_counts(tables)
 
 
 @_register

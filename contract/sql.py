@@ -1,6 +1,7 @@
 """Independent SQL for the registered queries, over the same tables."""
 
 from adlake import fixed_values as fv
+from contract.job_pages import SQL as JOB_PAGES
 from contract.registry import ONE_JOB, PAIR_NAME, PROSE_WORDS, TREND_DAYS, TREND_NAMES
 
 
@@ -413,8 +414,10 @@ _BY_HISTORY = {
 def _null_counts() -> str:
     from adlake.schema import NOT_NULL
 
+    lost = {("job_postings", "url"): "(SELECT count(*) FROM job_postings WHERE NOT is_active)",
+            ("job_snapshots", "snapshot_date"): "(SELECT count(*) FROM job_snapshots WHERE city IS NULL)"}
     return " UNION ALL ".join(
-        f"SELECT '{table}' AS table_name, '{column}' AS column_name, CAST(0 AS BIGINT) AS nulls"
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, {lost.get((table, column), 'CAST(0 AS BIGINT)')} AS nulls"
         for table, columns in NOT_NULL.items() for column in columns)
 
 
@@ -489,7 +492,6 @@ judged AS (
 """
 
 _OTHER = {
-    "null_counts": _null_counts(),
     "parse_salary_prose": f"""SELECT doc_id, salary_min, salary_max, salary_avg, currency, period, is_b2b
       FROM (SELECT doc_id, {_pay('text')} FROM documents) WHERE salary_min IS NOT NULL""",
     "categorize_technology": f"""WITH listed(pos, key, category) AS (VALUES {_LISTED}),
@@ -533,5 +535,41 @@ _OTHER = {
 }
 
 
+_BY_JOB_PAGES = {
+    "job_page_records": """SELECT page_id, url, job_id, title, company_name, description, requirements, salary, location, technologies,
+      seniority, employment_type FROM ads""",
+    "job_next_page": "SELECT page_id, has_next FROM ads",
+    "normalised_ads": """SELECT job_id, title, company_name, '2026-01-05' AS first_seen_date, '2026-01-05' AS snapshot_date, true AS is_active,
+      replace(description, chr(10), ' ') AS description,
+      CASE location WHEN 'Kraków' THEN 'office' WHEN 'Gdynia' THEN 'office' WHEN 'remote' THEN 'remote' WHEN 'Łódź, remote' THEN 'hybrid' END
+        AS location_type,
+      CASE location WHEN 'Kraków' THEN 'Kraków' WHEN 'Gdynia' THEN 'Gdynia' WHEN 'Łódź, remote' THEN 'Łódź' END AS city,
+      CASE location WHEN 'Kraków' THEN 'Małopolskie' WHEN 'Gdynia' THEN 'Pomorskie' WHEN 'Łódź, remote' THEN 'Łódzkie' END AS region,
+      'Poland' AS country, seniority AS seniority_level, employment_type, CASE WHEN c_acctbal >= 0 THEN 'PLN' ELSE 'EUR' END AS currency,
+      CAST(low AS DOUBLE) AS salary_min, CAST(low + 500 AS DOUBLE) AS salary_max, 'monthly' AS period FROM ads""",
+    "listed_ads": """SELECT job_id, CAST(NULL AS VARCHAR) AS salary, '' AS technologies, description FROM ads
+      WHERE seniority IN ('senior', 'junior')""",
+}
+_BY_HISTORY |= {
+    "null_counts": _null_counts(),
+    "preset_jobs": f"""SELECT job_id, {_DAY}, city, round(salary_avg, 4) AS salary_avg FROM m4, last_day
+      WHERE snapshot_date BETWEEN d - 30 AND d""",
+    "dashboard_rows": " UNION ALL ".join(f"SELECT '{name}' AS frame, (SELECT count(*) FROM {source}) AS rows" for name, source in (
+        ("jobs", "m4"), ("salary", "pln"), ("technology", "tech"), ("location", "loc"), ("salary_by_tech", "m8"),
+        ("kpis", "(SELECT 1)"), ("scrape_info", "(SELECT * FROM scrape_runs LIMIT 1)"))),
+}
+_OTHER |= {
+    "extracted_records": _RAW_ADS + """SELECT job_id, source AS company_name, '2026-01-05' AS first_seen_date, true AS is_active,
+      lang AS location, CAST(0 AS INTEGER) AS n_technologies FROM judged JOIN documents ON CAST(doc_id AS VARCHAR) = job_id
+      WHERE reason = 'accepted'""",
+    "technology_rows": f"""WITH listed(pos, key, category) AS (VALUES {_LISTED}),
+      rows AS (SELECT CAST(p_partkey AS VARCHAR) AS job_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS name
+        FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))
+      SELECT job_id, r.pos, name, coalesce(arg_min(category, CASE WHEN key = lower(name) THEN l.pos - 1000 ELSE l.pos END), 'other')
+        AS category FROM rows r LEFT JOIN listed l ON contains(lower(name), key) GROUP BY job_id, r.pos, name""",
+}
+
+
 def sql_by_name() -> dict[str, str]:
-    return {**{name: _HISTORY + sql for name, sql in _BY_HISTORY.items()}, **_OTHER}
+    return {**{name: _HISTORY + sql for name, sql in _BY_HISTORY.items()},
+            **{name: JOB_PAGES + sql for name, sql in _BY_JOB_PAGES.items()}, **_OTHER}
