@@ -36,16 +36,23 @@ def metrics_by_date(postings: DataFrame, snapshots: DataFrame, salaries: DataFra
     """
     active = postings.filter("is_active").select("job_id")
     total = active.agg(F.count_distinct("job_id")).scalar()
-    days = snapshots.select("snapshot_date").distinct()
-    types = snapshots.join(active, "job_id", "left_semi").groupBy("snapshot_date").agg(
-        _type_count("remote"), _type_count("office"), _type_count("hybrid"))
-    pay = salaries.join(active, "job_id", "left_semi").groupBy("snapshot_date").agg(
-        F.avg("salary_avg").alias("avg_salary_pln"))
+    # Snapshots and pay meet the active postings together: one join, one grouping.
+    nothing = F.lit(None)
+    rows = snapshots.select("job_id", "snapshot_date", F.lit(True).alias("_seen"), "location_type", nothing.cast("double").alias("_pay")).union(
+        salaries.select("job_id", "snapshot_date", F.lit(False), nothing.cast("string"), "salary_avg"))
+    flagged = rows.join(active.distinct().withColumn("_active", F.lit(True)), "job_id", "left")
+
+    def of_type(kind: str) -> Column:
+        return F.sum(F.when(F.col("_active") & F.col("_seen"), (F.col("location_type") == kind).cast("bigint"))).alias(f"{kind}_jobs")
+
+    days = flagged.groupBy("snapshot_date").agg(
+        F.max("_seen").alias("_captured"), *[of_type(k) for k in ("remote", "office", "hybrid")],
+        F.avg(F.when(F.col("_active"), F.col("_pay"))).alias("avg_salary_pln")).filter("_captured")
     median = upper_median(salaries.select("snapshot_date", "salary_avg"), ["snapshot_date"], "salary_avg", "median_salary_pln")
     # A sum over no active posting at all is null, a sum over none that day is zero.
     none = F.when(total > 0, F.lit(0).cast("bigint"))
     return (
-        days.join(types, "snapshot_date", "left").join(pay, "snapshot_date", "left").join(median, "snapshot_date", "left")
+        days.join(median, "snapshot_date", "left")
         .select(
             F.col("snapshot_date").alias("metric_date"), total.alias("total_jobs"),
             *[F.coalesce(c, none).alias(c) for c in ("remote_jobs", "office_jobs", "hybrid_jobs")],

@@ -2,12 +2,15 @@
 
 ``median`` and ``percentile`` keep every distinct value of a group in one buffer. Here a group is reduced to
 (value, count) rows before the shuffle and cut into slices of neighbouring values. Slice totals tell which
-slices hold the wanted ranks, and only those are sorted, each in a task of its own.
+slices hold the wanted ranks. Such a slice with very many values is split once more by its own range of values, and only
+the parts that hold a wanted rank are sorted, each in a task of its own.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _PER_OCTAVE = 1024
+# Distinct values that one task sorts, if they are spread evenly over their slice.
+_SORTED = 50_000
 
 
 def _slice(value: Column) -> Column:
@@ -29,13 +32,13 @@ def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
     counts = df.withColumn("_slice", _slice(v)).groupBy(*keys, "_slice", value).agg(F.count(F.lit(1)).alias("_n"))
     slices = counts.groupBy(*keys, "_slice").agg(
         F.sum("_n").alias("_size"), F.sum(v * n).alias("_sum"), F.sum(F.when(v.isNotNull(), n)).alias("_values"),
-        F.min(v).alias("_low"), F.max(v).alias("_high"))
+        F.min(v).alias("_low"), F.max(v).alias("_high"), F.count(F.lit(1)).alias("_kinds"))
     # One row per slice of a group, so these windows stay small however large the group is.
     group = W.partitionBy(*keys)
     before = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     wanted = (
         slices.select(
-            *keys, "_slice", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+            *keys, "_slice", "_size", "_low", "_high", "_kinds", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
             F.sum("_size").over(group).alias("n"),
             (F.sum("_sum").over(group) / F.sum("_values").over(group)).alias("mean"),
             F.min("_low").over(group).alias("low"), F.max("_high").over(group).alias("high"))
@@ -43,10 +46,20 @@ def _at_ranks(df: DataFrame, keys: list[str], value: str, ranks) -> DataFrame:
         .withColumn("_wanted", F.filter(
             "_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))))
         .filter(F.size("_wanted") > 0).drop("_size", "_ranks"))
-    inside = W.partitionBy(*keys, "_slice").orderBy(v.asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    n_parts = F.ceil(F.col("_kinds") / _SORTED)
+    share = F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low"))
+    part = F.coalesce(F.least(F.floor(share * n_parts), n_parts - 1), F.lit(0))
+    inner = W.partitionBy(*keys, "_slice", "_part")
+    ahead = W.partitionBy(*keys, "_slice").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    rows = counts.join(wanted, [*keys, "_slice"]).withColumn("_part", part)
+    parts = rows.groupBy(*keys, "_slice", "_part").agg(F.sum("_n").alias("_held")).select(
+        *keys, "_slice", "_part", "_held", F.coalesce(F.sum("_held").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = inner.orderBy(v.asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    first = F.col("_before") + F.col("_ahead")
     picked = (
-        counts.join(wanted, [*keys, "_slice"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        rows.join(parts, [*keys, "_slice", "_part"])
+        .filter(F.exists("_wanted", lambda r: (r >= first) & (r < first + F.col("_held"))))
+        .withColumn("_end", first + F.sum("_n").over(inside))
         .withColumn("_rank", F.explode(F.filter("_wanted", lambda r: (r < F.col("_end")) & (r >= F.col("_end") - n)))))
     # A handful of rows per group: one per wanted rank.
     return picked.groupBy(*keys).agg(

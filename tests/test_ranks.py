@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adlake.operators.ranks import summary, upper_median
 
@@ -41,3 +42,12 @@ def test_upper_median_counts_nulls_first(frame):
         ordered = [None] * (k == "four") + sorted(values)
         assert got[k] == ordered[len(ordered) // 2]
     assert got["none"] is None
+
+
+def test_very_many_values_within_one_per_mille(spark):
+    """A million distinct values in a narrow range: the slices are split, and the answer stays exact."""
+    n = 1_000_001
+    rows = spark.range(n).select((F.lit(10_000.0) + (F.col("id") * 999_983 % n) / n).alias("v"))
+    got = summary(rows, [], "v", {"median": 0.5, "q1": 0.25}).first()
+    assert (got.n, got.low) == (n, 10_000.0)
+    assert got.median == pytest.approx(10_000 + 500_000 / n, abs=1e-9) and got.q1 == pytest.approx(10_000 + 250_000 / n, abs=1e-9)
