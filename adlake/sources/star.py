@@ -35,23 +35,22 @@ class StarHistory:
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def _newest(self, what) -> Column:
-        """A value made of the newest order date, found by a subquery over that one column when the query runs."""
-        return self.read("orders").agg(what(F.trunc(F.max("o_orderdate").cast("date"), "MM"))).scalar()
-
     @cached_property
     def latest(self) -> Column:
-        """The newest month."""
-        return self._newest(lambda month: month)
+        """The newest month, found by a subquery over that one column when the query runs."""
+        return self.read("orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "MM")).scalar()
 
     def recent(self, days: int) -> "StarHistory":
         """The same postings, with the dated tables cut to months from ``days`` before the newest one on.
 
-        The cut is a range on the order date itself, so that the scan skips what is older.
+        The cut is a plain value on the order date itself: a scan skips by values, not by subqueries. One date is
+        read for it, from the one column.
         """
         out = StarHistory(self.spark, self.folder)
-        out._start = self._newest(lambda month: F.trunc(F.date_sub(month, days), "MM").cast("timestamp_ntz"))
-        out.__dict__.update(latest=self.latest, job_postings=self.job_postings)
+        month = F.trunc(F.max("o_orderdate").cast("date"), "MM")
+        found = self.read("orders").agg(month.alias("latest"), F.trunc(F.date_sub(month, days), "MM").alias("start")).first()
+        out._start = F.lit(found.start).cast("timestamp_ntz")
+        out.__dict__.update(latest=F.lit(found.latest).cast("date"), job_postings=self.job_postings)
         return out
 
     @cached_property
