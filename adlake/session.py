@@ -31,10 +31,7 @@ def local_session(cores: str = "*", partitions: int = 8, **conf) -> SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
