@@ -10,6 +10,7 @@ place the pieces; ranks within a length come from counts per slot of documents,
 
 import os
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,45 +18,70 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from adlake.llm.tables import needs, row_key, written
+from adlake.llm.words import slices
 
 SLOTS = 256
 GROUPINGS = (24, 64, 160)
-_CACHE = 300_000
+_CACHE = 600_000  # words in a generation, about 100 MB
 
 
 class _Encoder:
-    """Token ids of a text, word by word: no token of this kind of tokenizer spans white space."""
+    """Token ids of texts, word by word: no token of this kind of tokenizer spans white space.
+
+    Words are remembered in two generations, so that frequent ones stay when the memory is full.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given the cores to tasks already
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.mark = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+
+    def _learn(self, words: list) -> None:
+        """Ids of new words: many in one text, kept apart by a special token."""
+        apart = [w for w in words if "<" not in w]
+        for low in range(0, len(apart), 1000):
+            part = apart[low:low + 1000]
+            got = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw, begin = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            for word, first, last in zip(part, begin, [*(4 * cuts).tolist(), len(raw)]):
+                self.known[word] = raw[first:last]
+        for word in words:
+            if "<" in word:  # might hold a special token's text
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                self.known[word] = np.array(ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list) -> list:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        if len(self.known) + len(words) > _CACHE:
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known)
+        for word in new.intersection(self.older):
+            self.known[word] = self.older[word]
+        self._learn(list(new.difference(self.older)))
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for low in range(0, len(new), 4096):
-                part = new[low:low + 4096]
-                for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        return [b"".join([known[w] for w in chunks]) for chunks in split]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    """One per worker process, with its memory, over the tasks that it runs."""
+    return _Encoder(path)
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         from zlib import crc32
 
-        encode, end = _Encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = _encoder(path), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            texts, keys = batch.column(0), batch.column(1)
-            for low in range(0, batch.num_rows, 64):
-                rows, pieces = [], []
-                for row in range(low, min(low + 64, batch.num_rows)):
-                    ids = encode(texts[row].as_py() or "") + end
+            for part in slices(batch, "text"):
+                keys, rows, pieces = part.column(1), [], []
+                for row, ids in enumerate(encode([t or "" for t in part.column(0).to_pylist()])):
+                    ids += end
                     for n, start in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[start:start + 4 * capacity]
                         rows.append(row)
