@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlake.llm.tables import needs, row_key, written
+from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import U, longs, mix, row_sums, slices, words
 
 BUCKET_BYTES = 16 << 20  # text per counting bucket
@@ -217,6 +217,7 @@ def train(docs: DataFrame, filter_bytes: int = 24 << 20, word_filter_bytes: int
     A null text is an empty one and still has its end token. Without documents all counts are 0.
     """
     spark = docs.sparkSession
+    send_code(spark)
     sizes = {1: word_filter_bytes, 2: filter_bytes}
     segment_bits = {n: 8 * size // SEGMENTS for n, size in sizes.items()}
     capacity = {n: 8.0 * size / BITS_PER_ENTRY for n, size in sizes.items()}
@@ -310,6 +311,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     text has its end token alone. Rows that repeat doc_id and text are scored each, alike.
     """
     spark = docs.sparkSession
+    send_code(spark)
     sent = spark.sparkContext.broadcast({k: model[k] for k in ("filters", "head", "share", "N", "V")})
     rows = needs(docs, "doc_id", "text").select("text", F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("key"))
     out = rows.mapInArrow(_score(sent), "key struct<doc_id:bigint,row_key:bigint>, n_tokens bigint, head_known bigint, head_sum double, "

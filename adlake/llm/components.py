@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlake.llm.tables import written
+from adlake.llm.tables import send_code, written
 
 
 def _forest(batches):
@@ -40,6 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of large-star and small-star until the links stay the same; each round is written to the shared folder.
     No links, no rows; repeated links and links of a node to itself do no harm.
     """
+    send_code(links.sparkSession)
     edges = written(links.select("a", "b").mapInArrow(_forest, "a binary, b binary").distinct())
     before = None
     while True:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlake.llm.tables import needs, row_key, written
+from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import U, distinct, mix, shingles, slices, words
 
 BINS = 256
@@ -111,6 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words_per_shingle: int =
     short item matches only a document that consists of it. Null and empty texts match nothing. Each distinct
     (item_id, text) and each row of docs is judged; ids may be null or repeat. An empty table gives no pairs.
     """
+    send_code(docs.sparkSession)
     spark = docs.sparkSession
     items = needs(benchmark, "item_id", "text").where("text is not null").distinct()
     size = F.octet_length("text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from adlake.llm.components import components
-from adlake.llm.tables import needs, row_key, written
+from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import U, blobs, distinct, long_lists, longs, mix, row_sums, shingles, slices, words
 
 SLOTS, BANDS, ROWS = 193, 32, 6  # a link of 0.8 shares no band with probability (1 - 0.8 ** 6) ** 32 < 6e-5
@@ -118,6 +118,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     shingles and is a group of its own; one with fewer words than a shingle has its whole sequence as one. No rows, no
     result. Other columns are not read.
     """
+    send_code(docs.sparkSession)
     k = words_per_shingle
     rows = needs(docs, "doc_id", "text").select("text", row_key("doc_id", "text").alias("_key"), "doc_id")
     signed = rows.select("text", F.struct("doc_id", "_key").alias("_key")).mapInArrow(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from adlake.llm.tables import needs, row_key, written
+from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import slices
 
 SLOTS = 256
@@ -99,6 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     A document is its token ids and ``end_id``; a null text is empty and has that id alone. Only documents longer than
     ``capacity`` are cut, into pieces of ``capacity`` and a last one. Each row is cut, repeated ones too.
     """
+    send_code(docs.sparkSession)
     rows = needs(docs, "doc_id", "text").select("text", F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("_key"))
     out = rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids),
                           "_key struct<doc_id:bigint,row_key:bigint>, piece bigint, start bigint, length bigint, "

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlake.llm.tables import needs, written
+from adlake.llm.tables import needs, send_code, written
 from adlake.llm.words import U, buffers, distinct, row_sums, slices, words
 
 BITS, RANK = 15, 6
@@ -142,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs`` as ``row`` (a struct) and its score from 0 to 1; repeated rows are scored each."""
+    send_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from adlake.llm.tables import send_code
+
 BUCKET_BYTES = 32 << 20
 
 
@@ -43,6 +45,7 @@ def shuffle_into_shards(records: DataFrame, shards: int = 8, seed: int = 20, buc
     number of buckets; there are as many as shuffle partitions at least. Any column may be null. Wholly equal rows
     share a bucket and are each placed. An empty table has no places; with fewer rows than shards some shards are empty.
     """
+    send_code(records.sparkSession)
     spark = records.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in records.columns else F.lit(0)
     total = records.agg(F.sum(size + F.lit(100))).first()[0] or 0

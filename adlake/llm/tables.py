@@ -1,13 +1,34 @@
 """Reading the given tables, and written intermediate tables in the shared folder."""
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlake.session import scratch_root
 
 
+_SENT = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="adlake-code-"), "adlake_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SENT.add(context.applicationId)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
