@@ -52,8 +52,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_fi
                                                  _hashes(min_chars).alias("lines"))
     per_doc = written(keyed.distinct())
     once = per_doc.select(F.explode(F.filter(F.array_distinct("lines"), lambda x: x.isNotNull())).alias("x"))
-    common = (once.groupBy(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
-              .where(F.col("n") >= min_docs).drop("n"))
+    # As a table of its own: Spark can then split a skewed join with it.
+    common = written(once.groupBy(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
+                     .where(F.col("n") >= min_docs).drop("n"))
     found = (per_doc.select("doc_id", "row_key", F.posexplode("lines").alias("pos", "x")).where(F.col("x").isNotNull())
              .select("doc_id", "row_key", "pos", F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"))
              .join(common, ["h1", "h2"], "left_semi"))
