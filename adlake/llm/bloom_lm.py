@@ -23,7 +23,7 @@ from adlake.llm.words import U, longs, mix, row_sums, slices, words
 
 BUCKET_BYTES = 16 << 20  # text per counting bucket
 SEGMENTS, PROBES, BITS_PER_ENTRY = 128, 4, 10
-_FLUSH = 3_000_000
+_FLUSH = 1_200_000  # tokens that a task gathers before it sends their counts
 ALPHA = 0.1
 END, BEGIN = mix(np.array([1, 2], dtype=np.uint64), 91)
 # Least counts of the levels 1, 2, ..: doubling in two steps.
@@ -210,7 +210,7 @@ def held_out_fold(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % 10 == 0
 
 
-def train(docs: DataFrame, filter_bytes: int = 24 << 20, word_filter_bytes: int = 8 << 20, head_words: int = 1 << 17) -> dict:
+def train(docs: DataFrame, filter_bytes: int = 16 << 20, word_filter_bytes: int = 6 << 20, head_words: int = 1 << 16) -> dict:
     """The model of all texts of ``docs``: filters and head words (bounded, on the driver) and the table ``vocabulary``
     (hash, n) of all exact word counts (in the shared folder).
 
