@@ -423,8 +423,8 @@ def load_with_rejects(t):
 
 @_register
 def late_day(t):
-    """The month before the newest one arrives last; the state is that of a load in order."""
-    late = F.add_months(t.latest, -1)
+    """The quarter before the newest one arrives last; the state is that of a load in order."""
+    late = F.add_months(t.latest, -3)
     before = t.kept_orders.filter(F.col("snapshot_date") != late)
     arrives = t.monthly_orders.filter(F.col("snapshot_date") == late)
     return _merged(t.postings_of(before, t.latest), _ads_of(t, arrives)).select("job_id", "first_seen_date", "last_seen_date", "is_active")

@@ -43,7 +43,7 @@ _SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
 
 _HISTORY = f"""
 WITH monthly AS (
-  SELECT o.*, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date, 'job-' || o_custkey AS job_id
+  SELECT o.*, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS snapshot_date, 'job-' || o_custkey AS job_id
   FROM orders o
 ),
 last_day AS (SELECT max(snapshot_date) AS d FROM monthly),
