@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlake.llm.tables import needs, row_key, written
 
-_ENDS = " \t\n\x0b\x0c\r"
+LINE_ENDS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # One of so many slots takes a document's lines; a line's documents are streamed slot by slot.
 SLOTS = 256
@@ -23,7 +23,7 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """The line without white space at both ends and with A-Z lower-cased."""
-    bare = F.btrim(line, F.lit(_ENDS))
+    bare = F.btrim(line, F.lit(LINE_ENDS))
     # In plain ASCII both are the same, and lower() is much faster.
     return F.when(F.octet_length(line) == F.char_length(line), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 

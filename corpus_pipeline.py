@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlake.llm.decontaminate import decontaminate
-from adlake.llm.line_dedup import dedup_lines
+from adlake.llm.line_dedup import LINE_ENDS, dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
 from adlake.llm.packing import pack
 from adlake.llm.quality import score, train
@@ -19,8 +19,6 @@ from adlake.llm.tables import read, row_key, written
 LEAST_QUALITY = 0.3
 # A line found in so many documents stays where it comes first.
 LINE_DOCUMENTS = 10
-# A document of which so much is earlier documents' lines is a copy.
-COPIED_SHARE = 0.8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,13 +34,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents stay in the first of them; n_chars follows the text.
 
-    A document that loses four fifths of its characters or more is a copy of earlier ones and goes. Documents that
+    A document goes only if it loses lines and none but empty ones are left: all it says stands in earlier documents.
+    One that keeps a line of its own, or the first occurrence of a common one, stays with what is left. Documents that
     lose no line are returned as they are, null and empty texts included.
     """
     out = dedup_lines(docs, min_docs=LINE_DOCUMENTS, keep_first=True)
     changed = F.col("n_dropped") > 0
-    left, before = F.char_length("kept_text"), F.char_length("row.text")
-    kept = out.where(~changed | (before - left < COPIED_SHARE * before))
+    left = F.char_length("kept_text")
+    kept = out.where(~changed | (F.col("n_first") > 0) | (F.btrim("kept_text", F.lit(LINE_ENDS)) != ""))
     replaced = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")),
                 "n_chars": F.when(changed, left.cast("long")).otherwise(F.col("row.n_chars"))}
     return kept.select(*[replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -58,6 +58,21 @@ def test_lines_stay_in_the_first_document_and_copies_go(spark):
     assert got[28] == "" and got[29] is None
 
 
+def test_own_lines_and_first_occurrences_are_not_lost_with_their_document(spark):
+    license = "this line of a license stands in all of them " + prose(98, 20)
+    first, late = prose(97, 40), prose(96, 5)
+    docs = frame(spark, [license] + [f"{license}\nown{i} words" for i in range(1, 12)]
+                 + [f"{license}\n{first}\n{late}" for _ in range(12)] + [f"{license}\n \n"])
+    got = texts(corpus_pipeline.line_dedup(spark, docs, FOLDER))
+    assert got[0] == license and all(got[i] == f"own{i} words" for i in range(1, 12))
+    # The copies' first keeps the lines that it is the first to hold; the others have nothing left.
+    assert got[12] == f"{first}\n{late}" and not set(range(13, 25)) & set(got)
+    # Most of document 12 is an earlier line, and the one line that it holds first stays too.
+    docs = frame(spark, [prose(95, 60)] + [f"{prose(95, 60)}\n{late}"] * 11 + [prose(95, 60)])
+    got = texts(corpus_pipeline.line_dedup(spark, docs, FOLDER))
+    assert got == {0: prose(95, 60), 1: late}
+
+
 def test_one_of_each_group_stays(spark):
     base = [prose(i, 90) for i in range(5)]
     docs = frame(spark, base + [edited(b, j, 1) for j, b in enumerate(base)] + base + ["", "", None])
