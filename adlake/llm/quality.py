@@ -73,10 +73,10 @@ def raw_scores(model: dict, index: np.ndarray, value: np.ndarray, at: np.ndarray
     return model["w0"] + np.add.reduceat(model["w"][index] * value, at[:-1]) + pair
 
 
-def fit(texts: list, labels: list, epochs: int = 12, steps: int = 800, rate: float = 0.08, seed: int = 7) -> dict:
+def fit(parts: list, labels: list, epochs: int = 12, steps: int = 800, rate: float = 0.08, seed: int = 7) -> dict:
     """AdaGrad on the logistic loss over mini-batches, for ``epochs`` passes and ``steps`` batches at least.
 
-    With no rows of one class the model is the plain share.
+    ``parts`` are the features of 64 rows each. With no rows of one class the model is the plain share.
     """
     y = np.asarray(labels, dtype=np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -86,7 +86,6 @@ def fit(texts: list, labels: list, epochs: int = 12, steps: int = 800, rate: flo
     if not len(y) or y.min() == y.max():
         model["v"][:] = 0
         return model
-    parts = [features(pa.array(texts[i:i + 64], pa.large_string())) for i in range(0, len(texts), 64)]
     labelled = [(p, y[i * 64:(i + 1) * 64]) for i, p in enumerate(parts)]
     gw, gv, g0 = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, RANK), 1e-6), 1e-6
     for _ in range(max(epochs, -(-steps // len(labelled)))):
@@ -117,27 +116,51 @@ def held_out_fold(column: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(column).cast("string")) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, max_chars: int = 16_000_000) -> dict:
+def _vectors(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            index, value, at = features(part.column(part.schema.get_field_index("text")))
+            spans = list(zip(at[:-1], at[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index(c)) for c in ("k", "doc_id", "y")]
+                + [pa.array(np.diff(at)), pa.array([index[a:b].tobytes() for a, b in spans], pa.binary()),
+                   pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())],
+                names=["k", "doc_id", "y", "n", "index", "value"])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, max_features: int = 1 << 22) -> dict:
     """A model from labelled rows outside the held-out fold.
 
-    ``max_rows`` bounds the sample, chosen by a hash of doc_id; ``max_chars`` bounds the text that the sample brings to
-    the driver (rows beyond it are left out of the sample, longest first). Rows without text count as empty texts; rows
-    whose label is null, or whose doc_id is null or has several different labels, are not learnt from.
+    The sample is taken in order of a hash of doc_id, whatever a text's length, until ``max_rows`` rows or
+    ``max_features`` features (8 bytes each) are reached. Texts stay on the workers: the driver gets feature vectors,
+    and one has ``N_FEATURES`` features at most. Rows without text count as empty texts; rows whose label is null, or
+    whose doc_id is null or has several different labels, are not learnt from.
     """
+    send_code(docs.sparkSession)
     one = (needs(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & ~held_out_fold())
            .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "y")
     rows = (needs(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-            .select("y", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("k"), "doc_id"))
-    rows = written(rows)
-    sizes = rows.select(F.char_length("text").alias("n")).groupBy("n").count().orderBy("n").collect()
-    limit, total = 0, 0
-    for n, count in sizes:
-        if total + n * count > max_chars:
+            .select(F.xxhash64("doc_id").alias("k"), "doc_id", F.col("y").cast("double").alias("y"), "text"))
+    kinds = rows.select("k", "doc_id", "y").schema
+    vectors = written(rows.mapInArrow(_vectors, kinds.add("n", "long").add("index", "binary").add("value", "binary")))
+    last, total = None, 0
+    for row in vectors.select("k", "doc_id", "n").orderBy("k", "doc_id").collect():
+        last, total = row, total + row.n
+        if total >= max_features:
             break
-        limit, total = n, total + n * count
-    sample = rows.where(F.char_length("text") <= limit).orderBy("k", "doc_id").select("y", "text").toPandas()
-    return fit(list(sample["text"]), list(sample["y"]))
+    if last is None:
+        return fit([], [])
+    same = F.lit(last.doc_id).cast(vectors.schema["doc_id"].dataType)
+    within = (F.col("k") < last.k) | ((F.col("k") == last.k) & (F.col("doc_id") <= same))
+    sample = vectors.where(within).orderBy("k", "doc_id").collect()
+    parts = []
+    for i in range(0, len(sample), 64):
+        some = sample[i:i + 64]
+        parts.append((np.concatenate([np.frombuffer(r["index"], np.int32) for r in some]),
+                      np.concatenate([np.frombuffer(r["value"], np.float32) for r in some]),
+                      np.cumsum([0] + [r["n"] for r in some])))
+    return fit(parts, [r["y"] for r in sample])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -14,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from helpers import components, edited, frame, prose, shingles, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from adlake.llm import bloom_lm, minhash_dedup, packing, quality, substring_dedup, url_filter
@@ -455,6 +456,20 @@ def test_held_out_accuracy(spark):
     assert all((zlib.crc32(str(d).encode()) % 5 == 0) == r.held_out and 0 <= r.score <= 1 for d, r in got.items())
 
 
+def test_sample_holds_texts_of_all_lengths(spark):
+    # Chunks of one length that are more text than the old bound, and shorter texts that tell nothing.
+    words = F.when(F.col("id") % 2 == 0, F.lit("good words here ")).otherwise(F.lit("bad junk there "))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.rpad(F.expr("''"), 4096, words).alias("text"))
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    scored = quality.score(docs, quality.train(docs, labels)).groupBy((F.col("row.doc_id") % 2).alias("odd")).agg(
+        F.min("score").alias("least"), F.max("score").alias("most")).collect()
+    by = {r.odd: r for r in scored}
+    assert by[0].least > 0.9 and by[1].most < 0.1
+    # A bound that bites leaves fewer rows, of all lengths alike.
+    long = quality.train(docs, labels, max_features=40 * 20)
+    assert np.abs(long["w"]).max() > 0
+
+
 # --- SQL ----------------------------------------------------------------------
 
 @tables
