@@ -7,11 +7,15 @@ probing one level after the other until one is missing. The probability of a wor
     p(w | h) = share * min(1, f(hw) / f(h)) + (1 - share) * (f(w) + a) / (N + a (V + 1))
 
 where share is the part of training pairs that would still be known if their own occurrence were left out (deleted
-interpolation). Filters have a stated size in bytes, which bounds the broadcast; all counts are gathered, and if they
-are more than a filter holds at its error rate, the lowest levels of count are not stored and read as 0 (back-off).
+interpolation). All counts are stored from level 1 on at every size of input: words and pairs are dealt to buckets by
+hash, as many as the training text needs, and each bucket has the exact counts of its words and a filter of its pairs
+with ``BITS_PER_ENTRY`` bits an entry. Nothing of that is broadcast. The texts to be scored ask by the same hash: a chunk
+of texts sends its distinct words and pairs to their buckets and gets their counts back.
 
-The plain unigram score needs exact counts of all words. The ``head_words`` most frequent go by broadcast; all others
-are rare by that very choice, so they are joined by a shuffle that has no hot key.
+With stated sizes in bytes (``filter_bytes``, ``word_filter_bytes``) the model has instead two filters of these sizes,
+which workers get by broadcast; what does not fit is then read as 0 from the lowest level of count on (back-off).
+
+The ``head_words`` most frequent words go by broadcast with their exact counts; no chunk need ask for them.
 """
 
 import numpy as np
@@ -22,7 +26,10 @@ from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import U, longs, mix, row_sums, slices, words
 
 BUCKET_BYTES = 16 << 20  # text per counting bucket
+CHUNK_BYTES = 4 << 20  # text that asks for its counts at once
+LEAST_BITS = 1 << 16  # of a bucket's filter, however few its pairs
 SEGMENTS, PROBES, BITS_PER_ENTRY = 128, 4, 10
+_PAIR_BYTES = 5
 _FLUSH = 1_200_000  # tokens that a task gathers before it sends their counts
 ALPHA = 0.1
 END, BEGIN = mix(np.array([1, 2], dtype=np.uint64), 91)
@@ -52,11 +59,38 @@ def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (before & U(0xFFFFFFFF00000000)) | (word >> U(32))
 
 
+def _packed(names: np.ndarray, order: int) -> bytes:
+    """Names as bytes; within its bucket a pair's name of 40 bits is enough, and a word's is whole."""
+    return (names if order == 1 else names.view(np.uint8).reshape(-1, 8)[:, :_PAIR_BYTES]).tobytes()
+
+
+def _unpacked(raw, order: int) -> np.ndarray:
+    if order == 1:
+        return np.frombuffer(raw, dtype=np.uint64)
+    short = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _PAIR_BYTES)
+    out = np.zeros((len(short), 8), dtype=np.uint8)
+    out[:, :_PAIR_BYTES] = short
+    return out.reshape(-1).view(np.uint64)
+
+
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(names, 51) % U(buckets)).astype(np.int64)
 
 
-def _tally(buckets: int):
+def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """The order of names by bucket, the buckets that have some, and where each begins and ends in that order."""
+    bucket = _bucket(names, buckets)
+    by = np.argsort(bucket, kind="stable")
+    kinds, begin = np.unique(bucket[by], return_index=True)
+    return by, kinds, list(zip(begin, np.append(begin[1:], len(names))))
+
+
+def _inner(names: np.ndarray, order: int) -> np.ndarray:
+    """Names as they are called within their bucket."""
+    return names if order == 1 else mix(names, 53) >> U(64 - 8 * _PAIR_BYTES)
+
+
+def _tally(buckets: int, bounded: bool):
     """Counts of words (order 1) and pairs (order 2), combined per task before they are sent to their buckets."""
     def run(batches):
         held, size = {1: [], 2: []}, 0
@@ -66,15 +100,12 @@ def _tally(buckets: int):
                 if not parts:
                     continue
                 names, counts = np.unique(np.concatenate(parts), return_counts=True)
-                bucket = _bucket(names, buckets)
-                by = np.argsort(bucket, kind="stable")
-                names, counts, bucket = names[by], counts[by].astype(np.uint32), bucket[by]
-                kinds, begin = np.unique(bucket, return_index=True)
-                spans = list(zip(begin, np.append(begin[1:], len(names))))
+                by, kinds, spans = _dealt(names, buckets)
+                names, counts = names[by] if bounded else _inner(names[by], order), counts[by].astype(np.uint32)
                 # One byte a count, the few large ones written out behind.
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(kinds), order), pa.int32()), pa.array(kinds, pa.int64()),
-                    pa.array([names[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([names[a:b].tobytes() if bounded else _packed(names[a:b], order) for a, b in spans], pa.binary()),
                     pa.array([_short(counts[a:b]) for a, b in spans], pa.binary())], names=["n", "bucket", "names", "counts"])
                 parts.clear()
 
@@ -116,26 +147,36 @@ def _room(per_level: np.ndarray, capacity: float) -> int:
     return least
 
 
-def _summed(capacity: dict, buckets: int):
-    """All counts of a bucket; of pairs those that may find room, with the statistics of all."""
+def _summed(capacity: dict | None, buckets: int):
+    """All counts of a bucket with their statistics: words as they are, pairs as a filter of the size that they need.
+
+    With a stated capacity there is no such filter but those pairs that may find room.
+    """
     def run(group: pa.Table) -> pa.Table:
         order, bucket = group.column("n")[0].as_py(), group.column("bucket")[0].as_py()
-        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("names")]
+        parts = [_unpacked(x.as_buffer(), order if capacity is None else 1) for x in group.column("names")]
         counts = np.concatenate([_long(c.as_py(), len(p)) for c, p in zip(group.column("counts"), parts)])
         names, place = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(place, weights=counts).astype(np.uint64)
         levels = level_of(total)
-        # A quarter of room to spare, since buckets differ by chance.
         histogram = np.bincount(levels, minlength=len(LEVELS) + 1)
-        least = _room(histogram, 1.25 * capacity[order] / buckets + 64)
-        kept = levels >= least if order > 1 else np.ones(len(names), dtype=bool)
+        own = None
+        if capacity is None:
+            least, kept = 1, np.full(len(names), order == 1)
+            if order > 1:
+                bits = max(-(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64, LEAST_BITS)
+                own = np.packbits(_filled(np.zeros(bits, dtype=bool), names, levels), bitorder="little").tobytes()
+        else:
+            # A quarter of room to spare, since buckets differ by chance.
+            least = _room(histogram, 1.25 * capacity[order] / buckets + 64)
+            kept = levels >= least if order > 1 else np.ones(len(names), dtype=bool)
         names, total = names[kept], total[kept]
         return pa.table({
             "n": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "names": pa.array([names.tobytes()], pa.binary()),
             "counts": pa.array([_short(total)], pa.binary()), "least": pa.array([least], pa.int32()),
             "histogram": pa.array([histogram.tolist()], pa.list_(pa.int64())),
             "tokens": pa.array([float(counts.sum())], pa.float64()),
-            "kinds": pa.array([len(levels)], pa.int64())})
+            "kinds": pa.array([len(levels)], pa.int64()), "filter": pa.array([own], pa.binary())})
     return run
 
 
@@ -149,6 +190,28 @@ def _bit(names: np.ndarray, level: int, probe: int, segment_bits: int) -> np.nda
     return ((y & U(0xFFFFFFFF)) + U(probe) * ((y >> U(32)) | U(1))) % U(segment_bits)
 
 
+def _filled(bits: np.ndarray, names: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bits with a name of level l put in as (name, 1) .. (name, l)."""
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        own = names[levels >= level]
+        for probe in range(PROBES):
+            bits[_bit(own, level, probe, len(bits)).astype(np.int64)] = True
+    return bits
+
+
+def _levels(raw: np.ndarray, segment_bits: int, names: np.ndarray, base: np.ndarray, most: int) -> np.ndarray:
+    """How many levels of each name are in the filter, from the first on; a name's bits begin at ``base``."""
+    levels, live = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
+    for level in range(1, most + 1):
+        for probe in range(PROBES):
+            at = base[live] + _bit(names[live], level, probe, segment_bits)
+            live = live[(raw[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
+        if not len(live):
+            break
+        levels[live] = level
+    return levels
+
+
 def _by_segment(least: dict):
     """What is stored, as names and levels above the least, by segment of the filter."""
     def run(batches):
@@ -176,10 +239,7 @@ def _built(segment_bits: dict):
         bits = np.zeros(segment_bits[order], dtype=bool)
         for names, levels in zip(group.column("names"), group.column("levels")):
             names, levels = np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(levels.as_buffer(), np.uint8)
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                own = names[levels >= level]
-                for probe in range(PROBES):
-                    bits[_bit(own, level, probe, segment_bits[order]).astype(np.int64)] = True
+            _filled(bits, names, levels)
         return pa.table({"n": pa.array([order], pa.int32()), "segment": group.column("segment").slice(0, 1),
                          "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
     return run
@@ -192,17 +252,9 @@ class Filter:
         self.raw, self.segment_bits, self.least = raw, segment_bits, least
 
     def read(self, names: np.ndarray) -> np.ndarray:
-        levels, live = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
-        for level in range(1, len(VALUES) - self.least):
-            base = _segment(names[live]).astype(np.uint64) * U(self.segment_bits)
-            for probe in range(PROBES):
-                at = base + _bit(names[live], level, probe, self.segment_bits)
-                inside = (self.raw[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
-                live, base = live[inside], base[inside]
-            if not len(live):
-                break
-            levels[live] = level + self.least - 1
-        return VALUES[levels]
+        base = _segment(names).astype(np.uint64) * U(self.segment_bits)
+        levels = _levels(self.raw, self.segment_bits, names, base, len(VALUES) - self.least - 1)
+        return VALUES[np.where(levels > 0, levels + self.least - 1, 0)]
 
 
 def held_out_fold(column: str = "doc_id"):
@@ -210,37 +262,37 @@ def held_out_fold(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % 10 == 0
 
 
-def train(docs: DataFrame, filter_bytes: int = 16 << 20, word_filter_bytes: int = 6 << 20, head_words: int = 1 << 16) -> dict:
-    """The model of all texts of ``docs``: filters and head words (bounded, on the driver) and the table ``vocabulary``
-    (hash, n) of all exact word counts (in the shared folder).
+def train(docs: DataFrame, filter_bytes: int | None = None, word_filter_bytes: int | None = None, head_words: int = 1 << 16) -> dict:
+    """The model of all texts of ``docs``: the tables ``stored`` (by bucket: exact word counts, a filter of pairs) and
+    ``vocabulary`` (hash, n) in the shared folder, the head words (bounded) on the driver.
 
-    A null text is an empty one and still has its end token. Without documents all counts are 0.
+    Both filters with stated sizes (``filter_bytes`` for pairs) take the place of ``stored``, if both are given. A null
+    text is an empty one and still has its end token. Without documents all counts are 0.
     """
     spark = docs.sparkSession
     send_code(spark)
-    sizes = {1: word_filter_bytes, 2: filter_bytes}
-    segment_bits = {n: 8 * size // SEGMENTS for n, size in sizes.items()}
-    capacity = {n: 8.0 * size / BITS_PER_ENTRY for n, size in sizes.items()}
+    bounded = filter_bytes is not None and word_filter_bytes is not None
+    capacity = {1: 8.0 * word_filter_bytes / BITS_PER_ENTRY, 2: 8.0 * filter_bytes / BITS_PER_ENTRY} if bounded else None
     rows = needs(docs, "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     buckets = max(-(-total // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tallied = rows.mapInArrow(_tally(buckets), "n int, bucket bigint, names binary, counts binary")
+    tallied = rows.mapInArrow(_tally(buckets, bounded), "n int, bucket bigint, names binary, counts binary")
     summed = written(tallied.groupBy("n", "bucket").applyInArrow(
         _summed(capacity, buckets), "n int, bucket bigint, names binary, counts binary, least int, histogram array<bigint>, "
-                                    "tokens double, kinds bigint"))
+                                    "tokens double, kinds bigint, filter binary"))
     # One row per order: histograms are added level by level.
     stats = {r["n"]: r for r in summed.groupBy("n").agg(
         F.max("least").alias("least"), F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"),
         F.array(*[F.sum(F.get("histogram", F.lit(i))) for i in range(len(LEVELS) + 1)]).alias("histogram")).collect()}
     histogram = {n: np.array(stats[n]["histogram"] if n in stats else [0] * (len(LEVELS) + 1)) for n in (1, 2)}
-    least = {n: _room(histogram[n], capacity[n]) for n in (1, 2)}
-    if 2 in stats:
-        least[2] = max(least[2], stats[2]["least"])
-    stored = summed.select("n", "names", "counts").mapInArrow(_by_segment(least), "n int, segment bigint, names binary, levels binary")
-    filters = {n: np.zeros(sizes[n], dtype=np.uint8) for n in (1, 2)}
-    for r in stored.groupBy("n", "segment").applyInArrow(_built(segment_bits), "n int, segment bigint, filter binary").collect():
-        step = segment_bits[r["n"]] // 8
-        filters[r["n"]][r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["filter"], dtype=np.uint8)
+    least = {1: 1, 2: 1}
+    if bounded:
+        least = {n: _room(histogram[n], capacity[n]) for n in (1, 2)}
+        if 2 in stats:
+            least[2] = max(least[2], stats[2]["least"])
+        kept = {"filters": _broadcast_filters(summed, least, {1: word_filter_bytes, 2: filter_bytes})}
+    else:
+        kept = {"stored": summed.select("n", "bucket", "names", "counts", "filter"), "buckets": buckets}
 
     def rows_of(batches):
         for batch in batches:
@@ -257,35 +309,126 @@ def train(docs: DataFrame, filter_bytes: int = 16 << 20, word_filter_bytes: int
     lowest = max(2, least[2])
     again = float((histogram[2][lowest:len(VALUES)] * (VALUES[lowest:] - 1)[:len(histogram[2]) - lowest]).sum())
     one, two = stats.get(1), stats.get(2)
-    return {"filters": {n: (filters[n], segment_bits[n], least[n]) for n in (1, 2)}, "vocabulary": vocabulary,
-            "N": int(one["tokens"]) if one else 0, "V": int(one["kinds"]) if one else 0,
-            "share": min(0.95, again / two["tokens"]) if two else 0.0,
-            "head": (head["hash"].to_numpy(), head["n"].to_numpy())}
+    return kept | {
+        "vocabulary": vocabulary, "N": int(one["tokens"]) if one else 0, "V": int(one["kinds"]) if one else 0,
+        "share": min(0.95, again / two["tokens"]) if two else 0.0, "head": (head["hash"].to_numpy(), head["n"].to_numpy())}
+
+
+def _broadcast_filters(summed: DataFrame, least: dict, sizes: dict) -> dict:
+    """Filters of stated sizes, put together on the driver."""
+    segment_bits = {n: 8 * size // SEGMENTS for n, size in sizes.items()}
+    stored = summed.select("n", "names", "counts").mapInArrow(_by_segment(least), "n int, segment bigint, names binary, levels binary")
+    filters = {n: np.zeros(sizes[n], dtype=np.uint8) for n in (1, 2)}
+    for r in stored.groupBy("n", "segment").applyInArrow(_built(segment_bits), "n int, segment bigint, filter binary").collect():
+        step = segment_bits[r["n"]] // 8
+        filters[r["n"]][r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["filter"], dtype=np.uint8)
+    return {n: (filters[n], segment_bits[n], least[n]) for n in (1, 2)}
+
+
+def _in_head(names: np.ndarray, head: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Whether words are head words, and the counts of those that are."""
+    known, n = head
+    if not len(known):
+        return np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int64)
+    own = names.view(np.int64)
+    spot = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    found = known[spot] == own
+    return found, np.where(found, n[spot], 0)
+
+
+def _ask(sent, buckets: int, parts: int):
+    """The distinct words (but head words) and pairs of a chunk of texts, for their buckets."""
+    def run(group: pa.Table) -> pa.Table:
+        chunk = group.column("chunk")[0].as_py()
+        word, _, before = tokens(group.column("text"))
+        orders, to, blobs = [], [], []
+        for order, names in ((1, np.unique(word)), (2, np.unique(pairs(before, word)))):
+            if order == 1:
+                names = names[~_in_head(names, sent.value["head"])[0]]
+            by, kinds, spans = _dealt(names, buckets)
+            names = _inner(names[by], order)
+            orders += [order] * len(kinds)
+            to += kinds.tolist()
+            blobs += [_packed(names[a:b], order) for a, b in spans]
+        return pa.table({"chunk": pa.array([chunk] * len(to), pa.int64()), "part": pa.array([chunk % parts] * len(to), pa.int32()),
+                         "n": pa.array(orders, pa.int32()), "bucket": pa.array(to, pa.int64()), "names": pa.array(blobs, pa.binary())})
+    return run
+
+
+def _answer(asked: pa.Table, stored: pa.Table) -> pa.Table:
+    """Counts of words, levels of pairs, in the order that they were asked for."""
+    counts = []
+    if asked.num_rows:
+        order = asked.column("n")[0].as_py()
+        each = [_unpacked(x.as_buffer(), order) for x in asked.column("names")]
+        names = np.concatenate(each)
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        found = np.zeros(len(names), dtype=np.uint64)
+        if stored.num_rows and order == 1:
+            known = np.frombuffer(stored.column("names")[0].as_buffer(), dtype=np.uint64)
+            n = _long(stored.column("counts")[0].as_py(), len(known))
+            spot = np.minimum(np.searchsorted(known, names), len(known) - 1)
+            found = np.where(known[spot] == names, n[spot], U(0))
+        elif stored.num_rows:
+            raw = np.frombuffer(stored.column("filter")[0].as_buffer(), dtype=np.uint8)
+            found = _levels(raw, 8 * len(raw), names, np.zeros(len(names), np.uint64), len(LEVELS) - 1)
+        counts = [_short(x) if order == 1 else x.astype(np.uint8).tobytes() for x in np.split(found, cuts)]
+    return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "n": asked.column("n").cast(pa.int32()),
+                     "bucket": asked.column("bucket").cast(pa.int64()), "counts": pa.array(counts, pa.binary())})
+
+
+def _told(names: np.ndarray, order: int, answers: dict, buckets: int) -> np.ndarray:
+    """What a chunk's names were answered."""
+    by, kinds, spans = _dealt(names, buckets)
+    out = np.zeros(len(names), dtype=np.uint64)
+    for bucket, (a, b) in zip(kinds.tolist(), spans):
+        raw = answers[order, bucket]
+        out[by[a:b]] = _long(raw, b - a) if order == 1 else np.frombuffer(raw, np.uint8, b - a)
+    return out
+
+
+def _score_chunk(sent, buckets: int):
+    """Scores of a chunk's texts from the answers to it."""
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        model = sent.value
+        answers = {(n, b): c for n, b, c in zip(*[told.column(x).to_pylist() for x in ("n", "bucket", "counts")])}
+        word, at, before = tokens(texts.column("text"))
+        kinds, place = np.unique(word, return_inverse=True)
+        frequent, exact = _in_head(kinds, model["head"])
+        exact[~frequent] = _told(kinds[~frequent], 1, answers, buckets).astype(np.int64)
+        floor = model["N"] + ALPHA * (model["V"] + 1)
+        base = np.log10((exact + ALPHA) / floor)
+        both, where = np.unique(pairs(before, word), return_inverse=True)
+        together = VALUES[_told(both, 2, answers, buckets).astype(np.int64)][where]
+        each = _mixed(VALUES[level_of(exact)], place, at, together, model["share"], floor)
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "row_key": texts.column("row_key"), "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(row_sums((exact[place] > 0).astype(np.int64), at)),
+            "base_score": pa.array(np.add.reduceat(base[place], at[:-1])), "score": pa.array(np.add.reduceat(each, at[:-1]))})
+    return run
+
+
+def _mixed(count: np.ndarray, place: np.ndarray, at: np.ndarray, together: np.ndarray, share: float, floor: float) -> np.ndarray:
+    """The log10 probability of each token, from the counts of words (by place) and of the pairs that tokens end."""
+    # The history's count; a begin is followed once per document, as an end is preceded.
+    history = np.empty(len(place))
+    history[1:] = count[place[:-1]]
+    history[at[:-1]] = count[place[at[1:] - 1]]
+    near = np.where(history > 0, np.minimum(together / np.maximum(history, 1), 1), 0)
+    return np.log10(share * near + (1 - share) * ((count + ALPHA) / floor)[place])
 
 
 def _score(sent):
     def run(batches):
         model = sent.value
         one, two = (Filter(*model["filters"][n]) for n in (1, 2))
-        head, head_n = model["head"]
         share, floor = model["share"], model["N"] + ALPHA * (model["V"] + 1)
         for batch in batches:
             for part in slices(batch, "text"):
                 word, at, before = tokens(part.column(0))
                 kinds, place = np.unique(word, return_inverse=True)
-                count = one.read(kinds)
-                plain = (count + ALPHA) / floor
-                # The history's count; a begin is followed once per document, as an end is preceded.
-                history = np.empty(len(word))
-                history[1:] = count[place[:-1]]
-                history[at[:-1]] = count[place[at[1:] - 1]]
-                together = two.read(pairs(before, word))
-                near = np.where(history > 0, np.minimum(together / np.maximum(history, 1), 1), 0)
-                each = np.log10(share * near + (1 - share) * plain[place])
-                known = kinds.view(np.int64)
-                spot = np.minimum(np.searchsorted(head, known), max(len(head) - 1, 0))
-                frequent = head[spot] == known if len(head) else np.zeros(len(kinds), dtype=bool)
-                exact = np.where(frequent, np.log10((head_n[spot] if len(head) else 0) + ALPHA), 0)
+                each = _mixed(one.read(kinds), place, at, two.read(pairs(before, word)), share, floor)
+                frequent, head_n = _in_head(kinds, model["head"])
+                exact = np.where(frequent, np.log10(head_n + ALPHA), 0)
                 is_head = frequent[place]
                 rare, rare_at, rare_n = [], [0], []
                 for a, b in zip(at[:-1], at[1:]):
@@ -312,8 +455,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """
     spark = docs.sparkSession
     send_code(spark)
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("filters", "head", "share", "N", "V")})
     rows = needs(docs, "doc_id", "text").select("text", F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("key"))
+    if "filters" not in model:
+        return _score_by_buckets(rows, model)
+    sent = spark.sparkContext.broadcast({k: model[k] for k in ("filters", "head", "share", "N", "V")})
     out = rows.mapInArrow(_score(sent), "key struct<doc_id:bigint,row_key:bigint>, n_tokens bigint, head_known bigint, head_sum double, "
                                         "score double, rare array<bigint>, rare_n array<bigint>")
     out = written(out)
@@ -333,3 +478,34 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         "key.doc_id", "key.row_key", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(model["N"]).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
+
+
+def _score_by_buckets(rows: DataFrame, model: dict) -> DataFrame:
+    """Chunks of texts ask the buckets that their words and pairs belong to and are scored with the answers."""
+    spark, buckets = rows.sparkSession, model["buckets"]
+    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "share", "N", "V")})
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    chunks = max(-(-total // CHUNK_BYTES), spark.sparkContext.defaultParallelism)
+    # Far more text than the model was made of: as many copies of a bucket share its work.
+    parts = max(1, -(-total // (2 * buckets * BUCKET_BYTES)))
+    # Rows that repeat a document would share a chunk: one of them is scored, for all.
+    copies = written(rows.groupBy("key").count().where("count > 1").withColumnRenamed("key", "_copy"))
+    repeated = copies.count()
+    if repeated:
+        same = F.col("key").eqNullSafe(F.col("_copy"))
+        rows = rows.join(copies, same, "left_anti").select("key", "text").unionByName(
+            rows.join(copies, same, "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    # Both reads of it are one exchange.
+    texts = rows.select(F.pmod(F.col("key.row_key"), F.lit(chunks)).cast("long").alias("chunk"), "key.doc_id", "key.row_key", "text").groupBy("chunk")
+    asked = texts.applyInArrow(_ask(sent, buckets, parts), "chunk bigint, part int, n int, bucket bigint, names binary")
+    stored = model["stored"].withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    where = ["part", "n", "bucket"]
+    told = asked.groupBy(*where).cogroup(stored.groupBy(*where)).applyInArrow(_answer, "chunk bigint, n int, bucket bigint, counts binary")
+    out = texts.cogroup(told.groupBy("chunk")).applyInArrow(
+        _score_chunk(sent, buckets), "doc_id bigint, row_key bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    if repeated:
+        same = (F.col("row_key") == F.col("_copy.row_key")) & F.col("doc_id").eqNullSafe(F.col("_copy.doc_id"))
+        out = out.join(copies, same, "left").withColumn(
+            "_each", F.explode(F.sequence(F.lit(1), F.coalesce("count", F.lit(1)))))
+    return out.select("doc_id", "row_key", "n_tokens", "n_known", F.lit(model["N"]).cast("long").alias("train_tokens"),
+                      "base_score", "score")

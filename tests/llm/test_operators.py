@@ -300,6 +300,18 @@ def test_small_filters_keep_the_frequent(spark):
     assert one.read(names)[0] == pytest.approx(200, rel=0.3)
 
 
+def test_all_levels_are_stored_whatever_the_input(spark):
+    # 2 million words seen twice and as many seen once: more than the fixed filter of words (6 MB) held.
+    own = F.when(F.col("id") < 1000, F.col("id") % 500).otherwise(F.col("id"))
+    train = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(0), F.lit(3999)), lambda i: F.concat(own.cast("string"), F.lit("w"), i.cast("string")))).alias("text"))
+    model = bloom_lm.train(train)
+    assert model["V"] == 4 * 10**6 + 1 and model["share"] > 0.2
+    got = bloom_lm.score(train.where("doc_id in (3, 1003)"), model).collect()
+    # Each word is always followed by the same one, whether seen twice or once.
+    assert len(got) == 2 and all(r.n_known == 4001 and r.score / r.n_tokens > math.log10(model["share"]) - 0.01 for r in got)
+
+
 # --- 6 ------------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
