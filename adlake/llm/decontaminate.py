@@ -3,8 +3,8 @@
 A short item in a long document has a tiny resemblance to the whole of it, so sizes are matched first: items fall into
 classes by powers of two of their number of shingles, and for a class of size S a document is seen as windows of 2 S
 shingles, one every S, so that any stretch of an item's length lies within one window. Items and windows have one-
-permutation min-hashes of ``BINS`` bins; an item is a candidate where it agrees with a window in any bin. Candidates
-are verified by exact containment of the item's shingles in the whole document.
+permutation min-hashes of ``BINS`` bins; an item is a candidate where it agrees with a window in any bin. Of an item of ``FEW``
+shingles or less one bin can decide, so any of its shingles makes it a candidate. Candidates are verified by exact containment of the item's shingles in the whole document.
 
 The benchmark is the stated query set. It goes to the workers in blocks of about ``block_bytes`` of text, each searched
 in all documents, so no broadcast grows with either table.
@@ -20,6 +20,7 @@ from adlake.llm.tables import needs, row_key, send_code, written
 from adlake.llm.words import U, distinct, mix, shingles, slices, words
 
 BINS = 256
+FEW = 8
 _FULL = np.iinfo(np.uint64).max
 
 
@@ -42,7 +43,7 @@ def index_items(texts: list, k: int) -> dict:
             size = 1 << max(0, int(len(own) - 1).bit_length())
             least = np.full(BINS, _FULL)
             np.minimum.at(least, _bins(own), own)
-            for x in least[least != _FULL].tolist():
+            for x in (own if len(own) <= FEW else least[least != _FULL]).tolist():
                 owners[x].append((size, i))
     return {"sets": sets, "owners": dict(owners), "minima": np.sort(np.fromiter(owners, np.uint64, len(owners)))}
 
@@ -55,8 +56,8 @@ def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def candidates(index: dict, ranks: np.ndarray, hits: np.ndarray) -> set:
     """Items that agree with some window of their size class in some bin; ``hits`` are places of items' min-hashes."""
-    found = set()
-    owned = [(int(p), size, i) for p in hits for size, i in index["owners"][int(ranks[p])]]
+    found = {i for p in hits for _, i in index["owners"][int(ranks[p])] if len(index["sets"][i]) <= FEW}
+    owned = [(int(p), size, i) for p in hits for size, i in index["owners"][int(ranks[p])] if i not in found]
     for size in {s for _, s, _ in owned}:
         mine = [(p, i) for p, s, i in owned if s == size and i not in found]
         if not mine:

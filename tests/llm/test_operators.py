@@ -17,6 +17,7 @@ from helpers import components, edited, frame, prose, shingles, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from adlake.llm import decontaminate as decontamination
 from adlake.llm import bloom_lm, minhash_dedup, packing, quality, substring_dedup, url_filter
 from adlake.llm import words as hashed
 from adlake.llm.components import components as connected
@@ -192,6 +193,17 @@ def test_containment_equals_brute_force(spark):
     assert clean == set(range(len(texts))) - {d for d, *_ in want}
 
 
+def test_item_of_one_shingle_at_the_begin_of_a_document(spark):
+    # Documents whose second shingle has the bin of the first and a smaller rank.
+    texts = [f"one two three four five x{i}" for i in range(6000)]
+    values, _ = hashed.shingles(*hashed.words(pa.array(texts, pa.large_string())), 5)
+    first, second = decontamination._ranks(values).reshape(-1, 2).T
+    hidden = np.flatnonzero((decontamination._bins(first) == decontamination._bins(second)) & (second < first)).tolist()
+    assert hidden
+    got = contaminated(frame(spark, [texts[i] for i in hidden] + ["none of it here at all"]), bench(spark, [(1, texts[0][:-3])])).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(hidden)))
+
+
 # --- 4 ------------------------------------------------------------------------
 
 def brute_parts(url):
