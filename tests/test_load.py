@@ -8,7 +8,7 @@ from adlake.operators import daily, extract, lifecycle, maintain
 from adlake.operators.load import expired
 from adlake.sources.sample import sample_ads
 from adlake.sources.store import JobStore, create_tables, drop_tables, insert_rows
-from conftest import D1, D2, D3, THREE_ADS, ad, raw_frame, rows_of
+from ads_for_tests import D1, D2, D3, THREE_ADS, ad, raw_frame, rows_of
 
 STAMPS = ("created_at", "updated_at")
 

@@ -6,7 +6,7 @@ import pytest
 
 from adlake.operators import metrics
 from adlake.plans import filters, marts, queries
-from conftest import D1, D2, D3, rows_of, table
+from ads_for_tests import D1, D2, D3, rows_of, table
 
 
 @pytest.fixture(scope="module")

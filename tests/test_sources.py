@@ -9,7 +9,7 @@ from adlake.plans import queries
 from adlake.sources import raw
 from adlake.sources.store import JobStore
 from adlake.streaming.ingest import ingest
-from conftest import D1, D2, D3, THREE_ADS, ad, raw_frame
+from ads_for_tests import D1, D2, D3, THREE_ADS, ad, raw_frame
 
 
 def write_array(folder, day, name, ads):
