@@ -4,7 +4,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from adlake.llm import bloom_lm
+from adlake.llm.ball_tree import search
 from adlake.llm.decontaminate import contaminated
+from adlake.llm.exact_dedup import deduplicate
+from adlake.llm.importance import resample
 from adlake.llm.line_dedup import dedup_lines
 from adlake.llm.minhash_dedup import near_duplicates
 from adlake.llm.order_minhash import edited_likeness
@@ -122,3 +125,48 @@ def op2_substring_dedup(spark, folder):
     out = repeated_passages(read(spark, folder, "documents"))
     return out.select("doc_id", F.col("start").alias("start_word"), F.col("size").alias("n_words"), "source_id",
                       F.col("source_start").alias("source_start_word"), F.col("source_size").alias("source_n_words"), "similarity")
+
+
+@_query
+def op11_ranked_search(spark, folder):
+    out = search(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
+    return out.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def _terms_sql(table, key):
+    return (f"SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            rf"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM {table}")
+
+
+SQL["op11_ranked_search"] = f"""
+WITH d AS ({_terms_sql('documents', 'doc_id')}), i AS ({_terms_sql('benchmark', 'item_id')}),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY doc_id, w),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM len),
+weights AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, whole GROUP BY w, n_docs),
+m AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM len, whole),
+hits AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM (SELECT item_id, w, count(*) AS times FROM i GROUP BY item_id, w) JOIN tf USING (w) JOIN weights USING (w) JOIN m USING (doc_id)
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM hits WHERE score > 0) WHERE rank <= 10"""
+
+
+@_query
+def op12_importance(spark, folder):
+    out = resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"), percent=25, least_words=20, buckets=10_000, seed=7)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op13_exact_dedup(spark, folder):
+    out = deduplicate(spark, f"{folder}/documents.parquet")
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+SQL["op13_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS whole FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(whole) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY whole)"""
