@@ -1,6 +1,6 @@
 """The star schema of orders, line items and events read as a job-market history.
 
-A customer is an ad, a quarter of orders is a capture day (of months, the newest may hold hardly an ad), the parts of an order are its technologies. Pay,
+A customer is an ad, a month of orders is a capture day (the newest may hold few ads), the parts of an order are its technologies. Pay,
 location and level are first written as free text and then parsed like captured ads.
 """
 
@@ -38,7 +38,7 @@ class StarHistory:
     @cached_property
     def latest(self) -> Column:
         """The newest month, found by a subquery over that one column when the query runs."""
-        return self.read("orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "QUARTER")).scalar()
+        return self.read("orders").agg(F.trunc(F.max("o_orderdate").cast("date"), "MONTH")).scalar()
 
     def recent(self, days: int) -> "StarHistory":
         """The same postings, with the dated tables cut to months from ``days`` before the newest one on.
@@ -47,8 +47,8 @@ class StarHistory:
         read for it, from the one column.
         """
         out = StarHistory(self.spark, self.folder)
-        month = F.trunc(F.max("o_orderdate").cast("date"), "QUARTER")
-        found = self.read("orders").agg(month.alias("latest"), F.trunc(F.date_sub(month, days), "QUARTER").alias("start")).first()
+        month = F.trunc(F.max("o_orderdate").cast("date"), "MONTH")
+        found = self.read("orders").agg(month.alias("latest"), F.trunc(F.date_sub(month, days), "MONTH").alias("start")).first()
         out._start = F.lit(found.start).cast("timestamp_ntz")
         out.__dict__.update(latest=F.lit(found.latest).cast("date"), job_postings=self.job_postings)
         return out
@@ -57,7 +57,7 @@ class StarHistory:
     def monthly_orders(self) -> DataFrame:
         """Every order with its month, copies per ad and month included."""
         orders = self.read("orders") if self._start is None else self.read("orders").filter(F.col("o_orderdate") >= self._start)
-        return orders.withColumn("snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "QUARTER"))
+        return orders.withColumn("snapshot_date", F.trunc(F.col("o_orderdate").cast("date"), "MONTH"))
 
     @cached_property
     def kept_orders(self) -> DataFrame:
