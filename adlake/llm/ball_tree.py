@@ -21,7 +21,7 @@ from adlake.llm.words import blobs, longs, mix, slices
 # Documents and (document, term) entries of one tree; documents of a leaf; coordinates of a centre.
 TREE_DOCS, TREE_ENTRIES, LEAF, CENTRE = 4096, 1 << 20, 64, 512
 # Entries of the trees that one task searches together, and bytes of queries that meet them at once.
-CELL_ENTRIES, QUERY_BYTES = 1 << 21, 4 << 20
+CELL_ENTRIES, QUERY_BYTES = 1 << 20, 4 << 20
 # Query terms that are shipped to the tasks, 8 bytes each; beyond it documents are indexed with all their terms.
 MOST_TERMS = 1_000_000
 
@@ -298,9 +298,8 @@ def build_index(docs: DataFrame, asked: DataFrame, tree_docs: int = TREE_DOCS, t
 
 def _dealt(index: Index, queries: DataFrame, cell_entries: int, query_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Trees by cell and queries by block, each pair of cell and block once: all queries meet all trees, a few at a time."""
-    spark = queries.sparkSession
     held = index.trees.agg(F.count(F.lit(1)).alias("trees"), F.sum("entries").alias("entries")).first()
-    cells = max(1, min(held.trees, max(-(-(held.entries or 0) // cell_entries), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    cells = max(1, min(held.trees, -(-(held.entries or 0) // cell_entries)))
     size = queries.agg(F.sum(F.octet_length("term") + F.octet_length("weight"))).first()[0] or 0
     blocks = max(1, -(-size // query_bytes))
     trees = index.trees.withColumns({"cell": F.pmod(F.xxhash64("tree"), F.lit(cells)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
