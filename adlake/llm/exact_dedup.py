@@ -25,6 +25,9 @@ _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+# A state partition costs an executor some megabytes of disk whatever it holds, so their number follows the rows.
+STATE_ROWS = 1_000_000
+_STATE_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 _LOCATOR = ["file", "place"]
 
 
@@ -62,17 +65,19 @@ def _files(path: str) -> str:
 
 
 def ingest(spark: SparkSession, path: str, checkpoint: str, identifier: str = "doc_id", text: str = "text",
-           digest=sha256_digest, bytes_per_batch: int = 1 << 38) -> None:
+           digest=sha256_digest, bytes_per_batch: int = 1 << 38, state_rows: int = STATE_ROWS) -> None:
     """Read the files under ``path`` that the state at ``checkpoint`` has not seen, in batches, and then return.
 
-    The number of state partitions is that of the shuffle partitions at the first call. Copies combine before the
-    shuffle, so a text that a third of all rows repeat costs its partition a row per task.
+    The first call sets the number of state partitions: one per ``state_rows`` rows, and as many as there are cores at
+    least. Copies combine before the shuffle, so a text that a third of all rows repeat costs its partition a row per task.
     """
-    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(_files(path))
+    whole = spark.read.parquet(path)
+    partitions = max(spark.sparkContext.defaultParallelism, -(-whole.count() // state_rows))
+    files = spark.readStream.schema(whole.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(_files(path))
     rows = _rows(files, identifier, text, digest)
     first = F.struct(F.col("id").isNull().alias("lost"), "id", *_LOCATOR, F.octet_length("content").alias("size"))
     kept = rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    with _settings(spark, _STATE_SETTINGS):
+    with _settings(spark, {**_STATE_SETTINGS, _STATE_PARTITIONS: str(partitions)}):
         kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -138,4 +143,4 @@ def deduplicate(spark: SparkSession, path: str, checkpoint: str | None = None, *
     """
     checkpoint = checkpoint or os.path.join(scratch_root(spark), f"dedup-{uuid.uuid4().hex}")
     ingest(spark, path, checkpoint, **{k: v for k, v in options.items() if k != "cell_bytes"})
-    return decisions(spark, path, checkpoint, **{k: v for k, v in options.items() if k != "bytes_per_batch"})
+    return decisions(spark, path, checkpoint, **{k: v for k, v in options.items() if k not in ("bytes_per_batch", "state_rows")})
