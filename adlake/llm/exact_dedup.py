@@ -17,7 +17,7 @@ from adlake.llm.tables import written
 from adlake.session import scratch_root
 
 # Content that one (digest, salt) cell may hold, and how many digests may be hot: these alone are broadcast.
-CELL_BYTES = 16 << 20
+CELL_BYTES = 1 << 20
 MOST_HOT = 50_000
 _STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -100,7 +100,7 @@ def _checked(rows: DataFrame, state: DataFrame, cell_bytes: int) -> DataFrame:
     cell = max(cell_bytes, -(-total // MOST_HOT))  # so that at most MOST_HOT digests are above it
     bulk = F.col("n") * (F.col("size") + 1)
     hot = F.broadcast(state.where(bulk > cell).select(
-        "digest", F.ceil(bulk / cell).cast("int").alias("salts"), F.col("keep_file").alias("_file"), F.col("keep_place").alias("_place")))
+        "digest", F.least("n", F.ceil(bulk / cell)).cast("int").alias("salts"), F.col("keep_file").alias("_file"), F.col("keep_place").alias("_place")))
     leads = (F.col("file") == F.col("_file")) & (F.col("place") == F.col("_place"))
     own = F.pmod(F.xxhash64("file", "place"), F.col("salts")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("salts") - 1)
