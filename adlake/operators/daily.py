@@ -9,7 +9,7 @@ from adlake.operators.extract import only_listed, records, with_reason, without_
 from adlake.operators.transform import categorised, normalise, technology_rows
 from adlake.session import staged
 from adlake.sources.raw import scrape_run
-from adlake.sources.store import JobStore, bucket_of
+from adlake.sources.store import JobStore
 
 _KEY = ["job_id", "snapshot_date"]
 _SNAPSHOT = ["description", "requirements", "location_type", "city", "region", "country", "seniority_level", "employment_type"]
@@ -51,9 +51,10 @@ def load_days(store: JobStore, raw: DataFrame, day: Column, now: Column | None =
 def _merge(store: JobStore, change, batch: DataFrame, days: DataFrame, now: Column, complete: bool):
     postings = load.merge_postings(store.table("job_postings"), batch.select(*_KEY, "title", "company_name", "url", "seq"), now, complete)
     with staged(postings) as merged:
+        store.settle_buckets(merged)
         # Buckets in which nothing happened stay as they are.
-        hit = merged.filter("change <> 'kept'").select(bucket_of().alias("bucket")).distinct()
-        fresh = merged.withColumn("bucket", bucket_of()).join(F.broadcast(hit), "bucket", "left_semi")
+        hit = merged.filter("change <> 'kept'").select(store.bucket_of().alias("bucket")).distinct()
+        fresh = merged.withColumn("bucket", store.bucket_of()).join(F.broadcast(hit), "bucket", "left_semi")
         change.replace("job_postings", fresh.select(*store.table("job_postings").columns))
         active = merged.filter("is_active").select("job_id")
 

@@ -29,9 +29,14 @@ def local_session(cores: str = "*", partitions: int = 8, **conf) -> SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, which is shared too."""
+    """The shared folder named by spark.checkpoint.dir; only a local session may do without, and uses its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    if root:
+        return root
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -1,33 +1,41 @@
 """The history store: Parquet folders that Spark's own overwrite replaces by day or by bucket.
 
-A load first writes everything it will change to the shared scratch folder, and then replaces the touched days,
-buckets and rows. An error before that leaves the store as it was; one in between is mended by repeating the load,
-since all merges are keyed.
+A change first writes all its new rows beside the tables, in ``_changes``, then the list of its steps, and only then
+replaces the touched days, buckets and rows. Each step may be done twice. Whoever opens the store next finishes a change
+whose list is there and discards one without, so after a crash at any point the store is as before or as after the change.
+One writer at a time; readers that run beside it open with ``mend=False``.
 """
 
+import json
 import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from adlake import schema
-from adlake.session import delete_path, scratch_root
-
-_BUCKETS = 64
-
-
-def bucket_of(job_id: str = "job_id") -> Column:
-    """The part of the postings that a job is in."""
-    return F.pmod(F.xxhash64(job_id), F.lit(_BUCKETS)).cast("int")
+from adlake.session import delete_path
 
+# Stores made before the number was kept have so many buckets of postings.
+_OLD_BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
 
 # The column whose values are folders, for the tables that are replaced in parts.
 _PARTS = {**dict.fromkeys(schema.DATED, "snapshot_date"), "rejects": "snapshot_date", "daily_metrics": "metric_date", "job_postings": "bucket"}
+# The key by which a table that only grows takes no row twice.
+_GROWS = {"technologies": "technology_id"}
+_CHANGES, _STEPS, _LAYOUT = "_changes", "_steps", "_layout"
+
+
+def fields_of(name: str) -> StructType:
+    return schema.REJECTS if name == "rejects" else schema.TABLES[name]
 
 
 class JobStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, mend: bool = True):
+        self.spark, self.root, self._buckets = spark, root, None
+        if mend:
+            self.mend()
 
     def path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
@@ -36,11 +44,66 @@ class JobStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+    def folders(self, path: str) -> list[str]:
+        """Names of what lies in a folder; a change's own folder holds a few tables, so the list is short."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in files.listStatus(hadoop)) if files.exists(hadoop) else []
+
+    @property
+    def buckets(self) -> int:
+        """The number of buckets of postings, kept with the store."""
+        if self._buckets is None:
+            if self.exists(self.path(_LAYOUT)):
+                self._buckets = json.loads(self.spark.read.text(self.path(_LAYOUT)).first().value)["buckets"]
+            elif self.exists(self.path("job_postings")):
+                self._buckets = _OLD_BUCKETS
+        return self._buckets
+
+    def settle_buckets(self, postings: DataFrame) -> None:
+        """At the first load: buckets for twice as many postings as there are."""
+        if self.buckets is None:
+            number = max(1, -(-2 * postings.count() // ROWS_PER_BUCKET))
+            kept = self.spark.createDataFrame([(json.dumps({"buckets": number}),)], "value string")
+            kept.coalesce(1).write.mode("overwrite").text(self.path(_LAYOUT))
+            self._buckets = number
+
+    def bucket_of(self, job_id: str = "job_id") -> Column:
+        """The part of the postings that a job is in."""
+        return F.pmod(F.xxhash64(job_id), F.lit(self.buckets or _OLD_BUCKETS)).cast("int")
+
+    def mend(self) -> None:
+        """Finish the changes whose list of steps is complete, and drop the others."""
+        for name in self.folders(self.path(_CHANGES)):
+            aside = self.path(_CHANGES, name)
+            # One file that appears when it is complete; without it no table has been touched.
+            listed = self.spark.read.text(os.path.join(aside, _STEPS)).collect() if self.exists(os.path.join(aside, _STEPS)) else []
+            if listed:
+                self.redo(aside, json.loads(listed[0].value))
+            delete_path(self.spark, aside)
+
+    def redo(self, aside: str, steps: list[dict]) -> None:
+        for step in steps:
+            self.apply(aside, step)
+
+    def apply(self, aside: str, step: dict) -> None:
+        """Do one step of a change; doing it again changes nothing."""
+        name, column = step["table"], step["column"]
+        if step["rows"]:
+            rows = self.spark.read.schema(_staged_fields(name)).parquet(os.path.join(aside, name))
+            if column is None:
+                key = _GROWS[name]
+                rows.join(self.table(name).select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(self.path(name))
+            else:
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(self.path(name))
+        for value in step["emptied"]:
+            delete_path(self.spark, self.path(name, f"{column}={value}"))
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
-        fields = schema.REJECTS if name == "rejects" else schema.TABLES[name]
+        fields = fields_of(name)
         if not self.exists(self.path(name)):
             return self.spark.createDataFrame([], fields)
         return self.spark.read.schema(fields).parquet(self.path(name)).select(*fields.names)
@@ -67,9 +130,9 @@ class JobStore:
         """Drop the folders of days before the cutoff. Returns the days."""
         cutoff = self.spark.range(1).select(F.date_sub(F.lit(as_of).cast("date"), keep_days).alias("d")).first().d
         gone = {name: [d for d in self.days(name) if d < cutoff] for name in schema.DATED}
-        for name, days in gone.items():
-            for day in days:
-                delete_path(self.spark, self.path(name, f"snapshot_date={day}"))
+        with self.change() as change:
+            for name, days in gone.items():
+                change.empty(name, days)
         return sorted({d for days in gone.values() for d in days})
 
     def delete_jobs(self, keys: DataFrame) -> None:
@@ -77,7 +140,7 @@ class JobStore:
         keys = keys.select("job_id")
         with self.change() as change:
             for name in (*schema.DATED, "job_postings"):
-                part = F.col("snapshot_date") if name in schema.DATED else bucket_of()
+                part = F.col("snapshot_date") if name in schema.DATED else self.bucket_of()
                 rows = self.table(name).withColumn("_part", part)
                 hit = rows.join(keys, "job_id", "left_semi").select("_part").distinct()
                 touched = rows.join(F.broadcast(hit), "_part", "left_semi")
@@ -88,46 +151,57 @@ class JobStore:
         delete_path(self.spark, self.root)
 
 
+def _staged_fields(name: str) -> StructType:
+    fields = fields_of(name)
+    return StructType([*fields, StructField("bucket", IntegerType())]) if _PARTS.get(name) == "bucket" else fields
+
+
 class Change:
     """Rows are written aside as they come and replace what they touch when the block ends without an error."""
 
     def __init__(self, store: JobStore):
-        self.store, self.aside, self.steps = store, os.path.join(scratch_root(store.spark), f"adlake-{uuid.uuid4().hex}"), []
+        self.store, self.aside, self.steps = store, store.path(_CHANGES, uuid.uuid4().hex), []
 
     def __enter__(self):
         return self
 
+    def _stage(self, name: str, rows: DataFrame, column: str | None) -> DataFrame:
+        fields, path = _staged_fields(name), os.path.join(self.aside, name)
+        writer = rows.select(*fields.names)
+        if column is None:
+            writer.write.parquet(path)
+        else:  # one writer per part, or several where AQE finds a part too large: few files per folder
+            writer.hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
+        return self.store.spark.read.schema(fields).parquet(path)
+
     def replace(self, name: str, rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         """Replace the parts (days or buckets) that rows has; those of ``parts`` without rows become empty."""
         column = _PARTS[name]
-        rows = rows.withColumn("bucket", bucket_of()) if column == "bucket" else rows
-        path = os.path.join(self.aside, name)
-        # One writer per part, or several where AQE finds a part too large: few files per folder.
-        rows.hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
-        written = self.store.spark.read.schema(rows.schema).parquet(path)
-        emptied = [] if parts is None else [r[0] for r in parts.join(
+        rows = rows.withColumn("bucket", self.store.bucket_of()) if column == "bucket" else rows
+        written = self._stage(name, rows, column)
+        emptied = [] if parts is None else [str(r[0]) for r in parts.join(
             written.select(F.col(column).alias("_has")).distinct(), parts[parts.columns[0]] == F.col("_has"), "left_anti").collect()]
-        self.steps.append((name, written, column, emptied))
+        self.steps.append({"table": name, "column": column, "rows": True, "emptied": emptied})
         return written
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        path = os.path.join(self.aside, name)
-        rows.write.parquet(path)
-        written = self.store.spark.read.schema(rows.schema).parquet(path)
-        self.steps.append((name, written, None, []))
+        written = self._stage(name, rows, None)
+        self.steps.append({"table": name, "column": None, "rows": True, "emptied": []})
         return written
 
+    def empty(self, name: str, parts: list) -> None:
+        """Drop parts (days or buckets)."""
+        if parts:
+            self.steps.append({"table": name, "column": _PARTS[name], "rows": False, "emptied": [str(p) for p in parts]})
+
     def __exit__(self, kind, error, trace):
-        if kind is None:
-            for name, rows, column, emptied in self.steps:
-                path = self.store.path(name)
-                if column is None:
-                    rows.write.mode("append").parquet(path)
-                else:
-                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
-                for value in emptied:
-                    delete_path(self.store.spark, os.path.join(path, f"{column}={value}"))
-        delete_path(self.store.spark, self.aside)
+        spark = self.store.spark
+        if kind is None and self.steps:
+            listed = spark.createDataFrame([(json.dumps(self.steps),)], "value string")
+            listed.coalesce(1).write.text(os.path.join(self.aside, _STEPS))
+            # From here on an error leaves the folder, and the next opening finishes the change.
+            self.store.redo(self.aside, self.steps)
+        delete_path(spark, self.aside)
         return False
 
 
