@@ -25,13 +25,17 @@ def with_place(df: DataFrame, text: str, cities: Column | None = None) -> DataFr
     low = F.lower(F.col(text))
     hit = first_inside(low, F.col("_cities"))
     # In steps, so that the lookup runs once per row and not once per derived column.
-    step = df.withColumn("_cities", city_list() if cities is None else cities).withColumns(
-        {"_place": hit, "_remote": F.coalesce(any_of(low, fv.REMOTE_WORDS), F.lit(False))})
+    step = df.withColumn("_cities", city_list() if cities is None else cities).withColumn("_place", hit)
+    return place_columns(step, low).drop("_cities", "_place")
+
+
+def place_columns(df: DataFrame, low: Column) -> DataFrame:
+    """The four columns of N5 out of ``_place`` (city, region; null where none was found) and the lower-cased text."""
     has_city = F.col("_place").isNotNull()
-    return step.withColumns({
+    return df.withColumn("_remote", F.coalesce(any_of(low, fv.REMOTE_WORDS), F.lit(False))).withColumns({
         "location_type": F.when(F.col("_remote") & has_city, "hybrid")
         .when(F.col("_remote"), "remote").when(has_city, "office"),
         "city": F.col("_place.city"),
         "region": F.col("_place.region"),
         "country": F.lit(fv.DEFAULT_COUNTRY),
-    }).drop("_cities", "_place", "_remote")
+    }).drop("_remote")

@@ -65,7 +65,20 @@ def _whole_word(keyword: str) -> str:
     return f"{literal}{ahead}{_WORD}){behind}{_WORD}{literal})"
 
 
-def _folded(text: Column) -> Column:
+def whole_word(low: Column) -> Column:
+    """The same regex for a column of lower-cased keywords."""
+    literal = F.regexp_replace(low, r"([^\p{L}\p{N}_])", r"\\$1")
+    ahead = F.when(F.rlike(low, F.lit(_WORD + r"\z")), "(?!").otherwise("(?=")
+    behind = F.when(F.rlike(low, F.lit(r"\A" + _WORD)), "(?<!").otherwise("(?<=")
+    return F.concat(literal, ahead, F.lit(_WORD + ")"), behind, F.lit(_WORD), literal, F.lit(")"))
+
+
+def words_of(low: Column) -> Column:
+    """Runs of word characters."""
+    return F.regexp_extract_all(low, F.lit(f"({_WORD}+)"))
+
+
+def folded(text: Column) -> Column:
     """Lower case, with the four letters that ignore-case search equates with i, s and k."""
     return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
@@ -84,7 +97,7 @@ def find_keywords(text: Column, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS) ->
         kept = F.filter(listed, lambda k: folded.contains(k["key"]) & F.rlike(folded, k["rx"]))
         return F.transform(kept, lambda k: k["name"])
 
-    return bound(_folded(text), hits)
+    return bound(folded(text), hits)
 
 
 def employment_type(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """One Spark query per operator, each over whole tables."""
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -11,7 +13,11 @@ from adlake.operators.ranks import upper_median
 from adlake.plans import marts, queries
 from adlake.operators import daily, transform
 from adlake.plans.filters import preset_range
+from adlake.operators import lookup, rollups
+from adlake.session import scratch_root
+from adlake.sources.json_array import read_array
 from adlake.sources.star import StarHistory, _level_word
+from adlake.streaming.run_log import DayLog
 from contract.job_pages import job_pages
 
 TREND_NAMES = ["cold widget", "red bolt", "small ring", "no such part"]
@@ -549,3 +555,135 @@ def lifecycle_of_jobs(t):
 @_register
 def active_spans(t):
     return lifecycle.active_spans(t.job_snapshots)
+
+
+# --- roll-ups per day, lookups as tables, arrays, streams ------------------------
+
+
+@_register
+def technology_jobs_range(t):
+    """M6 over a range: distinct jobs per technology in the newest year, from the daily bitmaps."""
+    days = rollups.technology_bitmaps(t).filter(F.col("snapshot_date") > F.add_months(t.latest, -12))
+    return rollups.distinct_jobs(days, ["technology_id"]).join(t["technologies"], "technology_id").select(
+        F.col("name").alias("technology"), "category", "job_count")
+
+
+@_register
+def technology_jobs_by_year(t):
+    """M6 rolled up: distinct jobs per category and year; a job counts once however many technologies and days it has."""
+    named = rollups.technology_bitmaps(t).join(t["technologies"], "technology_id")
+    return rollups.distinct_jobs(named, ["category", F.year("snapshot_date").alias("year")])
+
+
+@_register
+def place_jobs_rollup(t):
+    """Distinct jobs by quarter, in all and per region and type, from the same daily bitmaps."""
+    daily_places = rollups.place_bitmaps(t)
+    quarter = F.trunc("snapshot_date", "QUARTER").alias("quarter")
+    fine = rollups.merged_bitmaps(daily_places, [quarter, "region", "location_type"])
+    rows = rollups.distinct_jobs(fine, ["quarter", "region", "location_type"]).withColumn("grain", F.lit("place"))
+    total = rollups.distinct_jobs(fine, ["quarter"]).withColumns({"region": F.lit(None).cast("string"), "location_type": F.lit(None).cast("string"), "grain": F.lit("all")})
+    return rows.unionByName(total)
+
+
+def _sketched(t, by):
+    """Quartiles of pay from merged daily sketches, held against the exact ranks of the same rows."""
+    pay = t["salaries"].filter("currency = 'PLN'").select("snapshot_date", "salary_avg")
+    merged = rollups.merged_sketches(rollups.pay_sketches(pay, ["snapshot_date"]), [by.alias("span")])
+    out = rollups.sketched_quantiles(merged, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    found = pay.withColumn("span", by).join(out.select("span", F.col("n").alias("_n"), "q1", "q2", "q3"), "span")
+    # Where a value stands among the rows: the share below it, and the share up to it.
+    shares = [e for q in ("q1", "q2", "q3") for e in (
+        (F.count_if(F.col("salary_avg") < F.col(q)) / F.count(F.lit(1))).alias(f"{q}_below"), (F.count_if(F.col("salary_avg") <= F.col(q)) / F.count(F.lit(1))).alias(f"{q}_upto"))]
+    ranks = found.groupBy("span").agg(*shares)
+    # A sketch's bound holds for each quantile at 99 %; three of them per span, at twice the bound, leave no doubt.
+    error = F.lit(2 * rollups.KLL_ERROR)
+    within = [((F.col(f"{q}_below") <= r + error) & (F.col(f"{q}_upto") >= r - error)).alias(f"{q}_within") for q, r in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))]
+    return out.join(ranks, "span").select("span", "n", "least", "most", *within)
+
+
+@_register
+def pay_quartiles_sketched(t):
+    """Quartiles of pay per year from daily sketches; each is compared by whether its true rank is within the bound."""
+    return _sketched(t, F.year("snapshot_date"))
+
+
+@_register
+def median_pay_sketched(t):
+    """M2's opt-in: the same per month, where most sketches hold all of their values."""
+    return _sketched(t, F.trunc("snapshot_date", "MONTH").cast("string"))
+
+
+@_register
+def standardize_location_table(t):
+    """N5 by an indexed join with the lookup table: the rows of standardize_location."""
+    lookup_table = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return lookup.with_place_from(t.with_location(t.kept_orders), "location_text", lookup_table, "n_nationkey", "n_name", "r_name").select(
+        "job_id", "snapshot_date", "location_text", "location_type", "city", "region", "country")
+
+
+@_register
+def company_in_text(t):
+    """N5's join with a lookup that grows: the first of all customers, by key, whose number stands in a page's path."""
+    digits = F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1)
+    rows = t.read("pages").select("page_id", F.concat(F.lit("Customer#"), F.lpad(digits, 9, "0"), F.lit(" / Remote")).alias("text"))
+    found = lookup.with_place_from(rows, "text", t.read("customer"), "c_custkey", "c_name", "c_mktsegment")
+    return found.select("page_id", "location_type", "city", "region")
+
+
+@_register
+def technology_category_table(t):
+    """N6 by an indexed join; the names of parts, and as lookup the parts' names without their first letter."""
+    names = t.read("part").select(F.col("p_name").alias("name")).distinct()
+    table = t.read("part").select(F.col("p_partkey").alias("pos"), F.expr("substring(p_name, 2)").alias("name"), F.col("p_type").alias("category"))
+    return lookup.categorised_from(names, table)
+
+
+@_register
+def keyword_table(t):
+    """X10 with a keyword list that is a table: every word of the benchmark items, and its first and last two words together."""
+    words = F.split(F.lower("text"), " ")
+    one = t.read("benchmark").select(F.explode(words).alias("keyword"))
+    two = t.read("benchmark").select(F.explode(F.array(F.concat_ws(" ", F.slice(words, 1, 2)), F.concat_ws(" ", F.slice(words, -2, 2)))).alias("keyword"))
+    listed = one.union(two).filter("keyword RLIKE '^[a-z]+( [a-z]+)?$'").distinct().select(F.crc32("keyword").alias("pos"), "keyword")
+    found = lookup.keywords_from(t.read("documents"), "doc_id", "text", listed)
+    return found.select("doc_id", F.size("keywords").alias("n"), F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
+
+
+def _scratch(t, name):
+    return os.path.join(scratch_root(t.spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@_register
+def capture_array(t):
+    """Customers as ads in one JSON array per nation, written as it would be captured and read in byte ranges."""
+    text = F.concat(F.lit('say "{x" \\\\ }, {'), "c_mktsegment", F.lit("}\n"), F.when(F.col("c_custkey") % 3 == 0, '"}').otherwise("{{"))
+    ads = t.read("customer").select("c_nationkey", F.col("c_custkey").cast("long").alias("pos"), F.to_json(F.struct(
+        F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.col("c_name").alias("company_name"), text.alias("title"),
+        F.array(F.lit("a}"), F.lit("b")).alias("technologies"))).alias("value"))
+    first = Window.partitionBy("c_nationkey").orderBy("pos")
+    listed = ads.withColumn("value", F.concat(F.when(F.row_number().over(first) == 1, "").otherwise(", "), "value"))
+    nations = t.read("nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    frame = listed.unionByName(nations.select("c_nationkey", F.lit(-1).cast("long").alias("pos"), F.lit("[").alias("value"))).unionByName(
+        nations.select("c_nationkey", F.lit((1 << 62)).alias("pos"), F.lit("]").alias("value")))
+    path = _scratch(t, "capture")
+    frame.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "pos").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    read = read_array(t.spark, path)
+    place = F.regexp_extract("seq.file", "c_nationkey=([0-9]+)", 1).cast("int")
+    return read.select(place.alias("nation"), F.col("seq.place").alias("place"), "job_id", "company_name", "title", "technologies",
+                       F.col("_corrupt_record").isNotNull().alias("broken"))
+
+
+@_register
+def run_log_stream(t):
+    """The events as files in order of arrival, some twice and some a month late, streamed into daily totals."""
+    events = t.read("events").select("event_id", "ts", "user_id", "event_type")
+    twice = events.where("event_id % 10 = 0").withColumn("_delay", F.lit(3))
+    arrivals = events.withColumn("_delay", F.when(F.col("event_id") % 50 == 7, 30).otherwise(F.col("event_id") % 2)).unionByName(twice)
+    path = _scratch(t, "arrivals")
+    by = F.col("ts") + F.make_dt_interval(F.col("_delay").cast("int"))
+    arrivals.withColumn("_at", by).repartitionByRange(6, "_at").drop("_delay", "_at").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    of = {f"{kind}s": F.count_if(F.col("event_type") == kind) for kind in ("view", "purchase", "error")}
+    log = DayLog(t.spark, path, _scratch(t, "days"), t.spark.read.parquet(path).schema, ["event_id", "ts"], "ts", {**of, "last_ts": F.max("ts")})
+    log.advance(delay="2 days", files_per_batch=2)
+    return log.days()

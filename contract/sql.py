@@ -569,6 +569,50 @@ _OTHER |= {
         AS category FROM rows r LEFT JOIN listed l ON contains(lower(name), key) GROUP BY job_id, r.pos, name""",
 }
 
+# A sketch's quantile has no equal in SQL; its true rank is to be within the bound, and n and the ends are exact.
+_SKETCHED = """SELECT {0} AS span, count(*) AS n, round(min(salary_avg), 4) AS least, round(max(salary_avg), 4) AS most,
+  true AS q1_within, true AS q2_within, true AS q3_within FROM salaries WHERE currency = 'PLN' GROUP BY 1"""
+_BY_HISTORY |= {
+    "technology_jobs_range": """SELECT t.name AS technology, t.category, count(DISTINCT job_id) AS job_count
+      FROM job_technologies j JOIN technologies t USING (name), last_day WHERE snapshot_date > d - INTERVAL 12 MONTH GROUP BY 1, 2""",
+    "technology_jobs_by_year": """SELECT category, CAST(year(snapshot_date) AS INTEGER) AS year, count(DISTINCT job_id) AS job_count
+      FROM job_technologies JOIN technologies USING (name) GROUP BY 1, 2""",
+    "place_jobs_rollup": """SELECT CAST(CAST(date_trunc('quarter', snapshot_date) AS DATE) AS VARCHAR) AS quarter, region, location_type,
+        count(DISTINCT job_id) AS job_count, 'place' AS grain FROM job_snapshots GROUP BY 1, 2, 3
+      UNION ALL SELECT CAST(CAST(date_trunc('quarter', snapshot_date) AS DATE) AS VARCHAR), NULL, NULL, count(DISTINCT job_id), 'all'
+        FROM job_snapshots GROUP BY 1""",
+    "pay_quartiles_sketched": _SKETCHED.format("CAST(year(snapshot_date) AS INTEGER)"),
+    "median_pay_sketched": _SKETCHED.format("CAST(snapshot_date AS VARCHAR)"),
+    "standardize_location_table": _BY_HISTORY["standardize_location"],
+}
+_OTHER |= {
+    "company_in_text": r"""SELECT page_id, CASE WHEN c_name IS NULL THEN 'remote' ELSE 'hybrid' END AS location_type, c_name AS city, c_mktsegment AS region
+      FROM pages LEFT JOIN customer ON c_name = 'Customer#' || lpad(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), 9, '0')""",
+    "technology_category_table": """WITH names AS (SELECT DISTINCT p_name AS name FROM part),
+      listed AS (SELECT lower(substring(p_name, 2)) AS key, p_partkey AS pos, p_type AS category FROM part)
+      SELECT name, coalesce(arg_min(category, CASE WHEN key = lower(name) THEN pos - 1000000000 ELSE pos END), 'other') AS category
+      FROM names LEFT JOIN listed ON contains(lower(name), key) GROUP BY name""",
+    "keyword_table": r"""WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark),
+      listed AS (SELECT DISTINCT keyword FROM (SELECT unnest(w) AS keyword FROM w UNION ALL SELECT array_to_string(w[1:2], ' ') FROM w
+        UNION ALL SELECT array_to_string(w[-2:], ' ') FROM w) WHERE regexp_matches(keyword, '^[a-z]+( [a-z]+)?$')),
+      words AS (SELECT doc_id, translate(text, 'İıſK', 'iisk') AS text,
+        regexp_extract_all(lower(translate(text, 'İıſK', 'iisk')), '[\p{L}\p{N}_]+') AS w FROM documents),
+      found AS (
+        SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, unnest(w) AS keyword FROM words) JOIN listed USING (keyword)
+        UNION ALL
+        SELECT doc_id, keyword FROM words JOIN listed ON contains(keyword, ' ') AND contains(lower(text), keyword)
+          AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || keyword || '($|[^\p{L}\p{N}_])'))
+      SELECT doc_id, CAST(count(*) AS INTEGER) AS n, string_agg(keyword, ',' ORDER BY keyword) AS keywords
+      FROM (SELECT DISTINCT * FROM found) GROUP BY 1""",
+    "capture_array": r"""SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place,
+        'job-' || c_custkey AS job_id, c_name AS company_name,
+        'say "{x" \\ }, {' || c_mktsegment || '}' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '"}' ELSE '{{' END AS title,
+        'a},b' AS technologies, false AS broken FROM customer""",
+    "run_log_stream": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) + count(*) FILTER (event_id % 10 = 0) AS n_rows, count(*) AS n_events,
+        count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases,
+        count(*) FILTER (event_type = 'error') AS errors, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM events GROUP BY 1""",
+}
+
 
 def sql_by_name() -> dict[str, str]:
     return {**{name: _HISTORY + sql for name, sql in _BY_HISTORY.items()},
