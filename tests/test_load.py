@@ -1,4 +1,5 @@
-from datetime import date
+import math
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from adlake import schema
 from adlake.operators import daily, extract, lifecycle, maintain
 from adlake.operators.load import expired
-from adlake.sources.sample import sample_ads
+from adlake.sources.sample import Profile, sample_ads
 from adlake.sources.store import JobStore, create_tables, drop_tables, insert_rows
 from ads_for_tests import D1, D2, D3, THREE_ADS, ad, raw_frame, rows_of
 
@@ -196,12 +197,16 @@ def test_backfill_in_date_order(spark, store):
 
 
 def test_sample_feed(spark):
+    profile = Profile()
     rows = sample_ads(spark, 300).collect()
-    assert all(3 <= len(set(r.technologies)) == len(r.technologies) <= 6 for r in rows)
-    bands = {"junior": 5200, "mid": 9800, "senior": 17000}
-    for r in rows:
-        low, high = (int(x) for x in r.salary.removesuffix(" PLN").split(" - "))
-        assert low >= bands[r.seniority] and 2000 <= high - low <= 6000
+    assert rows == sample_ads(spark, 300).repartition(7).orderBy("seq").collect()
+    assert rows != sample_ads(spark, 300, seed=43).collect() and len({r.job_id for r in rows}) == 300
+    assert all(3 <= len(set(r.technologies)) == len(r.technologies) <= 6 and set(r.technologies) <= set(profile.skills) for r in rows)
+    assert {r.snapshot_date for r in rows} == {date(2026, 1, 7) - timedelta(days=n) for n in range(8)}
+    for level, (share, median, spread) in profile.levels.items():
+        pays = [tuple(map(int, r.salary.split(" ")[:3:2])) for r in rows if r.seniority == level]
+        assert abs(len(pays) / 300 - share) < 0.1
+        assert all(median * math.exp(-3 * spread) - 50 <= low <= high <= low * 1.25 + 50 and low <= median * math.exp(3 * spread) + 50 for low, high in pays)
     assert extract.accepted(spark.createDataFrame(rows)).count() == 300
 
 
