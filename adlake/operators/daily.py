@@ -100,6 +100,6 @@ def run_day(store: JobStore, raw: DataFrame, snapshot_date) -> DataFrame:
     return run
 
 
-def backfill(store: JobStore, dated_ads: DataFrame) -> DataFrame:
+def backfill(store: JobStore, dated_ads: DataFrame, **options) -> DataFrame:
     """Load a frame with a snapshot_date column; the number of jobs does not depend on the number of days."""
-    return load_days(store, dated_ads.withColumnRenamed("snapshot_date", "_day"), F.col("_day"))
+    return load_days(store, dated_ads.withColumnRenamed("snapshot_date", "_day"), F.col("_day"), **options)

@@ -16,7 +16,8 @@ from adlake.plans.filters import preset_range
 from adlake.operators import lookup, rollups
 from adlake.session import scratch_root
 from adlake.sources.json_array import read_array
-from adlake.sources.star import StarHistory, _level_word
+from adlake.sources.star import StarHistory, _level_word, raw_ads as order_ads
+from adlake.sources.store import JobStore, create_tables, drop_tables, insert_rows
 from adlake.streaming.run_log import DayLog
 from contract.job_pages import job_pages
 
@@ -687,3 +688,88 @@ def run_log_stream(t):
     log = DayLog(t.spark, path, _scratch(t, "days"), t.spark.read.parquet(path).schema, ["event_id", "ts"], "ts", {**of, "last_ts": F.max("ts")})
     log.advance(delay="2 days", files_per_batch=2)
     return log.days()
+
+
+# --- the same history loaded into a store -----------------------------------------
+
+
+# Where the history has been loaded to, by application and folder: the queries below share one load.
+_LOADED: dict = {}
+
+
+def loaded_store(t) -> JobStore:
+    """A store into which all months have been loaded, as captured ads, in one pass."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _LOADED:
+        store = JobStore(t.spark, _scratch(t, "store"))
+        daily.backfill(store, order_ads(t), cities=t.cities)
+        _LOADED[key] = store.root
+    return JobStore(t.spark, _LOADED[key])
+
+
+@_register
+def store_active_jobs_range(t):
+    """F7, F8 on a store: active ads of the newest half year; only its days' folders are read."""
+    store = loaded_store(t)
+    return queries.active_jobs(store, F.add_months(t.latest, -6), t.latest).select(
+        "job_id", "title", "snapshot_date", "location_type", "city", "seniority_level")
+
+
+@_register
+def store_technology_trend(t):
+    """M6 on a store, per day of the newest year; the links hold the technologies of all copies of an ad."""
+    return queries.technology_data(loaded_store(t), F.add_months(t.latest, -12), t.latest).drop("category")
+
+
+@_register
+def store_retention(t):
+    """R1 on a copy of the store: the folders of days before the cutoff are dropped; rows per table and day of what is left."""
+    whole, store = loaded_store(t), JobStore(t.spark, _scratch(t, "store"))
+    with store.change() as change:
+        for name in ("job_snapshots", "salaries", "job_technologies"):
+            change.replace(name, whole[name])
+    newest = store["job_snapshots"].agg(F.max("snapshot_date")).first()[0]
+    store.retain(newest, 400)
+    out = None
+    for name in ("job_snapshots", "salaries", "job_technologies"):
+        rows = store[name].groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_register
+def catalog_round_trip(t):
+    """The tables made in the catalog, filled in bulk, read back by SQL with a parameter, and dropped."""
+    database = f"adlake_{uuid.uuid4().hex[:12]}"
+    create_tables(t.spark, database)
+    for name in ("salaries", "job_snapshots"):
+        insert_rows(t[name], f"{database}.{name}")
+    out = t.spark.sql(f"""SELECT n.snapshot_date, n.location_type, count(*) AS rows, max(s.salary_max) AS most FROM {database}.salaries s
+        JOIN {database}.job_snapshots n ON n.job_id = s.job_id AND n.snapshot_date = s.snapshot_date
+        WHERE s.currency = :currency GROUP BY 1, 2""", args={"currency": "PLN"})
+    kept = _scratch(t, "result")
+    out.write.parquet(kept)
+    drop_tables(t.spark, database)
+    t.spark.sql(f"DROP DATABASE {database}")
+    return t.spark.read.parquet(kept)
+
+
+@_register
+def capped_run(t):
+    """X17 with a cap: the first hundred ad URLs of a run, in URL order."""
+    return pages.capped(page_unique_urls(t), 100)
+
+
+@_register
+def dashboard_content(t):
+    """What the dashboard's frames hold, as (frame, key, value)."""
+    frames, day = marts.dashboard(t), F.coalesce(F.col("snapshot_date").cast("string"), F.lit(""))
+    wanted = {
+        "jobs": (["job_id", day], "salary_avg"), "salary": (["title", day, F.col("seniority_level")], "salary_avg"), "technology": (["technology", day], "job_count"),
+        "location": ([day, "location_type", "city", "region"], "job_count"), "salary_by_tech": (["technology"], "avg_salary"),
+        "kpis": (["top_technology"], "total_jobs"), "scrape_info": (["status"], "jobs_found")}
+    out = None
+    for name, (key, value) in wanted.items():
+        row = frames[name].select(F.lit(name).alias("frame"), F.concat_ws("|", *key).alias("key"), F.round(F.col(value).cast("double"), 4).alias("value"))
+        out = row if out is None else out.unionByName(row)
+    return out

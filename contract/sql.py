@@ -613,6 +613,30 @@ _OTHER |= {
         count(*) FILTER (event_type = 'error') AS errors, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM events GROUP BY 1""",
 }
 
+# A store takes an ad's pay from the last of its copies that has any.
+_ALL_PAID = "(SELECT DISTINCT job_id, snapshot_date FROM monthly JOIN lineitem ON l_orderkey = o_orderkey) paid"
+# A store links an ad to the technologies of all of its copies of a day.
+_ALL_LINKS = """(SELECT DISTINCT job_id, snapshot_date, p_name FROM monthly JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey) links"""
+_BY_HISTORY |= {
+    "store_active_jobs_range": f"""SELECT job_id, title, {_DAY}, location_type, city, seniority_level
+      FROM m4, last_day WHERE snapshot_date >= d - INTERVAL 6 MONTH""",
+    "store_technology_trend": f"""SELECT p_name AS technology, {_DAY}, count(DISTINCT job_id) AS job_count FROM {_ALL_LINKS} JOIN job_postings USING (job_id), last_day
+      WHERE is_active AND snapshot_date >= d - INTERVAL 12 MONTH GROUP BY ALL""",
+    "store_retention": " UNION ALL ".join(
+        f"SELECT {_DAY}, count(*) AS rows, '{n}' AS table_name FROM {source}, last_day WHERE snapshot_date >= d - INTERVAL 400 DAY GROUP BY ALL"
+        for n, source in (("job_snapshots", "job_snapshots"), ("salaries", _ALL_PAID), ("job_technologies", _ALL_LINKS))),
+    "catalog_round_trip": """SELECT CAST(s.snapshot_date AS VARCHAR) AS snapshot_date, n.location_type, count(*) AS rows, round(max(s.salary_max), 4) AS most
+      FROM salaries s JOIN job_snapshots n ON n.job_id = s.job_id AND n.snapshot_date = s.snapshot_date WHERE s.currency = 'PLN' GROUP BY 1, 2""",
+    "dashboard_content": """SELECT 'jobs' AS frame, concat_ws('|', job_id, coalesce(CAST(snapshot_date AS VARCHAR), '')) AS key, round(CAST(salary_avg AS DOUBLE), 4) AS value FROM m4
+      UNION ALL SELECT 'salary', concat_ws('|', title, CAST(snapshot_date AS VARCHAR), seniority_level), round(salary_avg, 4) FROM pln
+      UNION ALL SELECT 'technology', concat_ws('|', technology, CAST(snapshot_date AS VARCHAR)), job_count FROM tech
+      UNION ALL SELECT 'location', concat_ws('|', CAST(snapshot_date AS VARCHAR), location_type, city, region), job_count FROM loc
+      UNION ALL SELECT 'salary_by_tech', technology, round(avg_salary, 4) FROM m8
+      UNION ALL SELECT 'kpis', """ + _KPI["top_technology"] + ", " + _KPI["total_jobs"] + """
+      UNION ALL (SELECT 'scrape_info', status, jobs_found FROM scrape_runs ORDER BY run_date DESC LIMIT 1)""",
+}
+_OTHER |= {"capped_run": _PAGES + "SELECT DISTINCT url FROM links ORDER BY url LIMIT 100"}
+
 
 def sql_by_name() -> dict[str, str]:
     return {**{name: _HISTORY + sql for name, sql in _BY_HISTORY.items()},

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adlake import schema
 from adlake.operators import daily
+from adlake.plans import queries
 from adlake.sources import store as stores
 from adlake.sources.store import JobStore
 from ads_for_tests import D1, D2, D3, THREE_ADS, ad, raw_frame, rows_of, table
@@ -149,3 +150,17 @@ def test_buckets_follow_the_first_load_and_stay(spark, tmp_path, monkeypatch):
     again = JobStore(spark, store.root)
     assert again.buckets == 3 and again["job_postings"].count() == 23
     assert rows_of(again["job_postings"].filter("is_active").agg(F.count(F.lit(1)))) == [(20,)]
+
+
+def test_ranges_read_only_their_folders(spark, tmp_path):
+    store = begun(spark, str(tmp_path / "s"))
+    with store.change() as change:
+        change.replace("job_snapshots", table(spark, "job_snapshots", [("a", d, *[None] * 8) for d in (D1, D2, D3)]))
+    ranged = queries.active_jobs(store, D2, D2)
+    assert [(r.job_id, r.snapshot_date) for r in ranged.collect()] == [("a", D2)]
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_date" in plan and "(snapshot_date#" in plan
+    # Days known only when the query runs prune the folders too.
+    days = spark.createDataFrame([(D1,)], "snapshot_date date").where("snapshot_date > '2020-01-01'")
+    found = store.days_of("job_snapshots", days)
+    assert [r.snapshot_date for r in found.collect()] == [D1] and "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
