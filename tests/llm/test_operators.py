@@ -504,3 +504,26 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_passages_around_a_common_phrase_are_not_lost(spark, parts):
+    """Two documents share a passage that holds a phrase of others, which come first under the phrase's keys."""
+    rng, texts, pairs = random.Random(5), [], []
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    for phrase, passage in [(45, 50), (40, 60), (30, 60)] * 10:
+        common, cut = some(phrase), rng.randrange(passage - phrase + 1)
+        shared = some(cut) + common + some(passage - phrase - cut)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(some(70) + shared + some(80)), " ".join(some(90) + shared + some(60))]
+        texts += [" ".join(some(60) + common + some(60)) for _ in range(3)]
+    rows = substring_dedup.repeated_passages(frame(spark, texts).repartition(parts)).collect()
+    found = components(range(len(texts)), [(r.doc_id, r.source_id) for r in rows])
+    assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
+    for r in rows:  # every row is a passage that its documents share
+        one, two = (set(zip(*[w[i:] for i in range(5)])) for w in (
+            texts[r.doc_id].split()[r.start:r.start + r.size], texts[r.source_id].split()[r.source_start:r.source_start + r.source_size]))
+        assert len(one & two) >= 0.7 * min(len(one), len(two)) and r.size >= 50
