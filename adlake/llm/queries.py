@@ -89,7 +89,7 @@ FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
 @_query
 def op6_packing(spark, folder):
     out = pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @_query
