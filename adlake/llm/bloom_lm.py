@@ -1,21 +1,21 @@
 """Language-model scoring with log-frequency Bloom filters.
 
 Counts of words and word pairs are gathered over all training texts, quantised to levels, and stored in Bloom filters:
-a pair of level l is there as (pair, 1) .. (pair, l). Workers get the filters by broadcast and read a count back by
-probing one level after the other until one is missing. The probability of a word mixes both counts:
+a name of level l is there as (name, 1) .. (name, l). Its count is read back by probing one level after the other until
+one is missing. The probability of a word mixes both counts:
 
-    p(w | h) = share * min(1, f(hw) / f(h)) + (1 - share) * (f(w) + a) / (N + a (V + 1))
+    p(w | h) = share * min(1, low f(hw) / high f(h)) + (1 - share) * (low f(w) + a) / (N + a (V + 1))
 
-where share is the part of training pairs that would still be known if their own occurrence were left out (deleted
-interpolation). All counts are stored from level 1 on at every size of input: words and pairs are dealt to buckets by
-hash, as many as the training text needs, and each bucket has the exact counts of its words and a filter of its pairs
-with ``BITS_PER_ENTRY`` bits an entry. Nothing of that is broadcast. The texts to be scored ask by the same hash: a chunk
-of texts sends its distinct words and pairs to their buckets and gets their counts back.
+where low and high are the least and the largest count of a level, and share is the part of training pairs that would
+still be known if their own occurrence were left out (deleted interpolation). low f(hw) sums to f(h) at most over all w,
+and low f(w) to N, so p(. | h) sums to 1 at most over the vocabulary and one unknown word, but for what the filters read
+by mistake (about 1 % of the names asked that they do not hold, nearly always at level 1).
 
-With stated sizes in bytes (``filter_bytes``, ``word_filter_bytes``) the model has instead two filters of these sizes,
-which workers get by broadcast; what does not fit is then read as 0 from the lowest level of count on (back-off).
-
-The ``head_words`` most frequent words go by broadcast with their exact counts; no chunk need ask for them.
+All counts are stored from level 1 on at every size of input: words and pairs are dealt to buckets by hash, as many as
+the training text needs, each with a filter of ``BITS_PER_ENTRY`` bits an entry; what grows with the input is never
+broadcast. The texts to be scored ask by the same hash: a chunk of texts sends its distinct words and pairs to their
+buckets and gets their counts back. A bucket also has its words' exact counts, for the base score alone. The
+``head_words`` most frequent words go by broadcast, with a filter of their own; no chunk need ask for them.
 """
 
 import numpy as np
@@ -35,7 +35,8 @@ ALPHA = 0.1
 END, BEGIN = mix(np.array([1, 2], dtype=np.uint64), 91)
 # Least counts of the levels 1, 2, ..: doubling in two steps.
 LEVELS = np.array([1, 2] + [x << k for k in range(62) for x in (3, 4)][:100], dtype=np.uint64)
-VALUES = np.append(0.0, (LEVELS[:-1].astype(float) + LEVELS[1:].astype(float) - 1) / 2)
+LOW, HIGH = np.append(0.0, LEVELS[:-1].astype(float)), np.append(0.0, LEVELS[1:].astype(float) - 1)
+VALUES = (LOW + HIGH) / 2
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +91,7 @@ def _inner(names: np.ndarray, order: int) -> np.ndarray:
     return names if order == 1 else mix(names, 53) >> U(64 - 8 * _PAIR_BYTES)
 
 
-def _tally(buckets: int, bounded: bool):
+def _tally(buckets: int):
     """Counts of words (order 1) and pairs (order 2), combined per task before they are sent to their buckets."""
     def run(batches):
         held, size = {1: [], 2: []}, 0
@@ -101,11 +102,11 @@ def _tally(buckets: int, bounded: bool):
                     continue
                 names, counts = np.unique(np.concatenate(parts), return_counts=True)
                 by, kinds, spans = _dealt(names, buckets)
-                names, counts = names[by] if bounded else _inner(names[by], order), counts[by].astype(np.uint32)
+                names, counts = _inner(names[by], order), counts[by].astype(np.uint32)
                 # One byte a count, the few large ones written out behind.
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(kinds), order), pa.int32()), pa.array(kinds, pa.int64()),
-                    pa.array([names[a:b].tobytes() if bounded else _packed(names[a:b], order) for a, b in spans], pa.binary()),
+                    pa.array([_packed(names[a:b], order) for a, b in spans], pa.binary()),
                     pa.array([_short(counts[a:b]) for a, b in spans], pa.binary())], names=["n", "bucket", "names", "counts"])
                 parts.clear()
 
@@ -137,162 +138,75 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, "right")
 
 
-def _room(per_level: np.ndarray, capacity: float) -> int:
-    """The least level from which on all entries fit: a name of level l needs l - least + 1 entries."""
-    need, least = 0, len(per_level)
-    above = np.cumsum(per_level[::-1])[::-1]  # names of a level or more
-    while least > 1 and need + above[least - 1] <= capacity:
-        least -= 1
-        need += above[least]
-    return least
-
-
-def _summed(capacity: dict | None, buckets: int):
-    """All counts of a bucket with their statistics: words as they are, pairs as a filter of the size that they need.
-
-    With a stated capacity there is no such filter but those pairs that may find room.
-    """
-    def run(group: pa.Table) -> pa.Table:
-        order, bucket = group.column("n")[0].as_py(), group.column("bucket")[0].as_py()
-        parts = [_unpacked(x.as_buffer(), order if capacity is None else 1) for x in group.column("names")]
-        counts = np.concatenate([_long(c.as_py(), len(p)) for c, p in zip(group.column("counts"), parts)])
-        names, place = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(place, weights=counts).astype(np.uint64)
-        levels = level_of(total)
-        histogram = np.bincount(levels, minlength=len(LEVELS) + 1)
-        own = None
-        if capacity is None:
-            least, kept = 1, np.full(len(names), order == 1)
-            if order > 1:
-                bits = max(-(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64, LEAST_BITS)
-                own = np.packbits(_filled(np.zeros(bits, dtype=bool), names, levels), bitorder="little").tobytes()
-        else:
-            # A quarter of room to spare, since buckets differ by chance.
-            least = _room(histogram, 1.25 * capacity[order] / buckets + 64)
-            kept = levels >= least if order > 1 else np.ones(len(names), dtype=bool)
-        names, total = names[kept], total[kept]
-        return pa.table({
-            "n": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "names": pa.array([names.tobytes()], pa.binary()),
-            "counts": pa.array([_short(total)], pa.binary()), "least": pa.array([least], pa.int32()),
-            "histogram": pa.array([histogram.tolist()], pa.list_(pa.int64())),
-            "tokens": pa.array([float(counts.sum())], pa.float64()),
-            "kinds": pa.array([len(levels)], pa.int64()), "filter": pa.array([own], pa.binary())})
-    return run
-
-
-def _segment(names: np.ndarray) -> np.ndarray:
-    return ((mix(names, 52) >> U(40)) % U(SEGMENTS)).astype(np.int64)
-
-
-def _bit(names: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
-    """Bit numbers within the segment of (name, level) for a probe."""
+def _summed(group: pa.Table) -> pa.Table:
+    """All counts of a bucket with their statistics: a filter of the size that they need, and words also as they are."""
+    order, bucket = group.column("n")[0].as_py(), group.column("bucket")[0].as_py()
+    parts = [_unpacked(x.as_buffer(), order) for x in group.column("names")]
+    counts = np.concatenate([_long(c.as_py(), len(p)) for c, p in zip(group.column("counts"), parts)])
+    names, place = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(place, weights=counts).astype(np.uint64)
+    levels = level_of(total)
+    kept = slice(None) if order == 1 else slice(0)
+    return pa.table({
+        "n": pa.array([order], pa.int32()), "bucket": pa.array([bucket], pa.int64()), "names": pa.array([names[kept].tobytes()], pa.binary()),
+        "counts": pa.array([_short(total[kept])], pa.binary()), "filter": pa.array([log_filter(names, levels).tobytes()], pa.binary()),
+        "histogram": pa.array([np.bincount(levels, minlength=len(LEVELS) + 1).tolist()], pa.list_(pa.int64())),
+        "tokens": pa.array([float(counts.sum())], pa.float64()), "kinds": pa.array([len(levels)], pa.int64())})
+
+
+def _bit(names: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+    """Bit numbers of (name, level) for a probe."""
     y = mix(names, 200 + level)
-    return ((y & U(0xFFFFFFFF)) + U(probe) * ((y >> U(32)) | U(1))) % U(segment_bits)
+    return (((y & U(0xFFFFFFFF)) + U(probe) * ((y >> U(32)) | U(1))) % U(bits)).astype(np.int64)
 
 
-def _filled(bits: np.ndarray, names: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The bits with a name of level l put in as (name, 1) .. (name, l)."""
+def log_filter(names: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The filter's bytes, with a name of level l put in as (name, 1) .. (name, l)."""
+    bits = np.zeros(max(-(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64, LEAST_BITS), dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         own = names[levels >= level]
         for probe in range(PROBES):
-            bits[_bit(own, level, probe, len(bits)).astype(np.int64)] = True
-    return bits
+            bits[_bit(own, level, probe, len(bits))] = True
+    return np.packbits(bits, bitorder="little")
 
 
-def _levels(raw: np.ndarray, segment_bits: int, names: np.ndarray, base: np.ndarray, most: int) -> np.ndarray:
-    """How many levels of each name are in the filter, from the first on; a name's bits begin at ``base``."""
+def read_levels(raw: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """How many levels of each name are in the filter, from the first on."""
     levels, live = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
-    for level in range(1, most + 1):
+    for level in range(1, len(LEVELS)):
         for probe in range(PROBES):
-            at = base[live] + _bit(names[live], level, probe, segment_bits)
-            live = live[(raw[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
+            at = _bit(names[live], level, probe, 8 * len(raw))
+            live = live[(raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         if not len(live):
             break
         levels[live] = level
     return levels
 
 
-def _by_segment(least: dict):
-    """What is stored, as names and levels above the least, by segment of the filter."""
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                names = np.frombuffer(row["names"], dtype=np.uint64)
-                levels = level_of(_long(row["counts"], len(names))) - least[row["n"]] + 1
-                names, levels = names[levels > 0], levels[levels > 0].astype(np.uint8)
-                segment = _segment(names)
-                order = np.argsort(segment, kind="stable")
-                names, levels = names[order], levels[order]
-                kinds, begin = np.unique(segment[order], return_index=True)
-                spans = list(zip(begin, np.append(begin[1:], len(names))))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(kinds), row["n"]), pa.int32()), pa.array(kinds, pa.int64()),
-                    pa.array([names[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([levels[a:b].tobytes() for a, b in spans], pa.binary())], names=["n", "segment", "names", "levels"])
-    return run
-
-
-def _built(segment_bits: dict):
-    """The bits of one segment of a filter."""
-    def run(group: pa.Table) -> pa.Table:
-        order = group.column("n")[0].as_py()
-        bits = np.zeros(segment_bits[order], dtype=bool)
-        for names, levels in zip(group.column("names"), group.column("levels")):
-            names, levels = np.frombuffer(names.as_buffer(), np.uint64), np.frombuffer(levels.as_buffer(), np.uint8)
-            _filled(bits, names, levels)
-        return pa.table({"n": pa.array([order], pa.int32()), "segment": group.column("segment").slice(0, 1),
-                         "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-    return run
-
-
-class Filter:
-    """A log-frequency Bloom filter: ``read`` gives the quantised counts of names."""
-
-    def __init__(self, raw: np.ndarray, segment_bits: int, least: int):
-        self.raw, self.segment_bits, self.least = raw, segment_bits, least
-
-    def read(self, names: np.ndarray) -> np.ndarray:
-        base = _segment(names).astype(np.uint64) * U(self.segment_bits)
-        levels = _levels(self.raw, self.segment_bits, names, base, len(VALUES) - self.least - 1)
-        return VALUES[np.where(levels > 0, levels + self.least - 1, 0)]
-
-
 def held_out_fold(column: str = "doc_id"):
     """Documents that are scored only; a null doc_id counts as empty text, so it is one of them."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % 10 == 0
 
 
-def train(docs: DataFrame, filter_bytes: int | None = None, word_filter_bytes: int | None = None, head_words: int = 1 << 16) -> dict:
-    """The model of all texts of ``docs``: the tables ``stored`` (by bucket: exact word counts, a filter of pairs) and
-    ``vocabulary`` (hash, n) in the shared folder, the head words (bounded) on the driver.
+def train(docs: DataFrame, head_words: int = 1 << 16) -> dict:
+    """The model of all texts of ``docs``: the table ``stored`` (by bucket: filters of words and of pairs, exact word
+    counts) in the shared folder, the head words (bounded) on the driver.
 
-    Both filters with stated sizes (``filter_bytes`` for pairs) take the place of ``stored``, if both are given. A null
-    text is an empty one and still has its end token. Without documents all counts are 0.
+    A null text is an empty one and still has its end token. Without documents all counts are 0.
     """
     spark = docs.sparkSession
     send_code(spark)
-    bounded = filter_bytes is not None and word_filter_bytes is not None
-    capacity = {1: 8.0 * word_filter_bytes / BITS_PER_ENTRY, 2: 8.0 * filter_bytes / BITS_PER_ENTRY} if bounded else None
     rows = needs(docs, "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     buckets = max(-(-total // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tallied = rows.mapInArrow(_tally(buckets, bounded), "n int, bucket bigint, names binary, counts binary")
+    tallied = rows.mapInArrow(_tally(buckets), "n int, bucket bigint, names binary, counts binary")
     summed = written(tallied.groupBy("n", "bucket").applyInArrow(
-        _summed(capacity, buckets), "n int, bucket bigint, names binary, counts binary, least int, histogram array<bigint>, "
-                                    "tokens double, kinds bigint, filter binary"))
+        _summed, "n int, bucket bigint, names binary, counts binary, filter binary, histogram array<bigint>, tokens double, kinds bigint"))
     # One row per order: histograms are added level by level.
     stats = {r["n"]: r for r in summed.groupBy("n").agg(
-        F.max("least").alias("least"), F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"),
+        F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"),
         F.array(*[F.sum(F.get("histogram", F.lit(i))) for i in range(len(LEVELS) + 1)]).alias("histogram")).collect()}
     histogram = {n: np.array(stats[n]["histogram"] if n in stats else [0] * (len(LEVELS) + 1)) for n in (1, 2)}
-    least = {1: 1, 2: 1}
-    if bounded:
-        least = {n: _room(histogram[n], capacity[n]) for n in (1, 2)}
-        if 2 in stats:
-            least[2] = max(least[2], stats[2]["least"])
-        kept = {"filters": _broadcast_filters(summed, least, {1: word_filter_bytes, 2: filter_bytes})}
-    else:
-        kept = {"stored": summed.select("n", "bucket", "names", "counts", "filter"), "buckets": buckets}
 
     def rows_of(batches):
         for batch in batches:
@@ -305,24 +219,15 @@ def train(docs: DataFrame, filter_bytes: int | None = None, word_filter_bytes: i
     at_least = np.cumsum(histogram[1][::-1])[::-1]
     level = next((i for i in range(1, len(at_least)) if at_least[i] <= head_words), len(LEVELS))
     head = vocabulary.where(F.col("n") >= int(LEVELS[level - 1])).toPandas().sort_values("hash")
+    head = head["hash"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
     # Stored pairs less one occurrence each: what would still be known of a training text left out.
-    lowest = max(2, least[2])
-    again = float((histogram[2][lowest:len(VALUES)] * (VALUES[lowest:] - 1)[:len(histogram[2]) - lowest]).sum())
+    again = float((histogram[2][2:len(VALUES)] * (VALUES[2:] - 1)).sum())
     one, two = stats.get(1), stats.get(2)
-    return kept | {
-        "vocabulary": vocabulary, "N": int(one["tokens"]) if one else 0, "V": int(one["kinds"]) if one else 0,
-        "share": min(0.95, again / two["tokens"]) if two else 0.0, "head": (head["hash"].to_numpy(), head["n"].to_numpy())}
-
-
-def _broadcast_filters(summed: DataFrame, least: dict, sizes: dict) -> dict:
-    """Filters of stated sizes, put together on the driver."""
-    segment_bits = {n: 8 * size // SEGMENTS for n, size in sizes.items()}
-    stored = summed.select("n", "names", "counts").mapInArrow(_by_segment(least), "n int, segment bigint, names binary, levels binary")
-    filters = {n: np.zeros(sizes[n], dtype=np.uint8) for n in (1, 2)}
-    for r in stored.groupBy("n", "segment").applyInArrow(_built(segment_bits), "n int, segment bigint, filter binary").collect():
-        step = segment_bits[r["n"]] // 8
-        filters[r["n"]][r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["filter"], dtype=np.uint8)
-    return {n: (filters[n], segment_bits[n], least[n]) for n in (1, 2)}
+    return {
+        "stored": summed.select("n", "bucket", "names", "counts", "filter"), "buckets": buckets,
+        "N": int(one["tokens"]) if one else 0, "V": int(one["kinds"]) if one else 0,
+        "share": min(0.95, again / two["tokens"]) if two else 0.0,
+        "head": head, "head_filter": log_filter(head[0].view(np.uint64), level_of(head[1].astype(np.uint64)))}
 
 
 def _in_head(names: np.ndarray, head: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -356,35 +261,38 @@ def _ask(sent, buckets: int, parts: int):
 
 
 def _answer(asked: pa.Table, stored: pa.Table) -> pa.Table:
-    """Counts of words, levels of pairs, in the order that they were asked for."""
-    counts = []
+    """Levels, and of words also exact counts behind them, in the order that they were asked for."""
+    answers = []
     if asked.num_rows:
         order = asked.column("n")[0].as_py()
         each = [_unpacked(x.as_buffer(), order) for x in asked.column("names")]
         names = np.concatenate(each)
         cuts = np.cumsum([len(x) for x in each])[:-1]
-        found = np.zeros(len(names), dtype=np.uint64)
-        if stored.num_rows and order == 1:
-            known = np.frombuffer(stored.column("names")[0].as_buffer(), dtype=np.uint64)
-            n = _long(stored.column("counts")[0].as_py(), len(known))
-            spot = np.minimum(np.searchsorted(known, names), len(known) - 1)
-            found = np.where(known[spot] == names, n[spot], U(0))
-        elif stored.num_rows:
-            raw = np.frombuffer(stored.column("filter")[0].as_buffer(), dtype=np.uint8)
-            found = _levels(raw, 8 * len(raw), names, np.zeros(len(names), np.uint64), len(LEVELS) - 1)
-        counts = [_short(x) if order == 1 else x.astype(np.uint8).tobytes() for x in np.split(found, cuts)]
+        levels, exact = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.uint64)
+        if stored.num_rows:
+            levels = read_levels(np.frombuffer(stored.column("filter")[0].as_buffer(), dtype=np.uint8), names)
+            if order == 1:
+                known = np.frombuffer(stored.column("names")[0].as_buffer(), dtype=np.uint64)
+                n = _long(stored.column("counts")[0].as_py(), len(known))
+                spot = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                exact = np.where(known[spot] == names, n[spot], U(0))
+        answers = [x.astype(np.uint8).tobytes() for x in np.split(levels, cuts)]
+        if order == 1:
+            answers = [a + _short(x) for a, x in zip(answers, np.split(exact, cuts))]
     return pa.table({"chunk": asked.column("chunk").cast(pa.int64()), "n": asked.column("n").cast(pa.int32()),
-                     "bucket": asked.column("bucket").cast(pa.int64()), "counts": pa.array(counts, pa.binary())})
+                     "bucket": asked.column("bucket").cast(pa.int64()), "counts": pa.array(answers, pa.binary())})
 
 
-def _told(names: np.ndarray, order: int, answers: dict, buckets: int) -> np.ndarray:
-    """What a chunk's names were answered."""
+def _told(names: np.ndarray, order: int, answers: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a chunk's names were answered: levels, and exact counts of words."""
     by, kinds, spans = _dealt(names, buckets)
-    out = np.zeros(len(names), dtype=np.uint64)
+    levels, exact = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
     for bucket, (a, b) in zip(kinds.tolist(), spans):
         raw = answers[order, bucket]
-        out[by[a:b]] = _long(raw, b - a) if order == 1 else np.frombuffer(raw, np.uint8, b - a)
-    return out
+        levels[by[a:b]] = np.frombuffer(raw, np.uint8, b - a)
+        if order == 1:
+            exact[by[a:b]] = _long(raw[b - a:], b - a)
+    return levels, exact
 
 
 def _score_chunk(sent, buckets: int):
@@ -395,55 +303,28 @@ def _score_chunk(sent, buckets: int):
         word, at, before = tokens(texts.column("text"))
         kinds, place = np.unique(word, return_inverse=True)
         frequent, exact = _in_head(kinds, model["head"])
-        exact[~frequent] = _told(kinds[~frequent], 1, answers, buckets).astype(np.int64)
+        levels = np.zeros(len(kinds), dtype=np.int64)
+        levels[frequent] = read_levels(model["head_filter"], kinds[frequent])
+        levels[~frequent], exact[~frequent] = _told(kinds[~frequent], 1, answers, buckets)
         floor = model["N"] + ALPHA * (model["V"] + 1)
         base = np.log10((exact + ALPHA) / floor)
         both, where = np.unique(pairs(before, word), return_inverse=True)
-        together = VALUES[_told(both, 2, answers, buckets).astype(np.int64)][where]
-        each = _mixed(VALUES[level_of(exact)], place, at, together, model["share"], floor)
+        each = np.log10(mixed(levels, place, at, _told(both, 2, answers, buckets)[0][where], model["share"], floor))
         return pa.table({
             "doc_id": texts.column("doc_id"), "row_key": texts.column("row_key"), "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(row_sums((exact[place] > 0).astype(np.int64), at)),
             "base_score": pa.array(np.add.reduceat(base[place], at[:-1])), "score": pa.array(np.add.reduceat(each, at[:-1]))})
     return run
 
 
-def _mixed(count: np.ndarray, place: np.ndarray, at: np.ndarray, together: np.ndarray, share: float, floor: float) -> np.ndarray:
-    """The log10 probability of each token, from the counts of words (by place) and of the pairs that tokens end."""
+def mixed(levels: np.ndarray, place: np.ndarray, at: np.ndarray, together: np.ndarray, share: float, floor: float) -> np.ndarray:
+    """The probability of each token, from the levels of words (by place) and of the pairs that tokens end."""
     # The history's count; a begin is followed once per document, as an end is preceded.
-    history = np.empty(len(place))
-    history[1:] = count[place[:-1]]
-    history[at[:-1]] = count[place[at[1:] - 1]]
-    near = np.where(history > 0, np.minimum(together / np.maximum(history, 1), 1), 0)
-    return np.log10(share * near + (1 - share) * ((count + ALPHA) / floor)[place])
-
-
-def _score(sent):
-    def run(batches):
-        model = sent.value
-        one, two = (Filter(*model["filters"][n]) for n in (1, 2))
-        share, floor = model["share"], model["N"] + ALPHA * (model["V"] + 1)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                word, at, before = tokens(part.column(0))
-                kinds, place = np.unique(word, return_inverse=True)
-                each = _mixed(one.read(kinds), place, at, two.read(pairs(before, word)), share, floor)
-                frequent, head_n = _in_head(kinds, model["head"])
-                exact = np.where(frequent, np.log10(head_n + ALPHA), 0)
-                is_head = frequent[place]
-                rare, rare_at, rare_n = [], [0], []
-                for a, b in zip(at[:-1], at[1:]):
-                    names, n = np.unique(word[a:b][~is_head[a:b]], return_counts=True)
-                    rare.append(names)
-                    rare_n.append(n)
-                    rare_at.append(rare_at[-1] + len(names))
-                offsets = pa.array(rare_at, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    part.column(1), pa.array(np.diff(at)), pa.array(row_sums(is_head.astype(np.int64), at)),
-                    pa.array(np.add.reduceat(exact[place], at[:-1])), pa.array(np.add.reduceat(each, at[:-1])),
-                    pa.ListArray.from_arrays(offsets, longs(np.concatenate(rare))),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare_n), pa.int64()))],
-                    names=["key", "n_tokens", "head_known", "head_sum", "score", "rare", "rare_n"])
-    return run
+    before = np.empty(len(place), dtype=np.int64)
+    before[1:] = place[:-1]
+    before[at[:-1]] = place[at[1:] - 1]
+    history = HIGH[levels][before]
+    near = np.where(history > 0, np.minimum(LOW[together] / np.maximum(history, 1), 1), 0)
+    return share * near + (1 - share) * ((LOW[levels] + ALPHA) / floor)[place]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -456,34 +337,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     spark = docs.sparkSession
     send_code(spark)
     rows = needs(docs, "doc_id", "text").select("text", F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("key"))
-    if "filters" not in model:
-        return _score_by_buckets(rows, model)
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("filters", "head", "share", "N", "V")})
-    out = rows.mapInArrow(_score(sent), "key struct<doc_id:bigint,row_key:bigint>, n_tokens bigint, head_known bigint, head_sum double, "
-                                        "score double, rare array<bigint>, rare_n array<bigint>")
-    out = written(out)
-    tail = (out.select("key", F.explode(F.arrays_zip("rare", "rare_n")).alias("x"))
-            .select("key", F.col("x.rare").alias("hash"), F.col("x.rare_n").alias("times"))
-            .join(model["vocabulary"], "hash", "left"))
-    c = F.coalesce("n", F.lit(0))
-    tail = tail.groupBy("key").agg(F.sum(F.col("times") * F.log10(c + ALPHA)).alias("tail_sum"),
-                                   F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    # Rows that repeat a document have brought their rare words as often.
-    copies = out.groupBy("key").count().withColumnRenamed("key", "_copy")
-    tail = tail.join(copies, F.col("key").eqNullSafe(F.col("_copy"))).select(
-        F.col("key").alias("_key"), (F.col("tail_sum") / F.col("count")).alias("tail_sum"),
-        F.expr("tail_known div count").alias("tail_known"))
-    floor = float(np.log10(model["N"] + ALPHA * (model["V"] + 1)))
-    return out.drop("rare", "rare_n").join(tail, F.col("key").eqNullSafe(F.col("_key")), "left").select(
-        "key.doc_id", "key.row_key", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(model["N"]).cast("long").alias("train_tokens"),
-        (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
-
-
-def _score_by_buckets(rows: DataFrame, model: dict) -> DataFrame:
-    """Chunks of texts ask the buckets that their words and pairs belong to and are scored with the answers."""
-    spark, buckets = rows.sparkSession, model["buckets"]
-    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "share", "N", "V")})
+    # Chunks of texts ask the buckets that their words and pairs belong to and are scored with the answers.
+    buckets = model["buckets"]
+    sent = spark.sparkContext.broadcast({k: model[k] for k in ("head", "head_filter", "share", "N", "V")})
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     chunks = max(-(-total // CHUNK_BYTES), spark.sparkContext.defaultParallelism)
     # Far more text than the model was made of: as many copies of a bucket share its work.
