@@ -408,6 +408,8 @@ _BY_HISTORY = {
       max(span_end) = (SELECT d FROM last_day) AS is_active FROM spans GROUP BY job_id""",
     "active_spans": """SELECT job_id, CAST(span_start AS VARCHAR) AS span_start, CAST(span_end AS VARCHAR) AS span_end, days_seen
       FROM spans""",
+    "merged_spans": """SELECT job_id, CAST(span_start AS VARCHAR) AS span_start, CAST(span_end AS VARCHAR) AS span_end, days_seen
+      FROM spans""",
 }
 
 
