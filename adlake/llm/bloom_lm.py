@@ -154,19 +154,21 @@ def _summed(group: pa.Table) -> pa.Table:
         "tokens": pa.array([float(counts.sum())], pa.float64()), "kinds": pa.array([len(levels)], pa.int64())})
 
 
-def _bit(names: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """Bit numbers of (name, level) for a probe."""
+def _bits(names: np.ndarray, level: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first probe's bit number of (name, level), and how far the next ones are from it."""
     y = mix(names, 200 + level)
-    return (((y & U(0xFFFFFFFF)) + U(probe) * ((y >> U(32)) | U(1))) % U(bits)).astype(np.int64)
+    at, step = (y & U(0xFFFFFFFF)) % U(bits), ((y >> U(32)) | U(1)) % U(bits)
+    return at.astype(np.int64), step.astype(np.int64)
 
 
 def log_filter(names: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The filter's bytes, with a name of level l put in as (name, 1) .. (name, l)."""
     bits = np.zeros(max(-(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64, LEAST_BITS), dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        own = names[levels >= level]
-        for probe in range(PROBES):
-            bits[_bit(own, level, probe, len(bits))] = True
+        at, step = _bits(names[levels >= level], level, len(bits))
+        for _ in range(PROBES):
+            bits[at] = True
+            at = (at + step) % len(bits)
     return np.packbits(bits, bitorder="little")
 
 
@@ -174,9 +176,11 @@ def read_levels(raw: np.ndarray, names: np.ndarray) -> np.ndarray:
     """How many levels of each name are in the filter, from the first on."""
     levels, live = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
     for level in range(1, len(LEVELS)):
-        for probe in range(PROBES):
-            at = _bit(names[live], level, probe, 8 * len(raw))
-            live = live[(raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        at, step = _bits(names[live], level, 8 * len(raw))
+        for _ in range(PROBES):
+            there = (raw[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            live, step = live[there], step[there]
+            at = (at[there] + step) % (8 * len(raw))
         if not len(live):
             break
         levels[live] = level
