@@ -303,6 +303,12 @@ def job_page_records(t):
     return pages.parse_details(job_pages(t))
 
 
+@_register
+def job_page_outlines(t):
+    """X2-X13 on the same pages, without a Python worker."""
+    return pages.parse_details(job_pages(t), python=False)
+
+
 @_register
 def job_next_page(t):
     """X14."""

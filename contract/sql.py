@@ -640,6 +640,10 @@ _BY_HISTORY |= {
 _OTHER |= {"capped_run": _PAGES + "SELECT DISTINCT url FROM links ORDER BY url LIMIT 100"}
 
 
+# The same rows from the form without a Python worker.
+_BY_JOB_PAGES["job_page_outlines"] = _BY_JOB_PAGES["job_page_records"]
+
+
 def sql_by_name() -> dict[str, str]:
     return {**{name: _HISTORY + sql for name, sql in _BY_HISTORY.items()},
             **{name: JOB_PAGES + sql for name, sql in _BY_JOB_PAGES.items()}, **_OTHER}
