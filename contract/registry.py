@@ -17,7 +17,7 @@ from adlake.operators import lookup, rollups
 from adlake.session import scratch_root
 from adlake.sources.json_array import read_array
 from adlake.sources.star import StarHistory, _level_word, raw_ads as order_ads
-from adlake.sources.store import JobStore, create_tables, drop_tables, insert_rows
+from adlake.sources.store import CatalogTables, JobStore, create_tables, drop_tables, insert_rows
 from adlake.streaming.run_log import DayLog
 from contract.job_pages import job_pages
 
@@ -772,6 +772,20 @@ def catalog_round_trip(t):
     return t.spark.read.parquet(kept)
 
 
+@_register
+def bucketed_salaries(t):
+    """Pay by technology from catalog tables that are bucketed by job."""
+    database = f"adlake_{uuid.uuid4().hex[:12]}"
+    create_tables(t.spark, database, buckets=8)
+    for name in ("technologies", "job_postings", "job_snapshots", "salaries", "job_technologies"):
+        insert_rows(t[name], f"{database}.{name}")
+    kept = _scratch(t, "result")
+    queries.salary_by_technology(CatalogTables(t.spark, database)).write.parquet(kept)
+    drop_tables(t.spark, database)
+    t.spark.sql(f"DROP DATABASE {database}")
+    return t.spark.read.parquet(kept)
+
+
 @_register
 def capped_run(t):
     """X17 with a cap: the first hundred ad URLs of a run, in URL order."""

@@ -642,6 +642,8 @@ _OTHER |= {"capped_run": _PAGES + "SELECT DISTINCT url FROM links ORDER BY url L
 
 # The same rows from the form without a Python worker.
 _BY_JOB_PAGES["job_page_outlines"] = _BY_JOB_PAGES["job_page_records"]
+# And from bucketed tables.
+_BY_HISTORY["bucketed_salaries"] = _BY_HISTORY["salary_by_technology"]
 
 
 def sql_by_name() -> dict[str, str]:
