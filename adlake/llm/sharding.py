@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from adlake.llm.tables import send_code
+from adlake.llm.tables import send_code, written
 
 BUCKET_BYTES = 32 << 20
+# Equal rows beyond this number are dealt to buckets by number of copy.
+EQUAL_ROWS = 4096
 
 
 def _shuffled(seed: int):
@@ -37,21 +39,41 @@ def prefix_sums(counts: DataFrame, key: str, value: str, chunk: int = 4096) -> D
         key, (F.col("inner") + F.col("ahead")).alias("before"))
 
 
-def shuffle_into_shards(records: DataFrame, shards: int = 8, seed: int = 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def numbered_copies(keyed: DataFrame, seed: int, most: int) -> DataFrame:
+    """(row, key) in which the copies of a row found more than ``most`` times have keys of their own.
+
+    Such rows are counted, which combines them before the shuffle, and written out again ``most`` copies at a time, each
+    with a key from its number. Copies are alike, so it does not matter which of them gets which number.
+    """
+    often = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"))
+    counted = keyed.join(often, "key", "left_semi").groupBy("row", "key").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most))).alias("part")).repartition("key", "part")
+    first = F.col("part") * most
+    copies = parts.select("row", "key", F.explode(F.sequence(first, F.least(first + most, F.col("n")) - 1)).alias("copy"))
+    return keyed.join(often, "key", "left_anti").select("row", "key").union(
+        copies.select("row", F.xxhash64(F.lit(seed), "key", "copy").alias("key")))
+
+
+def shuffle_into_shards(records: DataFrame, shards: int = 8, seed: int = 20, bucket_bytes: int = BUCKET_BYTES,
+                        equal_rows: int = EQUAL_ROWS) -> DataFrame:
     """Each record as ``row`` (a struct of its columns) with place, shard and slot.
 
     ``place`` is the record's number in the global order, gapless from 0; shard = place mod shards, slot = place div
     shards, so slots are gapless in each shard too. Bytes of the columns ``text``, or else the number of rows, set the
     number of buckets; there are as many as shuffle partitions at least. Any column may be null. Wholly equal rows
-    share a bucket and are each placed. An empty table has no places; with fewer rows than shards some shards are empty.
+    are each placed; up to ``equal_rows`` of them share a bucket, more are dealt to all buckets. A very long text makes its
+    bucket larger by itself. An empty table has no places; with fewer rows than shards some shards are empty.
     """
     send_code(records.sparkSession)
     spark = records.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in records.columns else F.lit(0)
-    total = records.agg(F.sum(size + F.lit(100))).first()[0] or 0
-    buckets = max(-(-total // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in records.columns])
-    keyed = records.select(F.struct("*").alias("row"), key.alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    found = records.select(key.alias("key"), (size + F.lit(100)).alias("size")).groupBy("key").agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).agg(F.sum("size"), F.max("n")).first()
+    buckets = max(-(-(found[0] or 0) // bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = records.select(F.struct("*").alias("row"), key.alias("key"))
+    keyed = numbered_copies(keyed, seed, equal_rows) if (found[1] or 0) > equal_rows else keyed
+    keyed = keyed.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     scattered = keyed.join(prefix_sums(counts, "bucket", "n"), "bucket")
     schema = keyed.select("row").schema.add("place", "long")

@@ -25,7 +25,7 @@ from adlake.llm.decontaminate import contaminated, decontaminate
 from adlake.llm.line_dedup import dedup_lines, keep_bitmaps
 from adlake.llm.order_minhash import edited_likeness, fingerprints
 from adlake.llm.queries import QUERIES, SQL, URL_RULES
-from adlake.llm.sharding import shuffle_into_shards, write_shards
+from adlake.llm.sharding import numbered_copies, shuffle_into_shards, write_shards
 from check_oracle import connect, spark_rows, sql_rows
 
 FOLDER = os.environ.get("ADLAKE_TEST_TABLES", "/root/testdata/sf0.001")
@@ -453,6 +453,23 @@ def test_shards_are_a_seeded_permutation(spark, tmp_path):
     assert {(r.doc_id, r.shard, r.slot) for r in back} == {(r.row.doc_id, r.shard, r.slot) for r in rows}
 
 
+def test_one_record_many_times_is_dealt_to_all_buckets(spark):
+    same = spark.range(3000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("a copy").alias("text"))
+    some = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("own "), "id")).alias("text"))
+    table = same.union(some).union(some.limit(40))
+    want = Counter((r.doc_id, r.text) for r in table.collect())
+    rows = shuffle_into_shards(table, shards=8, seed=3, equal_rows=64).collect()
+    assert Counter((r.row.doc_id, r.row.text) for r in rows) == want
+    assert sorted(r.place for r in rows) == list(range(3540)) and {r.place % 8 == r.shard for r in rows} == {True}
+    copies = sorted(r.place for r in rows if r.row.text == "a copy")
+    assert max(b - a for a, b in zip(copies, copies[1:])) < 60 and copies[0] < 60 and copies[-1] > 3480
+    again = shuffle_into_shards(table.repartition(7), shards=8, seed=3, equal_rows=64).collect()
+    assert {(r.place, r.row) for r in again} == {(r.place, r.row) for r in rows}
+    keyed = table.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    keys = [r.key for r in numbered_copies(keyed, 3, 64).where("row.text = 'a copy'").collect()]
+    assert len(keys) == len(set(keys)) == 3000
+
+
 # --- 9 ------------------------------------------------------------------------
 
 def test_edited_texts_and_fingerprints(spark):
