@@ -124,9 +124,13 @@ def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id") -> Da
     urls = rows.select("url").distinct()
     ruled = written(urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
                     .withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)))
-    labelled = ruled.where("fit is not null").select("url", (F.col("fit.verdict") == "allow").alias("accepted"),
+    # URLs are few bytes and become a row per character: a number of partitions of its own, which AQE does not join by bytes.
+    # The scores then are summed where their URL already is.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ruled.repartition(parts, "url")
+    labelled = spread.where("fit is not null").select("url", (F.col("fit.verdict") == "allow").alias("accepted"),
                                                      (F.crc32("url") % 5 == 0).alias("calibrates"))
-    scored = written(scores(urls, train(labelled.where(~F.col("calibrates")))))
+    scored = written(scores(spread.select("url"), train(labelled.where(~F.col("calibrates")))))
     least = threshold(labelled.where("calibrates").join(scored, "url"))
     method = F.when(F.col("score") >= least, "allow").otherwise("block")
     judged = ruled.join(scored, "url").select("url", "host", "path", F.col("fit.rule").alias("rule"),
