@@ -6,7 +6,12 @@ from adlake import fixed_values as fv
 from adlake.functions.place import place_columns
 from adlake.functions.text import folded, whole_word, words_of
 
-GRAM = 3
+# The largest gram; the others are the powers of two below it.
+GRAM = 16
+
+
+def _sizes(gram: int) -> list[int]:
+    return [1 << i for i in range(gram.bit_length()) if 1 << i < gram] + [gram]
 
 
 def _grams(text: Column, size: Column | int) -> Column:
@@ -21,26 +26,37 @@ def contained_keys(texts: DataFrame, keys: DataFrame, gram: int = GRAM) -> DataF
     """(text, *columns of keys) for every distinct text and key with the key inside the text.
 
     ``texts`` has a distinct column ``text``, ``keys`` a column ``key``; both are compared as they are. A key is indexed
-    by the one of its grams that fewest keys have, a text asks with all of its grams, and candidates are then verified.
-    Keys shorter than a gram are their own gram. Empty keys are in every text and are given to none.
+    by the one of its grams that fewest keys have, of the largest size in ``_sizes`` that it has, so that a gram is at least
+    half of a key of less than two grams and the keys that share one stay few as the lookup grows. A text asks with all of
+    its grams of these sizes, and candidates are then verified. Empty keys are in every text and are given to none.
+
+    A key costs what its rows cost, so callers give each key once. Both sides may be large and pack well: they are merged,
+    as a side that is small when packed is not small in the driver that would have to broadcast it.
     """
-    keyed = keys.where(F.length("key") > 0).withColumn("_gram", F.explode(_grams(F.col("key"), F.least(F.length("key"), F.lit(gram)))))
+    sizes = _sizes(gram)
+    length, own = F.length("key"), F.lit(1)
+    for size in sizes[1:]:
+        own = F.when(length >= size, F.lit(size)).otherwise(own)
+    keyed = keys.where(length > 0).withColumn("_gram", F.explode(_grams(F.col("key"), own)))
     common = keyed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = keyed.join(common, "_gram").groupBy("key").agg(F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
-    index = keys.join(rarest, "key")
-    asked = texts.select("text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, gram + 1)]))).alias("_gram"))
-    return asked.join(index, "_gram").where(F.contains("text", "key")).drop("_gram")
+    rarest = keyed.select("key", "_gram").join(common.hint("merge"), "_gram").groupBy("key").agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    index = keys.join(rarest.hint("merge"), "key")
+    asked = texts.select("text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), n) for n in sizes]))).alias("_gram"))
+    return asked.join(index.hint("merge"), "_gram").where(F.contains("text", "key")).drop("_gram")
 
 
 def with_place_from(df: DataFrame, text: str, lookup: DataFrame, order: str, city: str, region: str) -> DataFrame:
     """N5 with a lookup table: the city that comes first by ``order`` wins, as in ``with_place``."""
     low = F.lower(F.col(text))
-    keys = lookup.select(F.lower(F.col(city)).alias("key"), F.col(order).alias("_pos"), F.col(city).alias("_city"), F.col(region).alias("_region"))
+    # Of the rows of one key the first alone can win.
+    keys = lookup.groupBy(F.lower(F.col(city)).alias("key")).agg(
+        F.min(F.struct(F.col(order).alias("_pos"), F.col(city).alias("_city"), F.col(region).alias("_region"))).alias("_first"))
     # Few distinct texts stand for many rows.
     texts = df.select(low.alias("text")).where("text IS NOT NULL").distinct()
-    won = contained_keys(texts, keys).groupBy("text").agg(F.min(F.struct("_pos", "_city", "_region")).alias("_won"))
+    won = contained_keys(texts, keys).groupBy("text").agg(F.min("_first").alias("_won"))
     placed = won.select(F.col("text").alias("_text"), F.struct(F.col("_won._city").alias("city"), F.col("_won._region").alias("region")).alias("_place"))
-    joined = df.join(placed, low == F.col("_text"), "left").drop("_text")
+    joined = df.join(placed.hint("merge"), low == F.col("_text"), "left").drop("_text")
     return place_columns(joined, low).drop("_place")
 
 

@@ -91,3 +91,17 @@ def test_keyword_lookup_as_a_table(spark, many):
     few = words[:16] + ["w17", "w9999"] * bool(many)
     want = {r.id: r.k for r in docs.select("id", find_keywords(F.col("text"), few).alias("k")).collect() if r.k}
     assert got == want
+
+
+def test_keys_of_many_rows_and_shared_prefixes_meet_few_candidates(spark):
+    """A key's rows are one before the join, and keys that share their short grams do not all meet every text."""
+    keys = spark.range(3000).select(F.format_string("customer#%09d", "id").alias("key"))
+    texts = spark.range(0, 3000, 100).select(F.format_string("customer#%09d / remote", "id").alias("text"))
+    joined = lookup.contained_keys(texts, keys).where("true")
+    assert joined.count() == 30
+    plan = joined._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan
+    grams = texts.select("text", F.explode(F.flatten(F.array(*[lookup._grams(F.col("text"), n) for n in lookup._sizes(lookup.GRAM)]))).alias("g"))
+    # The largest gram that all of a key's neighbours lack: hundreds of keys shared a text's three-letter grams.
+    met = grams.join(keys.select("key", F.explode(lookup._grams(F.col("key"), lookup.GRAM)).alias("g")).groupBy("g").agg(F.count("key").alias("n")), "g")
+    assert met.groupBy("text").agg(F.min("n").alias("n")).agg(F.max("n")).first()[0] == 1
