@@ -63,10 +63,13 @@ def with_place_from(df: DataFrame, text: str, lookup: DataFrame, order: str, cit
 def categorised_from(names: DataFrame, lookup: DataFrame, other: str = fv.OTHER_CATEGORY) -> DataFrame:
     """N6 with a lookup table (pos, name, category): an equal name first, else the first one inside, else ``other``."""
     low = F.lower("name")
-    keys = lookup.select(F.lower("name").alias("key"), F.col("pos").alias("_pos"), F.col("category").alias("_category"))
+    # Of the rows of one key the first alone can win.
+    keys = lookup.groupBy(F.lower("name").alias("key")).agg(
+        F.min(F.struct(F.col("pos").alias("_pos"), F.col("category").alias("_category"))).alias("_first"))
     texts = names.select(low.alias("text")).where("text IS NOT NULL").distinct()
-    won = contained_keys(texts, keys).groupBy("text").agg(F.min(F.struct(F.col("key") != F.col("text"), "_pos", "_category"))["_category"].alias("_category"))
-    joined = names.join(won, low == F.col("text"), "left").drop("text")
+    won = contained_keys(texts, keys).groupBy("text").agg(
+        F.min(F.struct(F.col("key") != F.col("text"), F.col("_first")))["_first"]["_category"].alias("_category"))
+    joined = names.join(won.hint("merge"), low == F.col("text"), "left").drop("text")
     return joined.withColumn("category", F.when(F.col("name").isNotNull(), F.coalesce("_category", F.lit(other)))).drop("_category")
 
 

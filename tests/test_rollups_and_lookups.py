@@ -105,3 +105,8 @@ def test_keys_of_many_rows_and_shared_prefixes_meet_few_candidates(spark):
     # The largest gram that all of a key's neighbours lack: hundreds of keys shared a text's three-letter grams.
     met = grams.join(keys.select("key", F.explode(lookup._grams(F.col("key"), lookup.GRAM)).alias("g")).groupBy("g").agg(F.count("key").alias("n")), "g")
     assert met.groupBy("text").agg(F.min("n").alias("n")).agg(F.max("n")).first()[0] == 1
+    table = spark.range(4000).select(F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, "oak").otherwise("elm").alias("name"), F.col("id").cast("string").alias("category"))
+    names = spark.createDataFrame([("oak",), ("elms",), ("fir",), (None,)], "name string")
+    found = lookup.categorised_from(names, table)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("oak", "0"), ("elms", "1"), ("fir", fv.OTHER_CATEGORY), (None, None)], key=str)
+    assert "first" in found._jdf.queryExecution().analyzed().toString()
