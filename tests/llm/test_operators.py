@@ -574,3 +574,19 @@ def test_passages_around_a_common_phrase_are_not_lost(spark, parts):
         one, two = (set(zip(*[w[i:] for i in range(5)])) for w in (
             texts[r.doc_id].split()[r.start:r.start + r.size], texts[r.source_id].split()[r.source_start:r.source_start + r.source_size]))
         assert len(one & two) >= 0.7 * min(len(one), len(two)) and r.size >= 50
+
+
+def test_passages_that_the_first_of_their_key_does_not_confirm_are_linked_to_the_others(spark):
+    """Two documents each share 45 of a third's fifty words, and 40 with each other: one may come first for all three."""
+    rng, texts, pairs = random.Random(8), [], []
+
+    def some(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    for _ in range(400):
+        whole = some(50)
+        pairs += [(len(texts), len(texts) + 1), (len(texts), len(texts) + 2)]
+        texts += [" ".join(some(20) + part + some(20)) for part in (whole, whole[:45], whole[5:])]
+    rows = substring_dedup.repeated_passages(frame(spark, texts)).collect()
+    found = {tuple(sorted((r.doc_id, r.source_id))) for r in rows}
+    assert [p for p in pairs if p not in found] == []
