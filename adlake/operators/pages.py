@@ -108,6 +108,31 @@ def page_title(html: Column) -> Column:
     return F.when(F.length(heading) > 5, heading).otherwise(F.lit(fv.DEFAULT_TITLE))
 
 
+def page_walk(most_rows: int = 256, most_text: int = 1 << 20):
+    """Field texts of batches of pages, given on after so many pages or so much markup: what a worker holds does not grow with a batch."""
+    names = detail_page.FIELDS
+    read = detail_page.read_fields
+
+    def parse(batches):
+        import pyarrow as pa
+
+        kinds = [pa.list_(pa.string()) if n == "tags" else pa.string() for n in names]
+        for batch in batches:
+            html, low = batch.column(2), 0
+            while low < batch.num_rows:
+                rows, size, high = [], 0, low
+                while high < batch.num_rows and high - low < most_rows and size < most_text:
+                    page = html[high].as_py()
+                    rows.append(read(page))
+                    size, high = size + len(page or ""), high + 1
+                fields = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), *fields],
+                                                 names=["page_id", "url", *names])
+                low = high
+
+    return parse
+
+
 def field_texts(pages: DataFrame, python: bool = True) -> DataFrame:
     """Parse each page once into field texts (X3-X9 before defaults).
 
@@ -119,20 +144,10 @@ def field_texts(pages: DataFrame, python: bool = True) -> DataFrame:
         parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return page_outline.read_fields(pages.select("page_id", "url", "html").repartition(parts, "page_id"))
     names = detail_page.FIELDS
-    read = detail_page.read_fields
-
-    def parse(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = [read(html) for html in batch["html"]]
-            out = pd.DataFrame(rows, columns=list(names), index=batch.index)
-            yield pd.concat([batch[["page_id", "url"]], out], axis=1)
-
     kinds = ", ".join(f"{n} {'array<string>' if n == 'tags' else 'string'}" for n in names)
     # A small file is one partition; the walk is worth a shuffle of the pages.
     spread = pages.select("page_id", "url", "html").repartition("page_id")
-    return spread.mapInPandas(parse, f"page_id bigint, url string, {kinds}")
+    return spread.mapInArrow(page_walk(), f"page_id bigint, url string, {kinds}")
 
 
 def parse_details(pages: DataFrame, keywords: list[str] = fv.TECHNOLOGY_KEYWORDS, max_text: int | None = None,

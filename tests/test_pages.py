@@ -125,3 +125,17 @@ def test_capture_statistics(spark):
     listing = spark.createDataFrame([("r", 1, 3), ("r", 2, 2)], "run_id string, page int, n_links bigint")
     details = frame(spark, DETAIL, BARE, "")
     assert tuple(pages.capture_statistics(listing, details, pages.parse_details(details)).first()) == (2, 5, 2, 0)
+
+
+def test_pages_are_given_on_before_the_batch_ends():
+    import pyarrow as pa
+
+    html = ["<h1>Senior Developer</h1><span class='tag'>Go</span>"] * 1000 + ["<p>" + "x" * 600_000 + "</p>"] * 5 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(html)), pa.int64()), pa.array([f"u{i}" for i in range(len(html))]), pa.array(html)],
+                                       names=["page_id", "url", "html"])
+    parts = list(pages.page_walk()([batch]))
+    assert max(part.num_rows for part in parts) <= 256 and max(part.nbytes for part in parts) < 3_000_000
+    whole = pa.Table.from_batches(parts)
+    assert whole.column("page_id").to_pylist() == list(range(len(html)))
+    assert whole.column("title").to_pylist() == ["Senior Developer"] * 1000 + [None] * 7 and whole.column("tags")[0].as_py() == ["Go"]
+    assert list(pages.page_walk()([batch.slice(0, 0)])) == []
