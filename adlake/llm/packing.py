@@ -9,6 +9,7 @@ place the pieces; ranks within a length come from counts per slot of documents,
 """
 
 import os
+import re
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -22,13 +23,18 @@ from adlake.llm.words import slices
 
 SLOTS = 256
 GROUPINGS = (24, 64, 160)
-_CACHE = 600_000  # words in a generation, about 100 MB
+_CACHE = 400_000  # words in a generation, about 70 MB
+# Letters whose lower case and composed form stand alone, with signs behind them but no apostrophe, which may begin a token
+# with letters, and no mark of a special token.
+_IN_PARTS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)").fullmatch
 
 
 class _Encoder:
     """Token ids of texts, word by word: no token of this kind of tokenizer spans white space.
 
-    Words are remembered in two generations, so that frequent ones stay when the memory is full.
+    Nor does one span letters and signs, and letters are lower-cased, so that a new word of plain letters and signs behind
+    them is put together from its parts. Words are remembered in two generations, so that frequent ones stay when the memory
+    is full.
     """
 
     def __init__(self, path: str):
@@ -36,22 +42,57 @@ class _Encoder:
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.mark = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
         self.mark_id = self.tokenizer.token_to_id(self.mark)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
 
     def _learn(self, words: list) -> None:
-        """Ids of new words: many in one text, kept apart by a special token."""
-        apart = [w for w in words if "<" not in w]
-        for low in range(0, len(apart), 1000):
-            part = apart[low:low + 1000]
+        """Ids of new words; those of letters and signs are put together from the ids of both, whose letters are lower-cased."""
+        made, rest, letters = [], [], set()
+        for word in words:
+            parts = _IN_PARTS(word)
+            if parts is None:
+                rest.append(word)
+            else:
+                low = parts[1].lower()
+                made.append((word, low, parts[2]))
+                letters.add(low)
+        ids = self._spelled([w for w in letters if w not in self.known])
+        for signs in {signs for _, _, signs in made}:
+            ids[signs] = self._encoded(signs) if signs else b""
+        for word, low, signs in made:
+            self.known[word] = (ids[low] if low in ids else self.known[low]) + ids[signs]
+        for low in range(0, len(rest), 1000):
+            part = [w for w in rest[low:low + 1000] if "<" not in w]
             got = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0]
             ids = np.array(got.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark_id)
             raw, begin = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
             for word, first, last in zip(part, begin, [*(4 * cuts).tolist(), len(raw)]):
                 self.known[word] = raw[first:last]
-        for word in words:
+        for word in rest:
             if "<" in word:  # might hold a special token's text
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                self.known[word] = np.array(ids, dtype="<u4").tobytes()
+                self.known[word] = self._encoded(word)
+
+    def _encoded(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _spelled(self, words: list) -> dict:
+        """Ids of words of letters alone: many in one text, each up to the token that ends a word."""
+        out = {}
+        for low in range(0, len(words), 1000):
+            part = words[low:low + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):  # a tokenizer without such tokens
+                out.update((word, self._encoded(word)) for word in part)
+                continue
+            raw = ids.tobytes()
+            for word, first, last in zip(part, [0, *cuts], cuts):
+                out[word] = raw[first:last]
+        return out
 
     def __call__(self, texts: list) -> list:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
@@ -90,6 +131,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
                     names=["_key", "piece", "start", "length", "ids_crc32", "ids"])
+        encode.older = {}  # a worker that waits, or runs other stages, keeps one generation
     return run
 
 

@@ -590,3 +590,22 @@ def test_passages_that_the_first_of_their_key_does_not_confirm_are_linked_to_the
     rows = substring_dedup.repeated_passages(frame(spark, texts)).collect()
     found = {tuple(sorted((r.doc_id, r.source_id))) for r in rows}
     assert [p for p in pairs if p not in found] == []
+
+
+def test_words_put_together_from_letters_and_signs_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = packing._Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    pieces = ["Don", "t", "'s", "'", "'re", "S", "Straße", "ÜBER", "é", "é", "İ", "ŉ", "×", "µ", "ª", "x1", "2", ".", ",", "!!", "***", "<", "<|endoftext|>",
+              "<|startoftext|>", "̸", "-", "_", "@", "\r", "\x0b", "\xa0", " ", "Σ", "ΑΣ", "漢", "`", "~", "\"", "ÿ", "Ÿ", "l", "ll"]
+    texts = ["", " ", "it's Don't. 'tis WE'LL!"] + [" ".join("".join(rng.choices(pieces, k=rng.randrange(1, 5))) for _ in range(30)) for _ in range(200)]
+    got = encoder(texts)
+    assert [list(memoryview(g).cast("I")) for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = []
+    known = encoder._spelled
+    encoder._spelled = lambda words: asked.extend(words) or known(words)
+    encoder(["Zebrafishes zebrafishes, ZEBRAFISHES! zebrafishes..."])
+    assert asked == ["zebrafishes"]  # once for all its cases and signs
