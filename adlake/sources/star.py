@@ -201,7 +201,6 @@ def _level_word(status: Column) -> Column:
 
 def raw_ads(t: StarHistory) -> DataFrame:
     """Every order as a captured ad with its month as snapshot_date, for loads into a store; ``seq`` is the order's key."""
-    orders = t.with_location(t.with_ad_text(t.monthly_orders).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "snapshot_date", "job_id", "title", "company_name", "url"))
     part = t.read("part").select("p_partkey", "p_name")
     lines = t.read("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice").join(part, F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.groupBy("l_orderkey").agg(  # seven lines an order at most
@@ -211,7 +210,10 @@ def raw_ads(t: StarHistory) -> DataFrame:
     values = {
         "salary": F.when(F.col("low").isNotNull(), F.concat_ws(" ", amount, currency)), "location": F.col("location_text"),
         "technologies": F.coalesce("technologies", F.array().cast("array<string>")), "seniority": _level_word(F.col("o_orderstatus"))}
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # The lines meet the orders while these are narrow; the customers' texts come last, both by the same key.
+    orders = t.monthly_orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "snapshot_date")
+    held = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = t.with_location(t.with_ad_text(held).drop("c_custkey", "c_name", "c_mktsegment"))
     named = ("job_id", "title", "company_name", "url")
     columns = [(F.col(f.name) if f.name in named else values.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in schema.RAW]
     return joined.select(*columns, "snapshot_date", F.col("o_orderkey").alias("seq"))

@@ -243,3 +243,10 @@ def test_catalog_tables(spark):
     assert [r[0] for r in got] == [1.5]
     drop_tables(spark, "adlake_t")
     assert spark.sql("SHOW TABLES IN adlake_t").count() == 0
+
+
+def test_a_load_judges_its_ads_once(spark):
+    raw = raw_frame(spark, THREE_ADS)
+    batch = daily.prepare(raw, F.lit(D1), judged=True)
+    assert "title too short" not in batch._jdf.queryExecution().optimizedPlan().toString()
+    assert rows_of(batch.drop("seq")) == rows_of(daily.prepare(raw, F.lit(D1)).drop("seq"))
