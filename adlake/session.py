@@ -44,6 +44,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; empty where there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(hadoop)) if files.exists(hadoop) else []
+
+
+def move_file(spark: SparkSession, path: str, folder: str) -> None:
+    """Move a file into a folder of the same file system."""
+    hadoop, to = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(to)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to, hadoop.getName())
+    if files.exists(target):  # a copy that was cut off
+        files.delete(target, False)
+    if not files.rename(hadoop, target):
+        raise OSError(f"{path} was not moved to {folder}")
+
+
 @contextmanager
 def staged(df: DataFrame, *by: str):
     """Write a frame that several jobs read to the shared folder, and drop it when they are done.

@@ -1,20 +1,22 @@
-"""The history store: Parquet folders that Spark's own overwrite replaces by day or by bucket.
+"""The history store: Parquet folders that are replaced by day or by bucket.
 
 A change first writes all its new rows beside the tables, in ``_changes``, then the list of its steps, and only then
-replaces the touched days, buckets and rows. Each step may be done twice. Whoever opens the store next finishes a change
-whose list is there and discards one without, so after a crash at any point the store is as before or as after the change.
+moves its files in place of those of the touched days and buckets. Each step may be done twice. Whoever opens the store next
+finishes a change whose list is there and discards one without, so after a crash at any point the store is as before or as
+after the change.
 One writer at a time; readers that run beside it open with ``mend=False``.
 """
 
 import json
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from adlake import schema
-from adlake.session import delete_path
+from adlake.session import delete_path, move_file, names_in
 
 # Stores made before the number was kept have so many buckets of postings.
 _OLD_BUCKETS = 64
@@ -46,9 +48,7 @@ class JobStore:
 
     def folders(self, path: str) -> list[str]:
         """Names of what lies in a folder; a change's own folder holds a few tables, so the list is short."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in files.listStatus(hadoop)) if files.exists(hadoop) else []
+        return names_in(self.spark, path)
 
     @property
     def buckets(self) -> int:
@@ -89,23 +89,36 @@ class JobStore:
     def apply(self, aside: str, step: dict) -> None:
         """Do one step of a change; doing it again changes nothing."""
         name, column = step["table"], step["column"]
-        if step["rows"]:
-            rows = self.spark.read.schema(_staged_fields(name)).parquet(os.path.join(aside, name))
-            if column is None:
-                key = _GROWS[name]
-                rows.join(self.table(name).select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(self.path(name))
-            else:
-                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(self.path(name))
+        if step["rows"] and column is None:
+            rows, key = self.spark.read.schema(_staged_fields(name)).parquet(os.path.join(aside, name)), _GROWS[name]
+            rows.join(self.table(name).select(key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(self.path(name))
+        elif step["rows"]:
+            for part in names_in(self.spark, os.path.join(aside, name)):
+                if part.startswith(f"{column}="):
+                    self._move(os.path.join(aside, name, part), self.path(name, part))
         for value in step["emptied"]:
             delete_path(self.spark, self.path(name, f"{column}={value}"))
 
+    def _move(self, staged: str, part: str) -> None:
+        """The staged files of a day or bucket in place of those it has; files moved already, known by their write, stay."""
+        files = names_in(self.spark, staged)
+        if files:
+            write = {_write_of(f) for f in files}
+            for old in names_in(self.spark, part):
+                if _write_of(old) not in write:
+                    delete_path(self.spark, os.path.join(part, old))
+            for file in files:
+                move_file(self.spark, os.path.join(staged, file), part)
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.table(name)
 
     def table(self, name: str) -> DataFrame:
         fields = fields_of(name)
         if not self.exists(self.path(name)):
-            return self.spark.createDataFrame([], fields)
+            # Known to be empty when a query is planned, so that a first load joins nothing with it.
+            nothing = self.spark.range(1).where(F.lit(False))
+            return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         return self.spark.read.schema(fields).parquet(self.path(name)).select(*fields.names)
 
     def days_of(self, name: str, days: DataFrame) -> DataFrame:
@@ -151,6 +164,11 @@ class JobStore:
         delete_path(self.spark, self.root)
 
 
+def _write_of(file: str) -> str:
+    """What the files of one write have in common: part-<task>-<write>.c<number>.<kind>."""
+    return re.sub(r"^part-[0-9]+-|[.-]c[0-9]+\.[^-]*$", "", file)
+
+
 def _staged_fields(name: str) -> StructType:
     fields = fields_of(name)
     return StructType([*fields, StructField("bucket", IntegerType())]) if _PARTS.get(name) == "bucket" else fields

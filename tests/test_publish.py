@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adlake import schema
-from adlake.operators import daily
+from adlake.operators import daily, load
 from adlake.plans import queries
 from adlake.sources import store as stores
 from adlake.sources.store import JobStore
@@ -164,3 +164,41 @@ def test_ranges_read_only_their_folders(spark, tmp_path):
     days = spark.createDataFrame([(D1,)], "snapshot_date date").where("snapshot_date > '2020-01-01'")
     found = store.days_of("job_snapshots", days)
     assert [r.snapshot_date for r in found.collect()] == [D1] and "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_first_load_meets_no_empty_table(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path / "s"))
+    new = pay(spark, D1, "a")
+    days = new.select("snapshot_date")
+    merged = load.replace_by_key(store.days_of("salaries", days), new, ["job_id", "snapshot_date"])
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.job_id for r in merged.collect()] == ["a"] and merged.schema.fieldNames() == new.schema.fieldNames()
+
+
+def inodes(root):
+    return {os.stat(os.path.join(d, f)).st_ino for d, _, files in os.walk(root) for f in files if f.endswith(".parquet")}
+
+
+def test_staged_files_are_moved_not_written_again(spark, tmp_path, monkeypatch):
+    store, staged = begun(spark, str(tmp_path / "s")), []
+    real = JobStore.redo
+    with monkeypatch.context() as patch:
+        patch.setattr(JobStore, "redo", lambda self, aside, steps: (staged.append(inodes(os.path.join(aside, "salaries"))), real(self, aside, steps)))
+        change_all(store)
+    assert staged[0] and staged[0] == inodes(store.path("salaries"))
+
+
+def test_a_move_cut_off_between_files_is_finished(spark, tmp_path, monkeypatch):
+    store = begun(spark, str(tmp_path / "s"))
+    rows = pay(spark, D1, *[f"n{i}" for i in range(40)]).repartition(2)
+    for call in (1, 2, 3):
+        with monkeypatch.context() as patch:
+            # Two files in the one folder, as a large day has.
+            patch.setattr(stores.Change, "_stage", lambda self, name, rows, column: rows.write.partitionBy(column).parquet(os.path.join(self.aside, name)) or rows)
+            fail_at(patch, stores, "move_file", min(call, 2), call != 2)
+            with pytest.raises(Lost):
+                with store.change() as change:
+                    change.replace("salaries", rows)
+        again = JobStore(spark, store.root)
+        assert sorted(r.job_id for r in again.table("salaries").filter(F.col("snapshot_date") == D1).collect()) == sorted(f"n{i}" for i in range(40))
+        assert again["salaries"].count() == 41
