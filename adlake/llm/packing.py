@@ -8,6 +8,7 @@ list of runs, "the pieces of this length with these ranks take these places in t
 place the pieces; ranks within a length come from counts per slot of documents, not from one task per length.
 """
 
+import gc
 import os
 import re
 from bisect import bisect_left, insort
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from adlake.llm.tables import needs, row_key, send_code, written
+from adlake.llm.tables import give_back, needs, row_key, send_code, written
 from adlake.llm.words import slices
 
 SLOTS = 256
@@ -113,7 +114,7 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool, remember: bool = True):
     def run(batches):
         from zlib import crc32
 
@@ -132,18 +133,24 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                     [keys.take(pa.array(rows)), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
                     names=["_key", "piece", "start", "length", "ids_crc32", "ids"])
         encode.older = {}  # a worker that waits, or runs other stages, keeps one generation
+        if not remember:
+            del encode
+            _encoder.cache_clear()
+            gc.collect()
+        give_back()
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, remember: bool = True) -> DataFrame:
     """doc_id, row_key, piece, start, length, ids_crc32, ids (little-endian 32-bit, null unless wanted).
 
     A document is its token ids and ``end_id``; a null text is empty and has that id alone. Only documents longer than
     ``capacity`` are cut, into pieces of ``capacity`` and a last one. Each row is cut, repeated ones too.
+    A worker keeps the tokenizer and its words for its next task, unless ``remember`` is off: then other stages have this memory.
     """
     send_code(docs.sparkSession)
     rows = needs(docs, "doc_id", "text").select("text", F.struct("doc_id", row_key("doc_id", "text").alias("row_key")).alias("_key"))
-    out = rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids),
+    out = rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids, remember),
                           "_key struct<doc_id:bigint,row_key:bigint>, piece bigint, start bigint, length bigint, "
                           "ids_crc32 bigint, ids binary")
     return out.select("_key.doc_id", "_key.row_key", "piece", "start", "length", "ids_crc32", "ids")
@@ -305,16 +312,18 @@ def _placed(sent):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(first + q // each), pa.array(offset + (q % each) * length)],
                 names=["row", "sequence_id", "offset"])
+        give_back()
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groupings: tuple = GROUPINGS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groupings: tuple = GROUPINGS, with_ids: bool = False,
+         remember: bool = True) -> DataFrame:
     """The pieces of ``pieces`` with sequence_id and offset.
 
     Every piece is in one sequence, sequences hold at most ``capacity`` ids and have no gaps; which of the pieces of
     equal length goes where is settled by their keys. An empty table gives no sequences.
     """
-    cut = pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("slot", F.pmod(F.xxhash64("row_key", "piece"), F.lit(SLOTS)).cast("int"))
+    cut = pieces(docs, tokenizer, capacity, end_id, with_ids, remember).withColumn("slot", F.pmod(F.xxhash64("row_key", "piece"), F.lit(SLOTS)).cast("int"))
     cut = written(cut)
     return place(cut, capacity, groupings)
 

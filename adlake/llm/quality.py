@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adlake.llm.tables import needs, send_code, written
+from adlake.llm.tables import give_back, needs, send_code, written
 from adlake.llm.words import U, buffers, distinct, row_sums, slices, words
 
 BITS, RANK = 15, 6
@@ -126,6 +126,7 @@ def _vectors(batches):
                 + [pa.array(np.diff(at)), pa.array([index[a:b].tobytes() for a, b in spans], pa.binary()),
                    pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())],
                 names=["k", "doc_id", "y", "n", "index", "value"])
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, max_features: int = 1 << 22) -> dict:
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 index, value, at = features(part.column(part.schema.get_field_index("text")))
                 values = 1 / (1 + np.exp(-np.clip(raw_scores(fm, index, value, at), -60, 60).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], names=["row", "score"])
+        give_back()
 
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
     schema = rows.select("row").schema.add("score", "double")

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from adlake.session import scratch_root
@@ -45,6 +46,11 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At a task's end: what Arrow's pool keeps of freed batches goes back to the system, for the worker waits or runs other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def row_key(*columns: str):
     """A non-null 64-bit key of a row's content; equal rows share it."""
     return F.xxhash64(*[F.col(c) for c in columns])

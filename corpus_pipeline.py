@@ -71,7 +71,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, as pieces placed in sequences of 4096 token ids; ``ids`` are little-endian 32-bit."""
-    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=True)
+    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=True, remember=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 

@@ -3,10 +3,13 @@
 import os
 from collections import defaultdict
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import components, edited, frame, prose, shingles
 
 import corpus_pipeline
+from adlake.llm import packing
 
 FOLDER = os.environ.get("ADLAKE_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -78,3 +81,17 @@ def test_one_of_each_group_stays(spark):
     base = [prose(i, 90) for i in range(5)]
     docs = frame(spark, base + [edited(b, j, 1) for j, b in enumerate(base)] + base + ["", "", None])
     assert set(texts(corpus_pipeline.near_dedup(spark, docs, FOLDER))) == {0, 1, 2, 3, 4, 15, 16, 17}
+
+
+def test_packing_leaves_no_tokenizer_with_its_workers(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = pa.array([f"word{i} Word, other{i}." for i in range(300)], pa.large_string())
+    keys = pa.array([{"doc_id": i, "row_key": i} for i in range(300)])
+    made, given = [], []
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    packing._encoder.cache_clear()
+    for remember in (True, False):
+        batch = pa.RecordBatch.from_arrays([texts, keys], names=["text", "_key"])
+        made.append(pa.Table.from_batches(list(packing._cut(path, 4096, 1, True, remember)([batch]))))
+        assert packing._encoder.cache_info().currsize == remember
+    assert made[0].equals(made[1]) and len(given) == 2
