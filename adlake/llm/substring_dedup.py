@@ -32,6 +32,7 @@ from adlake.llm.words import U, mix, shingles, slices, words
 FUNCTIONS, CONTEXT = 6, 12
 _DRIFT = 8  # words that an alignment may shift by within a passage
 _FLUSH = 1_500_000
+LARGE = 1024  # windows of a key that meet in one task
 _RECORD = np.dtype([("key", "<u8"), ("uid", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 _LINK = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64()),
          ("source_size", pa.int64()), ("similarity", pa.float64())]
@@ -271,20 +272,25 @@ def _meet(t: int):
 
 def _verify(t: int, percent: int, k: int):
     """Links of the pairs' texts, and the pairs of places with whether a link confirms them."""
+    names = [*_PAIR, "ok", *[n for n, _ in _LINK]]
+
     def run(batches):
         for batch in batches:
-            links, judged = [], []
-            for row in range(batch.num_rows):
-                texts = pa.array([batch.column("text_a")[row].as_py(), batch.column("text_b")[row].as_py()], pa.large_string())
-                values, at = shingles(*words(texts), k)
-                met = [(x["key"], x["ca"], x["cb"]) for x in batch.column("met")[row].as_py()]
-                more, seen = _links(batch.column("id_a")[row].as_py(), values[:at[1]], batch.column("id_b")[row].as_py(), values[at[1]:], met, t, percent, k)
-                links += more
-                a, b = batch.column("a")[row].as_py(), batch.column("b")[row].as_py()
-                judged += [(key, a, b, ca, cb, ok) for key, ca, cb, ok in seen]
-            names = [*_PAIR, "ok", *[n for n, _ in _LINK]]
-            yield pa.RecordBatch.from_arrays([*_no_pairs(len(links)), *_table(links)], names=names)
-            yield pa.RecordBatch.from_arrays([*_pairs(judged), *[pa.nulls(len(judged), kind) for _, kind in _LINK]], names=names)
+            for half in slices(batch, "text_a"):
+                for part in slices(half, "text_b"):
+                    links, judged = [], []
+                    (one, one_at), (two, two_at) = (shingles(*words(part.column(x)), k) for x in ("text_a", "text_b"))
+                    met = part.column("met")
+                    met_at, places = (met.offsets.to_numpy() - met.offsets[0].as_py()).tolist(), met.flatten()
+                    places = [places.field(x).to_numpy(zero_copy_only=False).tolist() for x in range(3)]
+                    ids = [part.column(x).to_pylist() for x in ("id_a", "id_b", "a", "b")]
+                    for row, (id_a, id_b, a, b) in enumerate(zip(*ids)):
+                        own = list(zip(*(x[met_at[row]:met_at[row + 1]] for x in places)))
+                        more, seen = _links(id_a, one[one_at[row]:one_at[row + 1]], id_b, two[two_at[row]:two_at[row + 1]], own, t, percent, k)
+                        links += more
+                        judged += [(key, a, b, ca, cb, ok) for key, ca, cb, ok in seen]
+                    yield pa.RecordBatch.from_arrays([*_no_pairs(len(links)), *_table(links)], names=names)
+                    yield pa.RecordBatch.from_arrays([*_pairs(judged), *[pa.nulls(len(judged), kind) for _, kind in _LINK]], names=names)
     return run
 
 
@@ -301,19 +307,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: int, percent: int, k: int, l
 
 
 _WINDOW = ["key", "uid", "c"]
+_PAIRS_AT_ONCE = 1 << 14
+_HITS_AT_ONCE = 1 << 21
 
 
 def _around(t: int, percent: int, k: int):
-    """Of each window the distinct shingles that a link about its place can match, and how many of the rarest it asks with.
+    """Of each window the shingles that a link about its place can match: ``near`` in order, two bytes each, ``before`` of them before it.
 
-    ``form`` is one for windows with the same shingles in the same order about their place.
-
-    Of the ``n`` places there at most ``n`` less the least common ones stay unmatched, repeated shingles included, so
-    whichever of the distinct ones are left out, one more than that many hold one that is matched.
+    ``form`` is one for windows with the same shingles in the same order about their place; a task gives ``near`` once for a key's form.
+    Of windows of large keys also the distinct shingles, and how many of the rarest it asks with: of the ``n`` places at most ``n``
+    less the least common ones stay unmatched, repeated shingles included, so whichever of the distinct ones are left out, one
+    more than that many hold one that is matched.
     """
     reach, need = t - 1 + _DRIFT, _least_common(t, percent)
 
     def run(batches):
+        told = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = shingles(*words(part.column("text")), k)
@@ -321,13 +330,187 @@ def _around(t: int, percent: int, k: int):
                 for row, (uid, places) in enumerate(zip(part.column("uid").to_pylist(), part.column("places").to_pylist())):
                     own = values[at[row]:at[row + 1]].view(np.int64)
                     for place in places:
-                        near = own[max(0, place["c"] - reach):place["c"] + reach + 1]
-                        some = np.unique(near)
-                        form = blake2b(near.tobytes(), digest_size=16, salt=min(place["c"], reach).to_bytes(8, "little")).digest()
-                        out.append((place["key"], uid, place["c"], form, some, min(len(some), max(0, len(near) - need + 1))))
-                columns = list(zip(*out)) if out else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=[*_WINDOW, "form", "around", "asks"])
+                        key, before = place["key"], min(place["c"], reach)
+                        near = own[place["c"] - before:place["c"] + reach + 1]
+                        form = blake2b(near.tobytes(), digest_size=16, salt=before.to_bytes(8, "little")).digest()
+                        some, asks = None, None
+                        if place["large"]:
+                            some = np.unique(near)
+                            asks = min(len(some), max(0, len(near) - need + 1))
+                        fresh = place["large"] or (key, form) not in told
+                        if not place["large"]:
+                            told.add((key, form))
+                        out.append((key, uid, place["c"], form, before, near.astype("<u2").tobytes() if fresh else None, some, asks))
+                if len(told) > 500_000:
+                    told.clear()
+                columns = list(zip(*out)) if out else [[]] * 8
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)],
+                                                 names=[*_WINDOW, "form", "before", "near", "around", "asks"])
+    return run
+
+
+def _laid(blobs: list, before: list, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles around places as rows with the place in column ``reach``, and each row's first column and end."""
+    out = np.full((len(blobs), 2 * reach + 1), -1, dtype=np.int32)
+    first = reach - np.array(before, dtype=np.int64)
+    end = first.copy()
+    for row, (blob, low) in enumerate(zip(blobs, first.tolist())):
+        near = np.frombuffer(blob, dtype="<u2")
+        out[row, low:low + len(near)] = near
+        end[row] += len(near)
+    return out, first, end
+
+
+def _may_link(one: tuple, two: tuple, t: int, percent: int) -> np.ndarray:
+    """Which pairs of rows of ``_laid`` have a run of t places about theirs with enough in common, as ``passages`` asks at least."""
+    need, centre = _least_common(t, percent), t - 1 + _DRIFT
+    at = np.arange(2 * centre + 1)
+    low, high = np.maximum(one[1], two[1])[:, None], np.minimum(one[2], two[2])[:, None]
+    inside = (at >= low) & (at < high)
+    a, b = np.where(inside, one[0], -1)[:, _DRIFT:-_DRIFT], np.where(inside, two[0], -2)
+    same = np.zeros(a.shape, dtype=bool)
+    for s in range(2 * _DRIFT + 1):
+        same |= a == b[:, s:s + a.shape[1]]
+    sums = np.zeros((len(a), a.shape[1] + 1), dtype=np.int32)
+    np.cumsum(same, axis=1, out=sums[:, 1:])
+    begin = at[_DRIFT:_DRIFT + t]
+    return ((sums[:, t:] - sums[:, :-t] >= need) & (begin >= low) & (begin + t <= high)).any(axis=1)
+
+
+def _asked(laid: tuple, group: np.ndarray, apart: np.ndarray, asks: np.ndarray, answers: np.ndarray, t: int, percent: int):
+    """Pairs of rows of one group with different ``apart`` that may have a link, a later row with ``asks`` and an earlier one with
+    ``answers``; in parts.
+
+    A run of t places about a place has half of them on one side, and of these at most t less the least common ones are not
+    matched. So one more than that many of a side's shingles, the rarest, hold one that the other text has near its place.
+    """
+    rows, first, end = laid
+    centre, half, some = t - 1 + _DRIFT, t // 2, t - _least_common(t, percent) + 1
+    n = len(rows)
+    if some > half:  # too little in common for that: all with all
+        hit = np.flatnonzero(answers)
+        hit = hit[np.argsort(group[hit], kind="stable")]
+        who = np.flatnonzero(asks)
+        start = np.searchsorted(group[hit], group[who], "left")
+        size = np.searchsorted(group[hit], group[who], "right") - start
+    else:
+        hit, near = np.flatnonzero(answers), np.arange(centre - half - _DRIFT, centre + half + _DRIFT + 1)
+        row, column = np.nonzero(rows[np.ix_(hit, near)] >= 0)
+        token = (group[hit[row]] << 16) | rows[hit[row], near[column]]
+        order = np.argsort(token, kind="stable")
+        token, hit = token[order], hit[row[order]]
+        who, start, size = [], [], []
+        for side in (np.arange(centre - half, centre), np.arange(centre + 1, centre + half + 1)):
+            whole = np.flatnonzero(asks & (first <= side[0]) & (end > side[-1]))
+            ask = (group[whole, None] << 16) | rows[np.ix_(whole, side)]
+            begin = np.searchsorted(token, ask, "left")
+            count = np.searchsorted(token, ask, "right") - begin
+            rarest = np.argpartition(count, some - 1, axis=1)[:, :some]
+            who.append(np.repeat(whole, some))
+            start.append(np.take_along_axis(begin, rarest, 1).ravel())
+            size.append(np.take_along_axis(count, rarest, 1).ravel())
+        who, start, size = (np.concatenate(x) for x in (who, start, size))
+        order = np.argsort(who, kind="stable")
+        who, start, size = who[order], start[order], size[order]
+    total, low = np.concatenate([[0], np.cumsum(size)]), 0
+    while low < len(who):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + _HITS_AT_ONCE, "right")) - 1)
+        sizes = size[low:high]
+        place = np.arange(total[high] - total[low]) - np.repeat(total[low:high] - total[low], sizes) + np.repeat(start[low:high], sizes)
+        x, y = np.repeat(who[low:high], sizes), hit[place]
+        good = (x > y) & (apart[x] != apart[y])
+        code = np.unique(x[good] * n + y[good])
+        for i in range(0, len(code), _PAIRS_AT_ONCE):
+            x, y = np.divmod(code[i:i + _PAIRS_AT_ONCE], n)
+            fits = _may_link(*(tuple(part[z] for part in laid) for z in (x, y)), t, percent)
+            yield x[fits], y[fits]
+        low = high
+
+
+def _within(t: int, percent: int, every: bool):
+    """Pairs to verify among the windows of a bucket of keys, out of them and the judged pairs: with ``every`` all that may have a
+    link and that judged ones do not connect, else as many as connect these if they do have it."""
+    reach = t - 1 + _DRIFT
+
+    def run(windows_: pa.Table, judged: pa.Table) -> pa.Table:
+        columns = {x: windows_.column(x).to_pylist() for x in (*_WINDOW, "form", "before", "near")}
+        window = list(zip(*(columns[x] for x in _WINDOW)))
+        node = {w: i for i, w in enumerate(window)}
+        parent = list(range(len(window)))
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        def join(i, j):
+            i, j = root(i), root(j)
+            parent[max(i, j)] = min(i, j)
+            return i != j
+
+        known = set()
+        for key, a, b, ca, cb, ok in zip(*(judged.column(x).to_pylist() for x in (*_PAIR, "ok"))):
+            i, j = node[key, a, ca], node[key, b, cb]
+            known.add((max(i, j), min(i, j)))
+            if ok:
+                join(i, j)
+        # Windows of one form surely have links: they go on as the form's first, but for those that were judged to have none.
+        near, first, asked = {}, {}, []
+        for i, (key, form, blob) in enumerate(zip(columns["key"], columns["form"], columns["near"])):
+            if blob is not None:
+                near[key, form] = blob
+            first[key, form] = min((window[i], i), first.get((key, form), (window[i], i)))
+        ones = []
+        for i, at in enumerate(zip(columns["key"], columns["form"])):
+            one = first[at][1]
+            if i == one or (root(i) != root(one) and (max(i, one), min(i, one)) in known):
+                ones.append(i)
+            elif root(i) != root(one):
+                asked.append((i, one))
+        for i, one in asked:
+            join(i, one)
+        parts = [root(i) for i in ones]
+        keys = [columns["key"][i] for i in ones]
+        counts = {}
+        for key, part in zip(keys, parts):
+            own = counts.setdefault(key, {})
+            own[part] = own.get(part, 0) + 1
+        most = {key: max((n, part) for part, n in own.items())[1] for key, own in counts.items() if len(own) > 1}
+        left = sorted((x for x, key in enumerate(keys) if key in most), key=lambda x: window[ones[x]])
+        ones, parts, keys = ([x[y] for y in left] for x in (ones, parts, keys))
+        if ones:
+            number = {key: i for i, key in enumerate(most)}
+            laid = _laid([near[key, columns["form"][i]] for i, key in zip(ones, keys)], [columns["before"][i] for i in ones], reach)
+            group, apart = np.array([number[key] for key in keys]), np.array(parts)
+            out = apart != np.array([most[key] for key in keys])
+            # What is not in the largest part of its key meets all that is in another one; of two the later one asks.
+            for asks, answers in ((out, np.ones(len(out), bool)), (~out, out)):
+                for x, y in _asked(laid, group, apart, asks, answers, t, percent):
+                    for i, j in zip(x.tolist(), y.tolist()):
+                        i, j = ones[i], ones[j]
+                        if (max(i, j), min(i, j)) not in known and (every or join(i, j)):
+                            known.add((max(i, j), min(i, j)))
+                            asked.append((i, j))
+        pairs = [max((window[i], window[j]), (window[j], window[i])) for i, j in asked]
+        out = [(a[0], a[1], b[1], a[2], b[2]) for a, b in pairs if a[1] != b[1]]
+        columns = list(zip(*out)) if out else [[]] * len(_PAIR)
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=_PAIR)
+    return run
+
+
+def _near_enough(t: int, percent: int):
+    """Of pairs those that may have a link, by what is around their places."""
+    reach = t - 1 + _DRIFT
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, _PAIRS_AT_ONCE):
+                part = batch.slice(low, _PAIRS_AT_ONCE)
+                sides = [_laid(part.column(f"_near{x}").to_pylist(), part.column(f"_before{x}").to_pylist(), reach) for x in "ab"]
+                fits = pa.array(_may_link(*sides, t, percent))
+                yield pa.RecordBatch.from_arrays([part.column(x).filter(fits) for x in _PAIR], names=_PAIR)
     return run
 
 
@@ -335,21 +518,47 @@ def _node(uid: str, c: str):
     return F.encode(F.concat_ws("/", uid, c), "UTF-8")
 
 
-def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
+def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: int, link: str, large: int) -> DataFrame:
     """Links between the windows of keys whose first did not confirm them all, out of judged pairs of windows.
 
-    Every pair of one key that may have a link is verified or connected by links already.
+    Every pair of one key that may have a link is verified or connected by links already. Keys of up to ``large`` windows are met
+    by bucket: first the pairs that would connect them, and where one of these has no link all that are left. Windows of larger
+    keys are dealt by their shingles.
     """
     a, b = judged.select("key", F.col("a").alias("uid"), F.col("ca").alias("c")), judged.select("key", F.col("b").alias("uid"), F.col("cb").alias("c"))
     # Of two windows the only pair has been judged.
     open_ = judged.where("not ok").select("key").distinct()
-    open_ = a.union(b).join(open_, "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
-    judged = written(judged.join(open_, "key", "left_semi"))
-    sides = [judged.select("key", F.col(x).alias("uid"), F.col(f"c{x}").alias("c")) for x in "ab"]
+    open_ = written(a.union(b).join(open_, "key", "left_semi").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select(
+        "key", (F.col("n") > large).alias("large"), "n"))
+    judged = written(judged.join(open_, "key").select(*_PAIR, "ok", "large"))
+    sides = [judged.select("key", F.col(x).alias("uid"), F.col(f"c{x}").alias("c"), "large") for x in "ab"]
     windows_ = sides[0].union(sides[1]).distinct()
-    places = written(windows_.groupBy("uid").agg(F.collect_list(F.struct("key", "c")).alias("places")))
+    places = written(windows_.groupBy("uid").agg(F.collect_list(F.struct("key", "c", "large")).alias("places")))
     texts = rows.join(places, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")).join(places, "uid").select("text", "uid", "places")
-    around = written(texts.mapInArrow(_around(t, percent, k), "key bigint, uid bigint, c bigint, form binary, around array<bigint>, asks bigint"))
+    around = written(texts.mapInArrow(_around(t, percent, k), "key bigint, uid bigint, c bigint, form binary, before bigint, near binary, "
+                                                              "around array<bigint>, asks bigint"))
+    small, any_large = open_.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.max("large")).first()
+    buckets = max(-(-(small or 0) // 40_000), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    met = around.where("asks is null").select(*_WINDOW, "form", "before", "near", bucket)
+
+    def within(known: DataFrame, among: DataFrame, every: bool) -> DataFrame:
+        return among.groupBy("bucket").cogroup(known.select(*_PAIR, "ok", bucket).groupBy("bucket")).applyInArrow(
+            _within(t, percent, every), _PAIR_TYPES)
+
+    known = judged.where("not large").select(*_PAIR, "ok")
+    once = _verified(within(known, met, False), rows, t, percent, k, link)
+    fresh = once.where("a is not null").select(*_PAIR, "ok")
+    failed = written(fresh.where("not ok").select("key").distinct())
+    again = _verified(within(known.union(fresh).join(failed, "key", "left_semi"), met.join(failed, "key", "left_semi"), True), rows, t, percent, k, link)
+    links = once.where("a is null").union(again.where("a is null"))
+    if not any_large:
+        return links
+    return links.union(_large_links(judged.where("large").drop("large"), around.where("asks is not null"), rows, t, percent, k, link))
+
+
+def _large_links(judged: DataFrame, around: DataFrame, rows: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
+    """Links between windows of keys of any size: by prefix filtering on the shingles around their places."""
     # Windows of one form surely have links: those that no common first connects are linked to the form's first, which alone goes on.
     first = around.groupBy("key", "form").agg(F.min(F.struct("uid", "c")).alias("first"))
     formed = around.select(*_WINDOW, "form").join(first, ["key", "form"]).select(*_WINDOW, "first")
@@ -370,11 +579,14 @@ def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: i
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Of pairs not judged yet those with enough shingles in common for a link."""
-        one = around.select("key", F.col("uid").alias("a"), F.col("c").alias("ca"), F.col("around").alias("_a"), (F.size("around") - F.col("asks") + 1).alias("_least"))
-        two = around.select("key", F.col("uid").alias("b"), F.col("c").alias("cb"), F.col("around").alias("_b"))
+        one = around.select("key", F.col("uid").alias("a"), F.col("c").alias("ca"), F.col("around").alias("_a"), (F.size("around") - F.col("asks") + 1).alias("_least"),
+                            F.col("near").alias("_neara"), F.col("before").alias("_beforea"))
+        two = around.select("key", F.col("uid").alias("b"), F.col("c").alias("cb"), F.col("around").alias("_b"),
+                            F.col("near").alias("_nearb"), F.col("before").alias("_beforeb"))
         fresh = pairs.distinct().join(judged.select(*_PAIR), _PAIR, "left_anti")
         near = fresh.join(one, ["key", "a", "ca"]).join(two, ["key", "b", "cb"])
-        return near.where(F.size(F.array_intersect("_a", "_b")) >= F.col("_least")).select(*_PAIR)
+        near = near.where(F.size(F.array_intersect("_a", "_b")) >= F.col("_least"))
+        return near.select(*_PAIR, "_neara", "_nearb", "_beforea", "_beforeb").mapInArrow(_near_enough(t, percent), _PAIR_TYPES)
 
     star = shared.where("asked and uid != lead.uid").select("key", F.col("uid").alias("a"), F.col("lead.uid").alias("b"), F.col("c").alias("ca"), F.col("lead.c").alias("cb"))
     alike = alike.distinct().join(judged.select(*_PAIR), _PAIR, "left_anti")
@@ -399,7 +611,8 @@ def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: i
     return once.where("a is null").union(again.where("a is null"))
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
+def repeated_passages(docs: DataFrame, least_words: int = 50, words_per_shingle: int = 5, percent: int = 80,
+                      large: int = LARGE) -> DataFrame:
     """Passages that two documents share: doc_id, start, size, source_id, source_start, source_size (in words), similarity.
 
     A row links a passage to the same or nearly the same one in the first document (by a hash of doc_id and text) that
@@ -407,7 +620,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, words_per_shingle:
     names depends on how the table is cut into tasks, the documents that are connected do not. Passages have
     ``least_words`` words or more, and among them that many with ``percent`` of their distinct shingles in common.
     Within one document repeats are not reported; rows that repeat doc_id and text are one document. Null, empty and
-    short texts have no passages; a null doc_id is given as null. An empty table gives no rows.
+    short texts have no passages; a null doc_id is given as null. An empty table gives no rows. Keys of more than ``large`` windows
+    are met in another way, with the same links found.
 
     Near copies of a passage meet under one of ``FUNCTIONS`` functions or not at all: at a similarity of 0.8 a pair is
     missed with a chance of about one in a thousand; word for word repeats of more than ``least_words`` with about one in
@@ -425,7 +639,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, words_per_shingle:
     met = written(gathered.groupBy("bucket").applyInArrow(_meet(t), f"{_PAIR_TYPES}, {link}, ok boolean"))
     once = _verified(met.where("a is not null and ok is null").select(*_PAIR), rows, t, percent, k, link)
     judged = [part.where("a is not null and ok is not null").select(*_PAIR, "ok") for part in (met, once)]
-    again = _second_links(written(judged[0].union(judged[1])), rows, t, percent, k, link)
+    again = _second_links(written(judged[0].union(judged[1])), rows, t, percent, k, link, large)
     names = [n for n, _ in _LINK]
     found = met.where("a is null").select(*names)
     return found.union(once.where("a is null").select(*names)).union(again.select(*names)).distinct()

@@ -592,6 +592,83 @@ def test_passages_that_the_first_of_their_key_does_not_confirm_are_linked_to_the
     assert [p for p in pairs if p not in found] == []
 
 
+def test_pairs_that_may_have_a_link_are_all_asked_for_and_told_by_what_is_around_their_places():
+    """Against passages on whole sequences: with edits, insertions, repeats, and places near the ends."""
+    rng, t, percent = random.Random(21), 46, 80
+    reach, texts = t - 1 + substring_dedup._DRIFT, []
+    for group in range(12):
+        base = [rng.randrange(1, 10**6) for _ in range(150)]
+        if group % 4 == 3:  # few words, repeated
+            base = [rng.choice(base[:9]) for _ in base]
+        for _ in range(9):
+            own, place = list(base), rng.choice([3, 60, 75, 90, 147])
+            for _ in range(rng.randrange(0, 24)):
+                at = rng.randrange(len(own))
+                if at != place and rng.random() < 0.8:
+                    own[at] = rng.randrange(1, 10**6)
+                elif at > place + 8:
+                    own.insert(at, 7)
+            texts.append((group, np.array(own, dtype=np.uint64), place))
+    near = [(v[max(0, c - reach):c + reach + 1].astype("<u2").tobytes(), min(c, reach)) for _, v, c in texts]
+    laid = substring_dedup._laid(*zip(*near), reach)
+    group, apart, everyone = np.array([g for g, _, _ in texts]), np.arange(len(texts)), np.ones(len(texts), bool)
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0]
+             and substring_dedup.passages(texts[i][1], texts[j][1], [(texts[i][2], texts[j][2])], t, percent)}
+    assert len(links) > 40
+    got = [p for x, y in substring_dedup._asked(laid, group, apart, everyone, everyone, t, percent) for p in zip(x.tolist(), y.tolist())]
+    assert links <= set(got) and len(got) == len(set(got)) < len(texts) * 4
+    for least in (60, 30):  # less in common, and so little that all meet all
+        some = {(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0]
+                and substring_dedup.passages(texts[i][1], texts[j][1], [(texts[i][2], texts[j][2])], t, least)}
+        assert some <= {p for x, y in substring_dedup._asked(laid, group, apart, everyone, everyone, t, least) for p in zip(x.tolist(), y.tolist())}
+
+
+def test_second_meeting_writes_few_rows_and_links_the_same_in_keys_of_any_size(spark, monkeypatch):
+    """Near copies whose edits leave each key's first without some: no table has a row for each window and shingle."""
+    rng, texts = random.Random(9), []
+    for _ in range(3):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(260)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(22):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    tables, real = [], substring_dedup.written
+
+    def counted(df, *by):
+        tables.append(real(df, *by))
+        return tables[-1]
+
+    monkeypatch.setattr(substring_dedup, "written", counted)
+
+    def places(**given):
+        """Connected places of texts: links by document and word, ten words to a place."""
+        tables.clear()
+        rows = substring_dedup.repeated_passages(frame(spark, texts).repartition(3), **given).collect()
+        links = [((r.doc_id, (r.start + x) // 10), (r.source_id, (r.source_start + x) // 10)) for r in rows for x in range(0, r.size, 10)]
+        named = components({p for link in links for p in link}, links)
+        return {frozenset(p for p in named if named[p] == n) for n in set(named.values())}, [x.count() for x in tables]
+
+    (parts, sizes), (others, old) = places(), places(large=2)
+    assert {frozenset(d for d, _ in p) for p in parts} == {frozenset(d for d, _ in p) for p in others}
+    windows = next(x.count() for x in tables if "around" in x.columns)
+    assert max(old) > 10 * windows > 2 * max(sizes)
+
+
+def test_passages_of_large_keys_are_linked_as_those_of_small_ones(spark):
+    rng, texts, pairs = random.Random(8), [], []
+
+    def some(n):
+        return [f"v{rng.randrange(10**6)}" for _ in range(n)]
+
+    for _ in range(150):
+        whole = some(50)
+        pairs += [(len(texts), len(texts) + 1), (len(texts), len(texts) + 2)]
+        texts += [" ".join(some(20) + part + some(20)) for part in (whole, whole[:45], whole[5:])]
+    found = {tuple(sorted((r.doc_id, r.source_id))) for r in substring_dedup.repeated_passages(frame(spark, texts), large=2).collect()}
+    assert [p for p in pairs if p not in found] == []
+
+
 def test_words_put_together_from_letters_and_signs_are_those_of_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
