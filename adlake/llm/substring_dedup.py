@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from adlake.llm.components import components
-from adlake.llm.tables import needs, row_key, send_code, written
+from adlake.llm.tables import give_back, needs, row_key, send_code, written
 from adlake.llm.words import U, mix, shingles, slices, words
 
 FUNCTIONS, CONTEXT = 6, 12
 _DRIFT = 8  # words that an alignment may shift by within a passage
 _FLUSH = 1_500_000
-LARGE = 1024  # windows of a key that meet in one task
+LARGE = 1 << 15  # windows of a key that meet in one task, about 50 MB
 _RECORD = np.dtype([("key", "<u8"), ("uid", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 _LINK = [("doc_id", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("source_id", pa.int64()), ("source_start", pa.int64()),
          ("source_size", pa.int64()), ("similarity", pa.float64())]
@@ -234,6 +234,7 @@ def _gather(buckets: int, t: int, percent: int, k: int):
                     size = 0
         if held:
             yield from flush()
+        give_back()
     return run
 
 
@@ -270,6 +271,13 @@ def _meet(t: int):
     return run
 
 
+def _each_once(pairs: pa.RecordBatch, side: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the distinct texts of one side of pairs, and each pair's first one and end."""
+    _, first, own = np.unique(pairs.column(side).to_numpy(), return_index=True, return_inverse=True)
+    values, at = shingles(*words(pairs.column(f"text_{side}").take(pa.array(first))), k)
+    return values, np.stack([at[own], at[own + 1]], axis=1)
+
+
 def _verify(t: int, percent: int, k: int):
     """Links of the pairs' texts, and the pairs of places with whether a link confirms them."""
     names = [*_PAIR, "ok", *[n for n, _ in _LINK]]
@@ -279,18 +287,19 @@ def _verify(t: int, percent: int, k: int):
             for half in slices(batch, "text_a"):
                 for part in slices(half, "text_b"):
                     links, judged = [], []
-                    (one, one_at), (two, two_at) = (shingles(*words(part.column(x)), k) for x in ("text_a", "text_b"))
+                    (one, one_at), (two, two_at) = (_each_once(part, x, k) for x in "ab")
                     met = part.column("met")
                     met_at, places = (met.offsets.to_numpy() - met.offsets[0].as_py()).tolist(), met.flatten()
                     places = [places.field(x).to_numpy(zero_copy_only=False).tolist() for x in range(3)]
                     ids = [part.column(x).to_pylist() for x in ("id_a", "id_b", "a", "b")]
                     for row, (id_a, id_b, a, b) in enumerate(zip(*ids)):
                         own = list(zip(*(x[met_at[row]:met_at[row + 1]] for x in places)))
-                        more, seen = _links(id_a, one[one_at[row]:one_at[row + 1]], id_b, two[two_at[row]:two_at[row + 1]], own, t, percent, k)
+                        more, seen = _links(id_a, one[slice(*one_at[row])], id_b, two[slice(*two_at[row])], own, t, percent, k)
                         links += more
                         judged += [(key, a, b, ca, cb, ok) for key, ca, cb, ok in seen]
                     yield pa.RecordBatch.from_arrays([*_no_pairs(len(links)), *_table(links)], names=names)
                     yield pa.RecordBatch.from_arrays([*_pairs(judged), *[pa.nulls(len(judged), kind) for _, kind in _LINK]], names=names)
+        give_back()
     return run
 
 
@@ -307,8 +316,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, t: int, percent: int, k: int, l
 
 
 _WINDOW = ["key", "uid", "c"]
-_PAIRS_AT_ONCE = 1 << 14
-_HITS_AT_ONCE = 1 << 21
+_PAIRS_AT_ONCE = 1 << 12
+_HITS_AT_ONCE = 1 << 19
 
 
 def _around(t: int, percent: int, k: int):
@@ -341,12 +350,13 @@ def _around(t: int, percent: int, k: int):
                         if not place["large"]:
                             told.add((key, form))
                         out.append((key, uid, place["c"], form, before, near.astype("<u2").tobytes() if fresh else None, some, asks))
-                if len(told) > 500_000:
+                if len(told) > 100_000:
                     told.clear()
                 columns = list(zip(*out)) if out else [[]] * 8
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)],
                                                  names=[*_WINDOW, "form", "before", "near", "around", "asks"])
+        give_back()
     return run
 
 
@@ -496,6 +506,7 @@ def _within(t: int, percent: int, every: bool):
         pairs = [max((window[i], window[j]), (window[j], window[i])) for i, j in asked]
         out = [(a[0], a[1], b[1], a[2], b[2]) for a, b in pairs if a[1] != b[1]]
         columns = list(zip(*out)) if out else [[]] * len(_PAIR)
+        give_back()
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=_PAIR)
     return run
 
@@ -511,6 +522,7 @@ def _near_enough(t: int, percent: int):
                 sides = [_laid(part.column(f"_near{x}").to_pylist(), part.column(f"_before{x}").to_pylist(), reach) for x in "ab"]
                 fits = pa.array(_may_link(*sides, t, percent))
                 yield pa.RecordBatch.from_arrays([part.column(x).filter(fits) for x in _PAIR], names=_PAIR)
+        give_back()
     return run
 
 
@@ -538,7 +550,7 @@ def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: i
     around = written(texts.mapInArrow(_around(t, percent, k), "key bigint, uid bigint, c bigint, form binary, before bigint, near binary, "
                                                               "around array<bigint>, asks bigint"))
     small, any_large = open_.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.max("large")).first()
-    buckets = max(-(-(small or 0) // 40_000), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-(small or 0) // 10_000), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
     met = around.where("asks is null").select(*_WINDOW, "form", "before", "near", bucket)
 

@@ -1,5 +1,6 @@
 """Reading the given tables, and written intermediate tables in the shared folder."""
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -47,8 +48,12 @@ def written(df: DataFrame, *by: str) -> DataFrame:
 
 
 def give_back() -> None:
-    """At a task's end: what Arrow's pool keeps of freed batches goes back to the system, for the worker waits or runs other stages."""
+    """At a task's end: what Arrow's pool and the C library keep of freed memory goes back to the system, for the worker waits or
+    runs other stages."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def row_key(*columns: str):
