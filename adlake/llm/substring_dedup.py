@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from adlake.llm.components import components
 from adlake.llm.tables import give_back, needs, row_key, send_code, written
-from adlake.llm.words import U, mix, shingles, slices, words
+from adlake.llm.words import U, mix, runs, shingles, slices, words
 
 FUNCTIONS, CONTEXT = 6, 12
 _DRIFT = 8  # words that an alignment may shift by within a passage
@@ -86,37 +86,52 @@ def windows(values: np.ndarray, at: np.ndarray, t: int) -> tuple[np.ndarray, np.
     return l[wide], c[wide], r[wide]
 
 
-def passages(a: np.ndarray, b: np.ndarray, met: list, t: int, percent: int) -> list:
-    """Near-duplicate passages (a from, a to, b from, b to, similarity) of two shingle sequences around places that met."""
+# Of every place at the beginning, how far its partner may lie behind it.
+_BEHIND = np.arange(-_DRIFT, _DRIFT + 1)[:, None] >= -np.arange(_DRIFT)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which values of a are among b's, of the same length, at most ``_DRIFT`` places away."""
+    n = len(a)
+    wide = np.zeros(n + 2 * _DRIFT, dtype=np.uint64)
+    wide[_DRIFT:-_DRIFT] = b
+    same = np.ndarray((2 * _DRIFT + 1, n), np.uint64, wide, strides=(8, 8)) == a
+    same[:, :_DRIFT] &= _BEHIND[:, :n]  # what lies beyond the ends of b does not count
+    same[:, max(0, n - _DRIFT):] &= _BEHIND[::-1, ::-1][:, max(0, _DRIFT - n):]
+    return same.any(axis=0)
+
+
+def passages(a: np.ndarray, b: np.ndarray, met, t: int, percent: int) -> list:
+    """Near-duplicate passages (a from, a to, b from, b to, similarity) of two shingle sequences around places that met, in order."""
     out, need = [], _least_common(t, percent)
-    for ca, cb in met:
-        if any(lo <= ca < hi and blo <= cb < bhi and abs((cb - ca) - (blo - lo)) <= _DRIFT for lo, hi, blo, bhi, _ in out):
+    met = np.asarray(met, dtype=np.int64).reshape(-1, 2)
+    todo = np.ones(len(met), dtype=bool)
+    for place, (ca, cb) in enumerate(met.tolist()):
+        if not todo[place] or (place and (met[place] == met[place - 1]).all()):
             continue
         reach = 4 * t
         while True:
             low, high = max(-ca, -cb, -reach), min(len(a) - ca, len(b) - cb, reach)
             if high - low < t:
                 break
-            same = a[ca + low:ca + high] == b[cb + low:cb + high]
-            for s in range(1, _DRIFT + 1):
-                same[:-s] |= a[ca + low:ca + high - s] == b[cb + low + s:cb + high]
-                same[s:] |= a[ca + low + s:ca + high] == b[cb + low:cb + high - s]
-            sums = np.concatenate([[0], np.cumsum(same)])
+            same = _alike(a[ca + low:ca + high], b[cb + low:cb + high])
+            sums = np.zeros(len(same) + 1, dtype=np.int64)
+            np.cumsum(same, out=sums[1:])
             count = sums[t:] - sums[:-t]
             good = count >= need
             at = -low  # the place that met
-            near = np.flatnonzero(good[max(0, at - t + 1):at + 1])
-            if not len(near):
+            near = good[max(0, at - t + 1):at + 1]
+            if not near.any():
                 break
-            begin = end = max(0, at - t + 1) + int(near[0])
+            begin = end = max(0, at - t + 1) + int(near.argmax())
             bad = np.flatnonzero(~good)
-            begin = int(bad[bad < begin][-1]) + 1 if (bad < begin).any() else 0
-            end = int(bad[bad > end][0]) - 1 if (bad > end).any() else len(good) - 1
+            after = int(np.searchsorted(bad, begin))
+            begin, end = int(bad[after - 1]) + 1 if after else 0, int(bad[after]) - 1 if after < len(bad) else len(good) - 1
             grows = (begin == 0 and low == -reach) or (end == len(good) - 1 and high == reach)
             if grows:
                 reach *= 4
                 continue
-            best = begin + int(np.argmax(count[begin:end + 1]))
+            best = begin + int(count[begin:end + 1].argmax())
             one, two = (set(x[c + low + best:c + low + best + t].tolist()) for x, c in ((a, ca), (b, cb)))
             both = len(one & two)
             if 100 * both >= percent * (len(one) + len(two) - both):
@@ -124,30 +139,40 @@ def passages(a: np.ndarray, b: np.ndarray, met: list, t: int, percent: int) -> l
                 # Without what does not match at the ends, but never less than the passage that was verified.
                 lo, hi = low + min(begin + int(inside[0]), best), low + max(begin + int(inside[-1]) + 1, best + t)
                 out.append((ca + lo, ca + hi, cb + lo, cb + hi, both / (len(one) + len(two) - both)))
+                if place + 1 < len(met):
+                    todo &= ~(_covers(out[-1], met[:, 0], met[:, 1]) & (abs(met[:, 1] - met[:, 0] - (cb - ca)) <= _DRIFT))
             break
     return out
 
 
+def _covers(passage: tuple, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    lo, hi, blo, bhi, _ = passage
+    return (lo <= ca) & (ca < hi) & (blo <= cb) & (cb < bhi)
+
+
 def _least_common(t: int, percent: int) -> int:
     """How many of t shingles two passages have in common at least."""
     return -(-2 * t * percent // (100 + percent))
 
 
-def _links(doc_a, a, doc_b, b, met, t, percent, k) -> tuple[list, list]:
-    """Links of two texts around the places that met, and of these places (key, ca, cb, whether a link confirms them)."""
-    found = passages(a, b, sorted(m[1:] for m in met), t, percent)
+def _links(doc_a, a, doc_b, b, ca: np.ndarray, cb: np.ndarray, t, percent, k) -> tuple[list, np.ndarray]:
+    """Links of two texts around the places that met, and of each of these places whether a link confirms it."""
+    order = np.lexsort((cb, ca))
+    found = passages(a, b, np.stack([ca[order], cb[order]], axis=1), t, percent)
     links = [(doc_a, lo, hi - lo + k - 1, doc_b, blo, bhi - blo + k - 1, similarity) for lo, hi, blo, bhi, similarity in found]
-    return links, [(key, x, y, any(lo <= x < hi and blo <= y < bhi for lo, hi, blo, bhi, _ in found)) for key, x, y in met]
+    ok = np.zeros(len(ca), dtype=bool)
+    for passage in found:
+        ok |= _covers(passage, ca, cb)
+    return links, ok
 
 
 _PAIR = ["key", "a", "b", "ca", "cb"]
 _PAIR_TYPES = "key bigint, a bigint, b bigint, ca bigint, cb bigint"
 
 
-def _pairs(rows: list) -> list:
-    """Columns of pairs and whether they are confirmed, out of rows that end with the latter."""
-    columns = list(zip(*rows)) if rows else [[]] * (len(_PAIR) + 1)
-    return [*(pa.array(np.array(c, dtype=np.int64)) for c in columns[:-1]), pa.array(np.array(columns[-1], dtype=bool))]
+def _pairs(columns: list, ok: np.ndarray) -> list:
+    """Columns of pairs and whether they are confirmed."""
+    return [*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns), pa.array(ok)]
 
 
 def _no_pairs(n: int) -> list:
@@ -170,8 +195,8 @@ def _gather(buckets: int, t: int, percent: int, k: int):
             ids = [i for part in held for i in part[0]]
             uids = np.concatenate([part[1] for part in held])
             values = np.concatenate([part[2] for part in held])
-            contexts = np.concatenate([part[3] for part in held])
-            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[4]) for part in held]))])
+            hashes = np.concatenate([part[3] for part in held])
+            at, word_at = (np.concatenate([[0], np.cumsum(np.concatenate([np.diff(part[x]) for part in held]))]) for x in (4, 5))
             held.clear()
             found = []
             for f in range(FUNCTIONS):
@@ -180,11 +205,18 @@ def _gather(buckets: int, t: int, percent: int, k: int):
             l, c, r = np.concatenate(found, axis=1)
             row = np.searchsorted(at, c, "right") - 1
             record = np.zeros(len(c), dtype=_RECORD)
-            record["key"], record["uid"], record["c"] = contexts[c], uids[row], c - at[row]
+            # The words that follow a place, or the last CONTEXT words of the text.
+            n = np.diff(word_at)[row]
+            record["key"] = runs(hashes, word_at[row] + np.minimum(c - at[row], np.maximum(n - CONTEXT, 0)), np.minimum(n, CONTEXT), CONTEXT)
+            record["uid"], record["c"] = uids[row], c - at[row]
             record["left"], record["right"] = np.minimum(c - l, 65535), np.minimum(r - c, 65535)
             # Per text and key the widest window is enough; per key the least text is the first.
             wide = record["left"].astype(np.int64) + record["right"]
-            order = np.lexsort((record["c"], -wide, record["uid"], record["key"]))
+            order = np.argsort(record["key"])
+            same = record["key"][order[1:]] == record["key"][order[:-1]]
+            several = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))  # the other columns order few windows
+            part = order[several]
+            order[several] = part[np.lexsort((part, record["c"][part], -wide[part], record["uid"][part], record["key"][part]))]
             record, row = record[order], row[order]
             fresh = np.ones(len(record), dtype=bool)
             fresh[1:] = (record["key"][1:] != record["key"][:-1]) | (record["uid"][1:] != record["uid"][:-1])
@@ -192,20 +224,20 @@ def _gather(buckets: int, t: int, percent: int, k: int):
             leads = np.ones(len(record), dtype=bool)
             leads[1:] = record["key"][1:] != record["key"][:-1]
             lead = np.maximum.accumulate(np.where(leads, np.arange(len(record)), 0))
-            met = {}
             overlap = _overlap(record, lead, t)
-            keys = record["key"].view(np.int64)
-            for i in np.flatnonzero(~leads & overlap):
-                met.setdefault((row[i], row[lead[i]]), []).append((int(keys[i]), int(record["c"][i]), int(record["c"][lead[i]])))
-            apart = np.flatnonzero(~leads & ~overlap)
-            links, judged = [], list(zip(keys[apart], record["uid"][apart], record["uid"][lead[apart]], record["c"][apart],
-                                         record["c"][lead[apart]], np.zeros(len(apart), bool)))
-            for (x, y), places in met.items():
-                more, seen = _links(ids[x], values[at[x]:at[x + 1]], ids[y], values[at[y]:at[y + 1]], places, t, percent, k)
+            links, ok = [], np.zeros(len(record), dtype=bool)
+            met = np.flatnonzero(~leads & overlap)
+            met = met[np.lexsort((row[lead[met]], row[met]))]
+            for own in np.split(met, np.flatnonzero(np.diff(row[met]) | np.diff(row[lead[met]])) + 1) if len(met) else []:
+                x, y = row[own[0]], row[lead[own[0]]]
+                more, ok[own] = _links(ids[x], values[at[x]:at[x + 1]], ids[y], values[at[y]:at[y + 1]],
+                                       record["c"][own].astype(np.int64), record["c"][lead[own]].astype(np.int64), t, percent, k)
                 links += more
-                judged += [(key, uids[x], uids[y], ca, cb, ok) for key, ca, cb, ok in seen]
+            other = np.flatnonzero(~leads)
+            judged = _pairs([record["key"][other], record["uid"][other], record["uid"][lead[other]], record["c"][other].astype(np.int64),
+                             record["c"][lead[other]].astype(np.int64)], ok[other])
             for n, link, pair in ((len(links), _table(links), _no_pairs(len(links))),
-                                  (len(judged), [pa.nulls(len(judged), kind) for _, kind in _LINK], _pairs(judged))):
+                                  (len(other), [pa.nulls(len(other), kind) for _, kind in _LINK], judged)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % buckets), pa.nulls(n, pa.binary()), *link, *pair], names=names)
             record = record[leads]
             bucket = (mix(record["key"], 61) % U(buckets)).astype(np.int64)
@@ -221,13 +253,8 @@ def _gather(buckets: int, t: int, percent: int, k: int):
             for part in slices(batch, "text"):
                 hashes, word_at = words(part.column(0))
                 values, at = shingles(hashes, word_at, k)
-                far, far_at = shingles(hashes, word_at, CONTEXT)
-                # The words that follow a place, or the last CONTEXT words of the text.
-                n, m = np.diff(at), np.diff(far_at)
-                own = np.arange(len(values)) - np.repeat(at[:-1], n)
-                context = far[np.repeat(far_at[:-1], n) + np.minimum(own, np.repeat(m, n) - 1)] if len(values) else values
                 keys = part.column(1)
-                held.append((keys.field("doc_id").to_pylist(), keys.field("uid").to_numpy(zero_copy_only=False), values, context, at))
+                held.append((keys.field("doc_id").to_pylist(), keys.field("uid").to_numpy(zero_copy_only=False), values, hashes, at, word_at))
                 size += len(values)
                 if size > _FLUSH:
                     yield from flush()
@@ -271,48 +298,64 @@ def _meet(t: int):
     return run
 
 
-def _each_once(pairs: pa.RecordBatch, side: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the distinct texts of one side of pairs, and each pair's first one and end."""
-    _, first, own = np.unique(pairs.column(side).to_numpy(), return_index=True, return_inverse=True)
-    values, at = shingles(*words(pairs.column(f"text_{side}").take(pa.array(first))), k)
-    return values, np.stack([at[own], at[own + 1]], axis=1)
-
-
 def _verify(t: int, percent: int, k: int):
-    """Links of the pairs' texts, and the pairs of places with whether a link confirms them."""
+    """Links of a block's pairs, out of them and its texts, and the pairs of places with whether a link confirms them."""
     names = [*_PAIR, "ok", *[n for n, _ in _LINK]]
 
-    def run(batches):
-        for batch in batches:
-            for half in slices(batch, "text_a"):
-                for part in slices(half, "text_b"):
-                    links, judged = [], []
-                    (one, one_at), (two, two_at) = (_each_once(part, x, k) for x in "ab")
-                    met = part.column("met")
-                    met_at, places = (met.offsets.to_numpy() - met.offsets[0].as_py()).tolist(), met.flatten()
-                    places = [places.field(x).to_numpy(zero_copy_only=False).tolist() for x in range(3)]
-                    ids = [part.column(x).to_pylist() for x in ("id_a", "id_b", "a", "b")]
-                    for row, (id_a, id_b, a, b) in enumerate(zip(*ids)):
-                        own = list(zip(*(x[met_at[row]:met_at[row + 1]] for x in places)))
-                        more, seen = _links(id_a, one[slice(*one_at[row])], id_b, two[slice(*two_at[row])], own, t, percent, k)
-                        links += more
-                        judged += [(key, a, b, ca, cb, ok) for key, ca, cb, ok in seen]
-                    yield pa.RecordBatch.from_arrays([*_no_pairs(len(links)), *_table(links)], names=names)
-                    yield pa.RecordBatch.from_arrays([*_pairs(judged), *[pa.nulls(len(judged), kind) for _, kind in _LINK]], names=names)
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        own = []
+        for batch in texts.select(["text"]).to_batches():
+            for part in slices(batch, "text"):
+                values, at = shingles(*words(part.column(0)), k)
+                own += np.split(values, at[1:-1])
+        ids, uids = texts.column("doc_id").to_pylist(), texts.column("uid").to_numpy()
+        order = np.argsort(uids)
+        sides = [pairs.column(x).to_numpy() for x in "ab"]
+        x, y = (order[np.searchsorted(uids[order], side)].tolist() for side in sides)
+        met = pairs.column("met").combine_chunks()
+        met_at, places = met.offsets.to_numpy() - met.offsets[0].as_py(), met.flatten()
+        key, ca, cb = (places.field(i).to_numpy() for i in range(3))
+        links, ok = [], np.zeros(len(key), dtype=bool)
+        for row, (low, high) in enumerate(zip(met_at[:-1].tolist(), met_at[1:].tolist())):
+            i, j = x[row], y[row]
+            more, ok[low:high] = _links(ids[i], own[i], ids[j], own[j], ca[low:high], cb[low:high], t, percent, k)
+            links += more
+        judged = _pairs([key, *(np.repeat(side, np.diff(met_at)) for side in sides), ca, cb], ok)
         give_back()
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(x, names=names) for x in (
+            [*_no_pairs(len(links)), *_table(links)], [*judged, *[pa.nulls(len(ok), kind) for _, kind in _LINK]])])
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
-    """Links (a is null) and judged pairs of places out of (key, a, b, ca, cb)."""
-    pairs = written(pairs.groupBy("a", "b").agg(F.collect_set(F.struct("key", "ca", "cb")).alias("met")))
-    involved = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = written(rows.join(involved, F.col("uid") == F.col("a"), "left_semi").groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text")))
-    left = texts.select(F.col("uid").alias("a"), F.col("doc_id").alias("id_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("uid").alias("b"), F.col("doc_id").alias("id_b"), F.col("text").alias("text_b"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "id_a", "id_b", "text_a", "text_b", "met").mapInArrow(
-        _verify(t, percent, k), f"{_PAIR_TYPES}, ok boolean, {link}"))
+_BLOCK = 8 << 20  # bytes of texts whose pairs are verified together
+
+
+def _texts(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """Each text of ``uids`` (uid and what else is known of it) once."""
+    known = ["doc_id", "text", *uids.drop("uid").columns]
+    return written(rows.join(uids, "uid").groupBy("uid").agg(*[F.first(x).alias(x) for x in known]).withColumn("bytes", F.octet_length("text")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
+    """Links (a is null) and judged pairs of places out of (key, a, b, ca, cb).
+
+    Pairs of one key name the same texts again and again, so they are cut into blocks of ``_BLOCK`` bytes of texts, key by key; a block
+    gets each of its texts once.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("key", "ca", "cb")).alias("met"))
+    for side in "ab":
+        pairs = pairs.join(texts.select(F.col("uid").alias(side), F.col("bytes").alias(f"bytes_{side}")), side)
+    key = F.array_min("met.key")
+    bucket = F.pmod(F.xxhash64(key), F.lit(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    near = Window.partitionBy("bucket").orderBy("key", "a", "b")
+    # A text that several pairs in a row have on their first side counts once.
+    size = F.col("bytes_b") + 24 * F.size("met") + F.when(F.lag("a").over(near) == F.col("a"), 0).otherwise(F.col("bytes_a"))
+    cut = pairs.withColumn("key", key).withColumn("bucket", bucket).withColumn("size", size)
+    cut = cut.withColumn("part", F.floor((F.sum("size").over(near.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")) / _BLOCK))
+    cut = written(cut.select("a", "b", "met", "bucket", "part"))
+    sides = [cut.select(F.col("bucket").alias("of_bucket"), F.col("part").alias("of_part"), F.col(x).alias("uid")) for x in "ab"]
+    own = texts.select("uid", "doc_id", "text").join(sides[0].union(sides[1]).distinct(), "uid")
+    return written(cut.groupBy("bucket", "part").cogroup(own.groupBy("of_bucket", "of_part")).applyInArrow(_verify(t, percent, k), f"{_PAIR_TYPES}, ok boolean, {link}"))
 
 
 _WINDOW = ["key", "uid", "c"]
@@ -329,6 +372,7 @@ def _around(t: int, percent: int, k: int):
     more than that many hold one that is matched.
     """
     reach, need = t - 1 + _DRIFT, _least_common(t, percent)
+    salts = [before.to_bytes(8, "little") for before in range(reach + 1)]
 
     def run(batches):
         told = set()
@@ -338,18 +382,20 @@ def _around(t: int, percent: int, k: int):
                 out = []
                 for row, (uid, places) in enumerate(zip(part.column("uid").to_pylist(), part.column("places").to_pylist())):
                     own = values[at[row]:at[row + 1]].view(np.int64)
+                    short = own.astype("<u2")
                     for place in places:
-                        key, before = place["key"], min(place["c"], reach)
-                        near = own[place["c"] - before:place["c"] + reach + 1]
-                        form = blake2b(near.tobytes(), digest_size=16, salt=before.to_bytes(8, "little")).digest()
+                        key, c, large = place["key"], place["c"], place["large"]
+                        before = min(c, reach)
+                        near = own[c - before:c + reach + 1]
+                        form = blake2b(near, digest_size=16, salt=salts[before]).digest()
                         some, asks = None, None
-                        if place["large"]:
+                        if large:
                             some = np.unique(near)
                             asks = min(len(some), max(0, len(near) - need + 1))
-                        fresh = place["large"] or (key, form) not in told
-                        if not place["large"]:
+                        fresh = large or (key, form) not in told
+                        if fresh and not large:
                             told.add((key, form))
-                        out.append((key, uid, place["c"], form, before, near.astype("<u2").tobytes() if fresh else None, some, asks))
+                        out.append((key, uid, c, form, before, short[c - before:c + reach + 1].tobytes() if fresh else None, some, asks))
                 if len(told) > 100_000:
                     told.clear()
                 columns = list(zip(*out)) if out else [[]] * 8
@@ -438,16 +484,27 @@ def _asked(laid: tuple, group: np.ndarray, apart: np.ndarray, asks: np.ndarray,
         low = high
 
 
+def _ranks(*columns: np.ndarray) -> np.ndarray:
+    """Each row's place, from 0, among the distinct rows of the columns in order."""
+    order = np.lexsort(columns[::-1])
+    out = np.zeros(len(order), dtype=np.int64)
+    out[order[1:]] = np.cumsum(np.any([np.diff(x[order]) != 0 for x in columns], axis=0))
+    return out
+
+
 def _within(t: int, percent: int, every: bool):
     """Pairs to verify among the windows of a bucket of keys, out of them and the judged pairs: with ``every`` all that may have a
     link and that judged ones do not connect, else as many as connect these if they do have it."""
     reach = t - 1 + _DRIFT
 
     def run(windows_: pa.Table, judged: pa.Table) -> pa.Table:
-        columns = {x: windows_.column(x).to_pylist() for x in (*_WINDOW, "form", "before", "near")}
-        window = list(zip(*(columns[x] for x in _WINDOW)))
-        node = {w: i for i, w in enumerate(window)}
-        parent = list(range(len(window)))
+        n, window = windows_.num_rows, [windows_.column(x).to_numpy() for x in _WINDOW]
+        key, a, b, ca, cb, ok = (judged.column(x).to_numpy() for x in (*_PAIR, "ok"))
+        rank = _ranks(*(np.concatenate(x) for x in zip(window, (key, a, ca), (key, b, cb))))
+        node = np.zeros(int(rank.max(initial=-1)) + 1, dtype=np.int64)
+        node[rank[:n]] = np.arange(n)
+        met, rank = node[rank[n:]].reshape(2, -1), rank[:n].tolist()
+        parent = list(range(n))
 
         def root(i):
             while parent[i] != i:
@@ -460,39 +517,40 @@ def _within(t: int, percent: int, every: bool):
             parent[max(i, j)] = min(i, j)
             return i != j
 
-        known = set()
-        for key, a, b, ca, cb, ok in zip(*(judged.column(x).to_pylist() for x in (*_PAIR, "ok"))):
-            i, j = node[key, a, ca], node[key, b, cb]
-            known.add((max(i, j), min(i, j)))
-            if ok:
-                join(i, j)
+        known = set(zip(met.max(axis=0).tolist(), met.min(axis=0).tolist()))
+        for i, j in zip(*met[:, ok.astype(bool)].tolist()):
+            join(i, j)
         # Windows of one form surely have links: they go on as the form's first, but for those that were judged to have none.
-        near, first, asked = {}, {}, []
-        for i, (key, form, blob) in enumerate(zip(columns["key"], columns["form"], columns["near"])):
-            if blob is not None:
-                near[key, form] = blob
-            first[key, form] = min((window[i], i), first.get((key, form), (window[i], i)))
-        ones = []
-        for i, at in enumerate(zip(columns["key"], columns["form"])):
-            one = first[at][1]
-            if i == one or (root(i) != root(one) and (max(i, one), min(i, one)) in known):
+        forms = np.frombuffer(b"".join(windows_.column("form").to_pylist()), dtype="<i8").reshape(-1, 2)
+        form = _ranks(window[0], forms[:, 0], forms[:, 1])
+        first, near = np.zeros((2, int(form.max(initial=-1)) + 1), dtype=np.int64)
+        last = np.argsort(rank)[::-1]
+        first[form[last]] = last  # of each form the last one written stays, its first
+        given = np.flatnonzero(windows_.column("near").is_valid().to_numpy())
+        near[form[given]] = given
+        ones, asked = [], []
+        for i, one in enumerate(first[form].tolist()):
+            if i == one:
                 ones.append(i)
             elif root(i) != root(one):
-                asked.append((i, one))
+                if (max(i, one), min(i, one)) in known:
+                    ones.append(i)
+                else:
+                    asked.append((i, one))
         for i, one in asked:
             join(i, one)
         parts = [root(i) for i in ones]
-        keys = [columns["key"][i] for i in ones]
+        keys = window[0][ones].tolist() if ones else []
         counts = {}
         for key, part in zip(keys, parts):
             own = counts.setdefault(key, {})
             own[part] = own.get(part, 0) + 1
         most = {key: max((n, part) for part, n in own.items())[1] for key, own in counts.items() if len(own) > 1}
-        left = sorted((x for x, key in enumerate(keys) if key in most), key=lambda x: window[ones[x]])
+        left = sorted((x for x, key in enumerate(keys) if key in most), key=lambda x: rank[ones[x]])
         ones, parts, keys = ([x[y] for y in left] for x in (ones, parts, keys))
         if ones:
             number = {key: i for i, key in enumerate(most)}
-            laid = _laid([near[key, columns["form"][i]] for i, key in zip(ones, keys)], [columns["before"][i] for i in ones], reach)
+            laid = _laid(windows_.column("near").take(near[form[ones]]).to_pylist(), windows_.column("before").to_numpy()[ones], reach)
             group, apart = np.array([number[key] for key in keys]), np.array(parts)
             out = apart != np.array([most[key] for key in keys])
             # What is not in the largest part of its key meets all that is in another one; of two the later one asks.
@@ -503,11 +561,11 @@ def _within(t: int, percent: int, every: bool):
                         if (max(i, j), min(i, j)) not in known and (every or join(i, j)):
                             known.add((max(i, j), min(i, j)))
                             asked.append((i, j))
-        pairs = [max((window[i], window[j]), (window[j], window[i])) for i, j in asked]
-        out = [(a[0], a[1], b[1], a[2], b[2]) for a, b in pairs if a[1] != b[1]]
-        columns = list(zip(*out)) if out else [[]] * len(_PAIR)
+        pairs = np.array([(i, j) if rank[i] > rank[j] else (j, i) for i, j in asked], dtype=np.int64).reshape(-1, 2)
+        (_, a, ca), (key, b, cb) = ([x[pairs[:, side]] for x in window] for side in (0, 1))
+        other = a != b
         give_back()
-        return pa.table([pa.array(x, pa.int64()) for x in columns], names=_PAIR)
+        return pa.table([pa.array(x[other], pa.int64()) for x in (key, a, b, ca, cb)], names=_PAIR)
     return run
 
 
@@ -546,8 +604,8 @@ def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: i
     sides = [judged.select("key", F.col(x).alias("uid"), F.col(f"c{x}").alias("c"), "large") for x in "ab"]
     windows_ = sides[0].union(sides[1]).distinct()
     places = written(windows_.groupBy("uid").agg(F.collect_list(F.struct("key", "c", "large")).alias("places")))
-    texts = rows.join(places, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")).join(places, "uid").select("text", "uid", "places")
-    around = written(texts.mapInArrow(_around(t, percent, k), "key bigint, uid bigint, c bigint, form binary, before bigint, near binary, "
+    texts = _texts(rows, places)
+    around = written(texts.select("text", "uid", "places").mapInArrow(_around(t, percent, k), "key bigint, uid bigint, c bigint, form binary, before bigint, near binary, "
                                                               "around array<bigint>, asks bigint"))
     small, any_large = open_.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.max("large")).first()
     buckets = max(-(-(small or 0) // 10_000), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -559,17 +617,17 @@ def _second_links(judged: DataFrame, rows: DataFrame, t: int, percent: int, k: i
             _within(t, percent, every), _PAIR_TYPES)
 
     known = judged.where("not large").select(*_PAIR, "ok")
-    once = _verified(within(known, met, False), rows, t, percent, k, link)
+    once = _verified(within(known, met, False), texts, t, percent, k, link)
     fresh = once.where("a is not null").select(*_PAIR, "ok")
     failed = written(fresh.where("not ok").select("key").distinct())
-    again = _verified(within(known.union(fresh).join(failed, "key", "left_semi"), met.join(failed, "key", "left_semi"), True), rows, t, percent, k, link)
+    again = _verified(within(known.union(fresh).join(failed, "key", "left_semi"), met.join(failed, "key", "left_semi"), True), texts, t, percent, k, link)
     links = once.where("a is null").union(again.where("a is null"))
     if not any_large:
         return links
-    return links.union(_large_links(judged.where("large").drop("large"), around.where("asks is not null"), rows, t, percent, k, link))
+    return links.union(_large_links(judged.where("large").drop("large"), around.where("asks is not null"), texts, t, percent, k, link))
 
 
-def _large_links(judged: DataFrame, around: DataFrame, rows: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
+def _large_links(judged: DataFrame, around: DataFrame, texts: DataFrame, t: int, percent: int, k: int, link: str) -> DataFrame:
     """Links between windows of keys of any size: by prefix filtering on the shingles around their places."""
     # Windows of one form surely have links: those that no common first connects are linked to the form's first, which alone goes on.
     first = around.groupBy("key", "form").agg(F.min(F.struct("uid", "c")).alias("first"))
@@ -602,7 +660,7 @@ def _large_links(judged: DataFrame, around: DataFrame, rows: DataFrame, t: int,
 
     star = shared.where("asked and uid != lead.uid").select("key", F.col("uid").alias("a"), F.col("lead.uid").alias("b"), F.col("c").alias("ca"), F.col("lead.c").alias("cb"))
     alike = alike.distinct().join(judged.select(*_PAIR), _PAIR, "left_anti")
-    once = _verified(possible(star).union(alike).distinct(), rows, t, percent, k, link)
+    once = _verified(possible(star).union(alike).distinct(), texts, t, percent, k, link)
 
     linked = judged.where("ok").select(*_PAIR).union(once.where("ok").select(*_PAIR))
     named = components(linked.select(_node("a", "ca").alias("a"), _node("b", "cb").alias("b"))).withColumnRenamed("node", "_node")
@@ -619,7 +677,7 @@ def _large_links(judged: DataFrame, around: DataFrame, rows: DataFrame, t: int,
         pairs = pairs.select("x.key", F.col("x.uid").alias("a"), F.col("y.uid").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
         rest = pairs if rest is None else rest.union(pairs)
     rest = possible(rest).join(once.where("a is not null").select(*_PAIR), _PAIR, "left_anti")
-    again = _verified(rest, rows, t, percent, k, link)
+    again = _verified(rest, texts, t, percent, k, link)
     return once.where("a is null").union(again.where("a is null"))
 
 
@@ -649,7 +707,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, words_per_shingle:
     gathered = rows.select("text", F.struct("doc_id", "uid").alias("key")).mapInArrow(
         _gather(buckets, t, percent, k), f"bucket bigint, records binary, {link}, {_PAIR_TYPES}, ok boolean")
     met = written(gathered.groupBy("bucket").applyInArrow(_meet(t), f"{_PAIR_TYPES}, {link}, ok boolean"))
-    once = _verified(met.where("a is not null and ok is null").select(*_PAIR), rows, t, percent, k, link)
+    pairs = met.where("a is not null and ok is null").select(*_PAIR)
+    involved = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
+    once = _verified(pairs, _texts(rows, involved), t, percent, k, link)
     judged = [part.where("a is not null and ok is not null").select(*_PAIR, "ok") for part in (met, once)]
     again = _second_links(written(judged[0].union(judged[1])), rows, t, percent, k, link, large)
     names = [n for n, _ in _LINK]

@@ -94,6 +94,19 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), at).astype(np.int64)
 
 
+def runs(hashes: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, 1 to k, that begin at ``start``."""
+    total, least = mix(size.astype(np.uint64), 11), int(size.min()) if len(size) else k
+    for j in range(k):
+        if j < least:
+            total = (total ^ hashes[start + j]) * U(0xC2B2AE3D27D4EB4F) + U(j + 1)
+        else:
+            inside = j < size
+            total = np.where(inside, (total ^ hashes[np.where(inside, start + j, 0)]) * U(0xC2B2AE3D27D4EB4F) + U(j + 1), total)
+        total ^= total >> U(29)
+    return mix(total, 3)
+
+
 def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words of each row, in order; a row of 1 to k - 1 words has one, its whole sequence."""
     n = np.diff(at)
@@ -101,14 +114,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     out_at = np.zeros(len(at), dtype=np.int64)
     np.cumsum(count, out=out_at[1:])
     start = np.arange(out_at[-1]) - np.repeat(out_at[:-1] - at[:-1], count)
-    size = np.repeat(np.minimum(n, k), count)
-    total = mix(size.astype(np.uint64), 11)
-    for j in range(k):
-        inside = j < size
-        word = hashes[np.where(inside, start + j, 0)] if len(hashes) else total
-        total = np.where(inside, (total ^ word) * U(0xC2B2AE3D27D4EB4F) + U(j + 1), total)
-        total ^= total >> U(29)
-    return mix(total, 3), out_at
+    return runs(hashes, start, np.repeat(np.minimum(n, k), count), k), out_at
 
 
 def distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

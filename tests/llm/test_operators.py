@@ -669,6 +669,61 @@ def test_passages_of_large_keys_are_linked_as_those_of_small_ones(spark):
     assert [p for p in pairs if p not in found] == []
 
 
+def test_a_block_of_pairs_gets_each_of_its_texts_once(spark, monkeypatch):
+    """All pairs of 40 texts of a key name 1560 texts; 40 go to the workers, or some more in small blocks."""
+    texts = [prose(i, 60) for i in range(40)]
+    table = spark.createDataFrame([(i, i, t, None, len(t)) for i, t in enumerate(texts)], "uid bigint, doc_id bigint, text string, places string, bytes int")
+    pairs = spark.createDataFrame([(7, a, b, 0, 0) for a in range(40) for b in range(a)] * 2, "key bigint, a bigint, b bigint, ca bigint, cb bigint")
+    real = substring_dedup._verify
+
+    def counted(*given):
+        import pyarrow as pa
+
+        def run(pairs, texts):
+            out = real(*given)(pairs, texts)
+            assert out.num_rows == pairs.num_rows  # judged once each
+            sizes = [pairs.num_rows, texts.num_rows, sum(len(x) for x in texts.column("text").to_pylist()), 0, 0]
+            return pa.table([*(pa.array([x], pa.int64()) for x in sizes), pa.array([False]), *(c.slice(0, 1) for c in out.columns[6:])], names=out.column_names)
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_verify", counted)
+    link = "doc_id bigint, start bigint, size bigint, source_id bigint, source_start bigint, source_size bigint, similarity double"
+    whole = substring_dedup._verified(pairs, table, 46, 80, 5, link).collect()
+    assert [(r.key, r.a) for r in whole] == [(780, 40)]
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 20 * len(texts[0]))
+    parts = substring_dedup._verified(pairs, table, 46, 80, 5, link).collect()
+    assert sum(r.key for r in parts) == 780 and len(parts) > 10 and sum(r.a for r in parts) < 1000
+    assert max(r.b for r in parts) < substring_dedup._BLOCK + 2 * max(map(len, texts))
+
+
+def test_passages_do_not_depend_on_blocks(spark, monkeypatch):
+    rng, texts = random.Random(12), []
+    for _ in range(2):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(10):
+            own = list(base)
+            for _ in range(5):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = frame(spark, texts).repartition(3)
+    found = set(map(tuple, substring_dedup.repeated_passages(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 1 << 14)
+    assert len({(r[0], r[3]) for r in found}) >= 18
+    named = [components(range(len(texts)), [(r[0], r[3]) for r in x]) for x in (found, substring_dedup.repeated_passages(docs).collect())]
+    assert named[0] == named[1]
+
+
+def test_values_alike_within_the_drift_equal_brute_force():
+    """Also of passages shorter than the drift, as least_words of 8 gives."""
+    rng, drift = np.random.default_rng(3), substring_dedup._DRIFT
+    for n in (1, 3, 7, 8, 9, 16, 17, 60):
+        a, b = (rng.integers(0, n + 4, n).astype(np.uint64) for _ in range(2))
+        want = [any(a[i] == b[j] for j in range(max(0, i - drift), min(n, i + drift + 1))) for i in range(n)]
+        assert substring_dedup._alike(a, b).tolist() == want
+    a = np.arange(1, 6, dtype=np.uint64)
+    assert substring_dedup.passages(a, a, [(0, 0), (2, 2)], 4, 80) == [(0, 5, 0, 5, 1.0)]
+
+
 def test_words_put_together_from_letters_and_signs_are_those_of_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
