@@ -623,6 +623,58 @@ def test_pairs_that_may_have_a_link_are_all_asked_for_and_told_by_what_is_around
         assert some <= {p for x, y in substring_dedup._asked(laid, group, apart, everyone, everyone, t, least) for p in zip(x.tolist(), y.tolist())}
 
 
+def test_pairs_are_told_by_longer_surroundings_as_passages_tells_them():
+    """Near copies and junk that repeats words: no link is lost, and few pairs without one are left to verify."""
+    rng, t, percent = random.Random(22), 46, 80
+    reach, texts = substring_dedup._reach(t, percent), []
+    for group in range(12):
+        base = [rng.randrange(1, 10**6) for _ in range(260)]
+        for number in range(12):
+            own, place = list(base), 110
+            if group % 3 == 2:  # a run of one shingle between others
+                size = rng.choice([43, 44, 47, 60, 150])
+                own = [rng.randrange(1, 10**6) for _ in range(110)] + [7] * size + (base if number % 4 == 0 else [rng.randrange(1, 10**6) for _ in range(90)])
+            for _ in range(rng.randrange(0, 30)):
+                at = rng.randrange(len(own))
+                if at != place and rng.random() < 0.8:
+                    own[at] = rng.randrange(1, 10**6)
+                elif at > place + 8:
+                    own.insert(at, 7)
+            texts.append((group, np.array(own, dtype=np.uint64), place))
+    near = [(v[c - reach:c + reach + 1].astype(substring_dedup._SHINGLE).tobytes(), reach) for _, v, c in texts]
+    laid = substring_dedup._laid(*zip(*near), reach, substring_dedup._SHINGLE)
+    group, apart, everyone = np.array([g for g, _, _ in texts]), np.arange(len(texts)), np.ones(len(texts), bool)
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if texts[i][0] == texts[j][0]
+             and substring_dedup.passages(texts[i][1], texts[j][1], [(texts[i][2], texts[j][2])], t, percent)}
+    for apart in (apart, np.arange(len(texts)) // 3):  # alone, and in parts
+        wanted = {(i, j) for i, j in links if apart[i] != apart[j]}
+        got = [p for x, y in substring_dedup._asked(laid, group, apart, everyone, everyone, t, percent) for p in zip(x.tolist(), y.tolist())]
+        assert wanted <= set(got) and len(got) == len(set(got)) < 1.1 * len(wanted) + 10 and len(wanted) > 100
+
+
+@pytest.mark.parametrize("given", [{}, {"large": 2}])
+def test_junk_that_repeats_a_word_is_not_compared_all_with_all(spark, monkeypatch, given):
+    """Runs of a word too short for a passage, between other words: all have the same key, and no two have a link."""
+    rng, asked, real = random.Random(4), [], substring_dedup.written
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    texts = [" ".join(some(60) + ["the"] * (45 + i % 4) + some(60)) for i in range(80)]
+    texts += [" ".join(some(60) + ["the"] * 70 + some(60)) for _ in range(20)]
+
+    def counted(df, *by):
+        out = real(df, *by)
+        asked.append(out.selectExpr("coalesce(sum(size(met)), 0)").first()[0] if "met" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    rows = substring_dedup.repeated_passages(frame(spark, texts).repartition(3), **given).collect()
+    found = components(range(len(texts)), [(r.doc_id, r.source_id) for r in rows])
+    assert len(set(found.values())) == 81 and len({found[i] for i in range(80, 100)}) == 1
+    assert sum(asked) < 8 * len(texts)
+
+
 def test_second_meeting_writes_few_rows_and_links_the_same_in_keys_of_any_size(spark, monkeypatch):
     """Near copies whose edits leave each key's first without some: no table has a row for each window and shingle."""
     rng, texts = random.Random(9), []
